@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .p3_groups import pair_groups
 from .p4_format_duplicates import format_duplicates
+from .p5_distinctive_terms import outstanding_terms, term_scores
 from .p6_tokens import tokenize
+from .p7_leaks import leaks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +39,27 @@ def p4_copies(spark: SparkSession, folder: str) -> DataFrame:
     return _same_in_another_format(spark, folder).where("id = keep_id").select("src", "keep_id", "copies")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return outstanding_terms(table(spark, folder, "records")).select("id", "term")
+
+
+def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten terms that the model ranks first for each record."""
+    return term_scores(table(spark, folder, "records")).where("rank <= 10").select("id", "term", "rank", F.round("p", 6).alias("p"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
+
+
+def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each item leaked into each document: tiles may stand in any order."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_copies, p6_ids)}
+    return {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage)}
