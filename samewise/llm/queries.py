@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .p2_shared_spans import fuzzy_passages, shared_spans
 from .p3_groups import pair_groups
 from .p4_format_duplicates import format_duplicates
 from .p5_distinctive_terms import outstanding_terms, term_scores
@@ -17,6 +18,25 @@ from .p7_leaks import leaks
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = table(spark, folder, "containment_pairs")
+    return pairs.select("superset", F.explode(F.col("extra.text")).alias("text"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(table(spark, folder, "records"), _lines(spark, folder))
+
+
+def p2_shared_words(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each record are shared."""
+    found = shared_spans(table(spark, folder, "records"), _lines(spark, folder))
+    return found.groupBy("id").agg(F.sum(F.col("end_word") - F.col("start_word")).alias("shared_words"), F.count("*").alias("stretches"))
+
+
+def p2_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy_passages(table(spark, folder, "records"), _lines(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_groups(table(spark, folder, "containment_pairs"))
 
@@ -62,4 +82,4 @@ def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage)}
+    return {f.__name__: f for f in (p2_found, p2_shared_words, p2_passages, p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage)}
