@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .p1_near_duplicates import near_groups, near_pairs
 from .p2_shared_spans import fuzzy_passages, shared_spans
 from .p3_groups import pair_groups
 from .p4_format_duplicates import format_duplicates
@@ -18,6 +19,15 @@ from .p7_leaks import leaks
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_pairs(table(spark, folder, "records"), table(spark, folder, "docs"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, group and number of links of each record and doc."""
+    return near_groups(table(spark, folder, "records"), table(spark, folder, "docs"))
+
+
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     pairs = table(spark, folder, "containment_pairs")
     return pairs.select("superset", F.explode(F.col("extra.text")).alias("text"))
@@ -82,4 +92,4 @@ def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_shared_words, p2_passages, p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_words, p2_passages, p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage)}
