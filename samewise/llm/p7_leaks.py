@@ -45,8 +45,39 @@ def plain(text: str) -> str:
     return text.lower()
 
 
+MARK, SEVERAL = 0, T.CODE_POINTS - 1  # in the table: left out; becomes several characters
+
+
+@cache
+def fold_table() -> np.ndarray:
+    """What ``plain`` makes of each code point, as a code point. Both small sigmas are one letter."""
+    table = np.arange(T.CODE_POINTS, dtype=np.uint32)
+    for c in range(1, T.CODE_POINTS):
+        if c < 128 or unicodedata.category(ch := chr(c)) not in ("Cn", "Co", "Cs"):
+            to = plain(chr(c)) if c >= 128 else chr(c).lower()
+            table[c] = MARK if not to else ord(to) if len(to) == 1 else SEVERAL if any(map(str.isalnum, to)) else ord(" ")
+    table[0], table[ord("ς")] = ord(" "), ord("σ")
+    return table
+
+
 def plain_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return T.words([plain(t) for t in texts], T.is_word_char())
+    """A hash for each word of the plain texts, and the number of words before each text."""
+    data, begins = T.code_points(texts)
+    folded = fold_table()[data]
+    several = np.flatnonzero(folded == SEVERAL)
+    if len(several):
+        texts = list(texts)
+        for i in np.unique(np.searchsorted(begins, several, "right") - 1).tolist():
+            texts[i] = plain(texts[i])
+        data, begins = T.code_points(texts)
+        folded = fold_table()[data]
+        folded[folded == SEVERAL] = data[folded == SEVERAL]
+    kept = folded != MARK
+    if not kept.all():
+        begins = np.concatenate(([0], np.cumsum(kept)))[begins]
+        folded = folded[kept]
+    starts, ends = T.spans(T.is_word_char()[folded])
+    return T.mix(T.span_hashes(T.char_values()[folded], starts, ends)), np.searchsorted(starts, begins)
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
