@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -32,10 +32,21 @@ FREQUENT_SHARE = 1 / 1000
 WEIGHT = 0.1  # of the record's own distribution
 ROUNDS = 20
 _TERM = re.compile(r"[^\W_]{2,}")
+_ASCII = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
+
+
+def count_terms(text: str) -> Counter:
+    """How often each term occurs in a text."""
+    if not text.isascii():
+        return Counter(_TERM.findall(text.lower()))
+    found = Counter(text.lower().translate(_ASCII).split())
+    for term in [t for t in found if len(t) < 2]:
+        del found[term]
+    return found
 
 
 def _count(texts: list[str]) -> tuple[list[list[str]], list[list[int]]]:
-    found = [Counter(_TERM.findall(t.lower())) for t in texts]
+    found = [count_terms(t) for t in texts]
     return [list(f) for f in found], [list(f.values()) for f in found]
 
 
@@ -44,7 +55,7 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held, occur = Counter(), Counter()
         for text in batch.column(0).to_pylist():
-            found = Counter(_TERM.findall(text.lower()))
+            found = count_terms(text)
             held.update(found.keys())
             occur.update(found)
         yield pa.RecordBatch.from_arrays(
@@ -86,17 +97,18 @@ def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, leas
         for batch in batches:
             ids, terms, counts = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _TERM.findall(text.lower())
-                if new := set(found) - table:
-                    own = Counter(t for t in found if t in new)
-                    ids += [i] * len(own)
-                    terms += own
-                    counts += own.values()
+                found = count_terms(text)
+                for t in found.keys() - table:
+                    ids.append(i)
+                    terms.append(t)
+                    counts.append(found[t])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["id", "term", "n"])
 
+    # fewer than ``least`` rows of one term, so its partition of the window is bounded
     rare = texts.mapInArrow(unknown, "id string, term string, n int")
-    rare_held = rare.groupBy("term").agg(F.count("*").alias("m"), F.sum("n").alias("c"))
-    joined = rare.select("id", "term").join(rare_held, "term").groupBy("id").agg(F.collect_list(F.struct("term", "m", "c")).alias("rare"))
+    term = Window.partitionBy("term")
+    rare = rare.select("id", "term", F.count("*").over(term).alias("m"), F.sum("n").over(term).alias("c"))
+    joined = rare.groupBy("id").agg(F.collect_list(F.struct("term", "m", "c")).alias("rare"))
     both = texts.join(joined, "id", "left").select("id", "content", F.col("rare.term").alias("rt"), F.col("rare.m").alias("rm"), F.col("rare.c").alias("rc"))
     floor = -np.inf if least_score is None else least_score * np.log(max(total, 1))
 
