@@ -15,6 +15,7 @@ from .p4_format_duplicates import format_duplicates
 from .p5_distinctive_terms import outstanding_terms, term_scores
 from .p6_tokens import tokenize
 from .p7_leaks import leaks
+from .p8_personal_data import mentions, redacted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,5 +92,13 @@ def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mentions(table(spark, folder, "documents"))
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redacted(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_words, p2_passages, p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_words, p2_passages, p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage, p8_found, p8_redacted)}
