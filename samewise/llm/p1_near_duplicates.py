@@ -2,7 +2,9 @@
 
 Method: tensored banding. A set is reduced to minima of hash functions (minhash), in two small collections: halves A of
 two minima each and halves B of one. Each pair (A_i, B_j) is the key of one table, so A * B tables of three minima need
-2A + B minima to be computed, not 3AB. Sets that share a key are candidates, and candidates are verified on the sets.
+2A + B minima to be computed, not 3AB. Rows meet by their A half, so a set sends A rows that carry its B halves, not
+A * B keys. Sets that share a key are candidates; candidates whose bitmaps of elements differ in too many bits for the
+similarity are dropped (each such bit is an element of one set only), and all others are verified on the sets.
 
 A pair of similarity s is found with probability (1 - (1 - s^2)^A) * (1 - (1 - s)^B); with A = 14 and B = 8 that is
 0.9976 at 0.6, 0.9998 at 0.7 and above 0.99999 from 0.8.
@@ -35,6 +37,7 @@ A, B = 14, 8
 SIMILARITY = 0.6
 WORDS, SHINGLE = 20, 3
 BUCKET = 200
+BITS = 512
 EXPAND = 300
 HOT_ROWS = 50_000  # classes with one A half beyond which it is left to the prefix filter
 
@@ -62,19 +65,27 @@ def atom_sets(lists: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray]:
     return _as_sets(hashes, np.repeat(np.arange(len(lists)), sizes), len(lists))
 
 
-def halves(elements: np.ndarray, starts: np.ndarray, a: int = A, b: int = B) -> np.ndarray:
-    """The A and then the B halves of each set; no set is empty."""
+def halves(elements: np.ndarray, starts: np.ndarray, a: int = A, b: int = B) -> tuple[np.ndarray, np.ndarray]:
+    """The A halves and, in 32 bits, the B halves of each set; no set is empty."""
     minima = []
     with np.errstate(over="ignore"):
         scrambled = T.mix(elements, 51)
         for k in range(2 * a + b):
             minima.append(np.minimum.reduceat(scrambled * np.uint64(T.WORD_BASE * (2 * k + 1) ** 3 & 0xFFFFFFFFFFFFFFFF | 1) + np.uint64(k * T.BASE & 0xFFFFFFFFFFFFFFFF), starts))
         pairs = [T.mix(minima[2 * k] + T.mix(minima[2 * k + 1], k), 60 + k) for k in range(a)]
-        return np.stack([*pairs, *(T.mix(m, 90 + k) for k, m in enumerate(minima[2 * a :]))], 1)
+        return np.stack(pairs, 1).view(np.int64), np.stack([T.mix(m, 90 + k) for k, m in enumerate(minima[2 * a :])], 1).astype(np.uint32).view(np.int32)
+
+
+def bitmaps(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """BITS bits for each set, of which each element sets one."""
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(elements))))
+    on = np.zeros((len(starts), BITS), bool)
+    on[of, (T.mix(elements, 52) >> np.uint64(32)).astype(np.int64) % BITS] = True
+    return np.packbits(on, 1).view(np.int64)
 
 
 _ROWS = {
-    "signed": "src string, id string, h1 long, h2 long, size int, halves array<long>",
+    "signed": "src string, id string, h1 long, h2 long, size int, a array<long>, b array<int>, bits array<long>",
     "named": "src string, id string, h1 long, h2 long",
     "sets": "h1 long, h2 long, elements array<int>",
 }
@@ -89,8 +100,8 @@ def _set_rows(src: str, rows: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values = batch.column(0), batch.column(1).to_pylist()
-            parts = T.blocks(values) if src == "records" else ((i, min(i + DOCS_AT_ONCE, len(values))) for i in range(0, len(values), DOCS_AT_ONCE))
-            for i, j in parts:
+            ranges = T.blocks(values) if src == "records" else ((i, min(i + DOCS_AT_ONCE, len(values))) for i in range(0, len(values), DOCS_AT_ONCE))
+            for i, j in ranges:
                 elements, bounds = (shingle_sets if src == "records" else atom_sets)(values[i:j])
                 full = np.flatnonzero(np.diff(bounds))
                 if not len(full):
@@ -104,9 +115,11 @@ def _set_rows(src: str, rows: str):
                 elif rows == "named":
                     yield pa.RecordBatch.from_arrays(named, ["src", "id", "h1", "h2"])
                 else:
-                    keys = halves(elements, starts).view(np.int64)
-                    lists = T.list_array(keys.ravel(), np.arange(len(full) + 1) * keys.shape[1], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*named, pa.array(np.diff(bounds)[full].astype(np.int32)), lists], ["src", "id", "h1", "h2", "size", "halves"])
+                    kinds = (pa.int64(), pa.int32(), pa.int64())
+                    parts = (*halves(elements, starts), bitmaps(elements, starts))
+                    lists = [T.list_array(x.ravel(), np.arange(len(full) + 1) * x.shape[1], k) for x, k in zip(parts, kinds, strict=True)]
+                    size = pa.array(np.diff(bounds)[full].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*named, size, *lists], ["src", "id", "h1", "h2", "size", "a", "b", "bits"])
 
     return run
 
@@ -120,14 +133,14 @@ def _scan(records: DataFrame, docs: DataFrame, rows: str) -> DataFrame:
 
 
 def _bucket_pairs(similarity: float, bucket: int):
-    """Rows (key, cid, size) ordered by key: pairs of classes that share a key, each once per some 2 million; for keys
-    of more than ``bucket`` classes rows (cid, -1) instead."""
+    """Rows (half, cid, size, b) ordered by half: pairs of classes that share an A half and a B half, each once per some
+    2 million; for keys of more than ``bucket`` classes rows (cid, -1) instead."""
 
-    def pairs(key: np.ndarray, cid: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of_table(key: np.ndarray, cid: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.append(first, len(key)))
         full = np.repeat(count > bucket, count)
-        a, b = [cid[full]], [np.full(int(full.sum()), -1)]
+        yield cid[full], np.full(int(full.sum()), -1)
         several = np.repeat(count > 1, count) & ~full
         key, cid, size = key[several], cid[several], size[several]
         step = 1
@@ -137,12 +150,21 @@ def _bucket_pairs(similarity: float, bucket: int):
                 break
             x, y = cid[at], cid[at + step]
             near = np.minimum(size[at], size[at + step]) >= similarity * np.maximum(size[at], size[at + step]) - 1e-9
-            a.append(np.minimum(x, y)[near])
-            b.append(np.maximum(x, y)[near])
+            yield np.minimum(x, y)[near], np.maximum(x, y)[near]
             step += 1
-        return np.concatenate(a), np.concatenate(b)
 
-    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def pairs(half: np.ndarray, cid: np.ndarray, size: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        same = half[1:] == half[:-1]
+        several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        half, cid, size, b = half[several].view(np.uint64), cid[several], size[several], b[several].view(np.uint32)
+        out = []
+        for j in range(b.shape[1]):
+            key = T.mix(half ^ (b[:, j].astype(np.uint64) << np.uint64(20)), j)
+            order = np.argsort(key)
+            out += of_table(key[order], cid[order], size[order])
+        return out
+
+    def batch_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -154,21 +176,23 @@ def _bucket_pairs(similarity: float, bucket: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [c.to_numpy() for c in batch.columns]
+            now = [c.to_numpy() for c in batch.columns[:3]]
+            now.append(batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1))
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             last = int(np.searchsorted(now[0], now[0][-1]))
             held = [x[last:] for x in now]
             if last:
-                parts.append(pairs(*(x[:last] for x in now)))
-                kept += len(parts[-1][0])
+                found = pairs(*(x[:last] for x in now))
+                parts += found
+                kept += sum(len(a) for a, _ in found)
             if kept > 1 << 21:
-                yield out(parts)
+                yield batch_of(parts)
                 parts, kept = [], 0
         if held is not None:
-            parts.append(pairs(*held))
+            parts += pairs(*held)
         if parts:
-            yield out(parts)
+            yield batch_of(parts)
 
     return run
 
@@ -188,38 +212,38 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> Dat
 def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets ``cid, src, h1, h2, rep, size``, and the verified links between them ``a, b, similarity``."""
     signed = _scan(records, docs, "signed")
-    classes = signed.groupBy("src", "h1", "h2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("halves").alias("halves"))
+    kept = ("size", "a", "b", "bits")
+    classes = signed.groupBy("src", "h1", "h2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in kept))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
-    each = classes.select("cid", "src", "size", F.posexplode(F.slice("halves", 1, A)).alias("i", "x"), F.slice("halves", A + 1, B).alias("others"))
+    rows = classes.select("cid", "size", "b", "src", F.posexplode("a").alias("i", "x")).select(F.xxhash64("src", "i", "x").alias("half"), "cid", "size", "b")
     # an A half of very many classes fills no table: all pairs that could share it are found by the prefix filter
-    hot = materialise(each.groupBy("src", "i", "x").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).drop("n"))
+    hot = materialise(rows.groupBy("half").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).drop("n"))
     crowded = None
     if not hot.isEmpty():
-        hot = hot.withColumn("hot", F.lit(True))
-        each = each.join(hot, ["src", "i", "x"], "left")
-        crowded = each.where("hot").select("cid")
-        each = each.where("hot is null")
-    tables = each.select("cid", "src", "size", "i", "x", F.posexplode("others").alias("j", "y"))
-    tables = tables.select(F.xxhash64("src", "i", "j", "x", "y").alias("key"), "cid", "size")
-    found = tables.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(similarity, bucket), "a long, b long")
+        rows = rows.join(hot.withColumn("hot", F.lit(True)), "half", "left")
+        crowded = rows.where("hot").select("cid")
+        rows = rows.where("hot is null").drop("hot")
+    found = rows.repartition("half").sortWithinPartitions("half").mapInArrow(_bucket_pairs(similarity, bucket), "a long, b long")
     found = materialise(found.distinct())
     full = found.where("b = -1").select(F.col("a").alias("cid"))
     crowded = full if crowded is None else crowded.union(full)
     candidates = found.where("b <> -1")
-    light = classes.select("cid", "src", "h1", "h2", "size")
+    light = classes.select("cid", "src", "h1", "h2", "size", "bits")
     sets = _scan(records, docs, "sets").groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
     if not crowded.isEmpty():
         candidates = candidates.union(_prefix_pairs(light.join(crowded.distinct(), "cid", "left_semi"), sets, similarity)).distinct()
     for side in ("a", "b"):
-        named = light.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("h1", "h2", "size")))
+        named = light.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("h1", "h2", "size", "bits")))
         candidates = candidates.join(named, side)
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    enough = lambda common: common * (1 + similarity) >= F.col("both") * similarity - 1e-9
+    candidates = candidates.withColumn("both", F.col("size_a") + F.col("size_b")).where(enough((F.col("both") - differ) / 2))
+    candidates = candidates.select("a", "b", "both", *(f"{h}_{side}" for side in "ab" for h in ("h1", "h2")))
     for side in ("a", "b"):
         own = sets.select(F.col("h1").alias(f"h1_{side}"), F.col("h2").alias(f"h2_{side}"), F.col("elements").alias(f"e_{side}"))
         candidates = candidates.join(own, [f"h1_{side}", f"h2_{side}"])
-    common = F.size(F.array_intersect("e_a", "e_b"))
-    links = candidates.select("a", "b", common.alias("common"), (F.col("size_a") + F.col("size_b")).alias("both"))
-    links = links.where(F.col("common") * (1 + similarity) >= F.col("both") * similarity - 1e-9)
-    return classes.drop("halves"), links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+    links = candidates.select("a", "b", F.size(F.array_intersect("e_a", "e_b")).alias("common"), "both").where(enough(F.col("common")))
+    return classes.drop("a", "b", "bits"), links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
 
 
 def class_members(records: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
