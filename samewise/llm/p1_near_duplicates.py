@@ -66,14 +66,15 @@ def atom_sets(lists: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def halves(elements: np.ndarray, starts: np.ndarray, a: int = A, b: int = B) -> tuple[np.ndarray, np.ndarray]:
-    """The A halves and, in 32 bits, the B halves of each set; no set is empty."""
+    """The A halves and the B halves of each set, each in 32 bits; no set is empty."""
     minima = []
     with np.errstate(over="ignore"):
         scrambled = T.mix(elements, 51)
         for k in range(2 * a + b):
             minima.append(np.minimum.reduceat(scrambled * np.uint64(T.WORD_BASE * (2 * k + 1) ** 3 & 0xFFFFFFFFFFFFFFFF | 1) + np.uint64(k * T.BASE & 0xFFFFFFFFFFFFFFFF), starts))
         pairs = [T.mix(minima[2 * k] + T.mix(minima[2 * k + 1], k), 60 + k) for k in range(a)]
-        return np.stack(pairs, 1).view(np.int64), np.stack([T.mix(m, 90 + k) for k, m in enumerate(minima[2 * a :])], 1).astype(np.uint32).view(np.int32)
+        singles = [T.mix(m, 90 + k) for k, m in enumerate(minima[2 * a :])]
+        return tuple(np.stack(x, 1).astype(np.uint32).view(np.int32) for x in (pairs, singles))
 
 
 def bitmaps(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -85,7 +86,7 @@ def bitmaps(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 _ROWS = {
-    "signed": "src string, id string, h1 long, h2 long, size int, a array<long>, b array<int>, bits array<long>",
+    "signed": "src string, id string, h1 long, h2 long, size int, a array<int>, b array<int>, bits array<long>",
     "named": "src string, id string, h1 long, h2 long",
     "sets": "h1 long, h2 long, elements array<int>",
 }
@@ -115,7 +116,7 @@ def _set_rows(src: str, rows: str):
                 elif rows == "named":
                     yield pa.RecordBatch.from_arrays(named, ["src", "id", "h1", "h2"])
                 else:
-                    kinds = (pa.int64(), pa.int32(), pa.int64())
+                    kinds = (pa.int32(), pa.int32(), pa.int64())
                     parts = (*halves(elements, starts), bitmaps(elements, starts))
                     lists = [T.list_array(x.ravel(), np.arange(len(full) + 1) * x.shape[1], k) for x, k in zip(parts, kinds, strict=True)]
                     size = pa.array(np.diff(bounds)[full].astype(np.int32))
