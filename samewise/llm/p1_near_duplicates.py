@@ -248,16 +248,16 @@ def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILA
 
 
 def class_members(records: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``src, id, cid, rep`` for each id that has a set."""
+    """``src, id, cid`` for each id that has a set."""
     named = _scan(records, docs, "named").distinct()
-    return named.join(classes, ["src", "h1", "h2"]).select("src", "id", "cid", "rep")
+    return named.join(classes.select("src", "h1", "h2", "cid"), ["src", "h1", "h2"]).select("src", "id", "cid")
 
 
 def near_pairs(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, expand: int = EXPAND, bucket: int = BUCKET, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``src, id_a, id_b`` for pairs of records (id, content) and of docs (id, atoms) of that similarity or more."""
     classes, links = near_classes(records, docs, similarity, bucket, hot_rows)
     members = materialise(class_members(records, docs, classes))
-    sizes = members.groupBy("cid").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     members = members.join(sizes, "cid")
     several = members.where("n > 1")
     small = several.where(F.col("n") <= expand)
