@@ -2,7 +2,11 @@
 
 Pairs are found by a prefix filter: terms are ordered from the rarest, and of each normalised vector only the shortest
 prefix is kept beyond which the rest has a norm below the threshold. By the Cauchy-Schwarz inequality two vectors of at
-least that cosine share a term of both prefixes. The candidates are scored on whole vectors.
+least that cosine share a term of both prefixes.
+
+Of a pair that shares prefix terms the product over these is known. What else they share comes, in the order, after the
+end of the shorter prefix, so it adds at most the norm of that vector's rest times the norm of the other's rest after
+the last shared prefix term. Pairs that can't reach the threshold so are dropped; the others are scored on whole vectors.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import materialise
 from .components import components
 
 THRESHOLD = 0.65
@@ -45,16 +50,24 @@ def cosine_edges(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, score`` (a < b) of the pairs of ``vectors`` (id, term, w, df) of at least that cosine."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive: pairs that share no term aren't seen")
-    unit = vectors.join(norms(vectors), "id").select("id", F.xxhash64("term").alias("t"), "df", (F.col("w") / F.col("norm")).alias("w"))
-    from_common = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = unit.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_common))
-    prefix = ranked.where(F.col("rest") >= threshold * threshold - SLACK).select("id", "t")
-    pairs = prefix.select("t", F.col("id").alias("a")).join(prefix.select("t", F.col("id").alias("b")), "t").where("a < b").select("a", "b").distinct()
-    whole = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("v"))
-    both = pairs.join(whole.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    common = F.array_intersect(F.map_keys("va"), F.map_keys("vb"))
-    score = F.aggregate(common, F.lit(0.0), lambda s, t: s + F.element_at("va", t) * F.element_at("vb", t))
-    return both.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    lengths = materialise(norms(vectors).withColumn("n", F.monotonically_increasing_id()))
+    unit = vectors.join(lengths, "id").select("n", F.xxhash64("term").alias("t"), "df", (F.col("w") / F.col("norm")).alias("w"))
+    from_common = Window.partitionBy("n").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = unit.withColumn("square", F.sum(F.col("w") * F.col("w")).over(from_common))
+    prefix = ranked.where(F.col("square") >= threshold * threshold - SLACK).withColumn("rest", F.sqrt(F.greatest(F.col("square") - F.col("w") * F.col("w"), F.lit(0.0))))
+    prefix = prefix.withColumn("end", F.min("rest").over(Window.partitionBy("n"))).select("t", "n", "w", "rest", "end")
+    left, right = (prefix.select("t", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "w", "rest", "end"))) for side in "ab")
+    met = left.join(right, "t").where("n_a < n_b").groupBy("n_a", "n_b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("known"), *(F.min(c).alias(c) for c in ("rest_a", "rest_b", "end_a", "end_b"))
+    )
+    most = F.col("known") + F.greatest(F.col("end_a") * F.col("rest_b"), F.col("end_b") * F.col("rest_a"))
+    pairs = met.where(most >= threshold - SLACK).select("n_a", "n_b")
+    whole = unit.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("v")).join(lengths.select("n", "id"), "n")
+    for side in "ab":
+        pairs = pairs.join(whole.select(F.col("n").alias(f"n_{side}"), F.col("v").alias(f"v_{side}"), F.col("id").alias(f"id_{side}")), f"n_{side}")
+    common = F.array_intersect(F.map_keys("v_a"), F.map_keys("v_b"))
+    score = F.aggregate(common, F.lit(0.0), lambda s, t: s + F.element_at("v_a", t) * F.element_at("v_b", t))
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
 
 
 def top_pairs(edges: DataFrame, n: int = 20) -> DataFrame:

@@ -275,11 +275,12 @@ def cluster_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"{_WITH_CLUSTERS}, n AS (SELECT (SELECT count(*) FROM norm) AS n, (SELECT count(*) FROM uniq) AS u, (SELECT count(*) FROM surv) AS s, (SELECT count(*) FROM mem) AS m, (SELECT count(DISTINCT component) FROM mem) AS c) "
-    "SELECT 'load' AS stage, NULL::BIGINT AS records_in, n AS records_out, NULL::BIGINT AS comparisons FROM n UNION ALL SELECT 'exact_hash', n, u, NULL FROM n "
+    "SELECT 'load' AS stage, 0::BIGINT AS records_in, n AS records_out, 0::BIGINT AS comparisons FROM n UNION ALL SELECT 'exact_hash', n, u, 0 FROM n "
     "UNION ALL SELECT 'containment', u, s, u * (u - 1) // 2 FROM n UNION ALL SELECT 'similarity_cluster', s, s - m + c, s * (s - 1) // 2 FROM n"
 )
 def pipeline_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    return P.funnel(P.run_files(table(spark, folder, "records").select("id", "content"), normalize=True))
+    """The funnel with 0 for what a stage doesn't have."""
+    return P.funnel(P.run_files(table(spark, folder, "records").select("id", "content"), normalize=True)).fillna(0)
 
 
 # --- branches: a family of docs is a file, its docs are branches, its base doc is the common ancestor -------------------
@@ -459,13 +460,13 @@ def shingle_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TRUTH = (
-    "da AS (SELECT id, list_filter(min(atoms), lambda x: x IS NOT NULL) AS at FROM docs WHERE id IS NOT NULL AND atoms IS NOT NULL GROUP BY id), "
+    "da AS (SELECT id, list_filter(min(atoms), lambda x: x IS NOT NULL) AS ats FROM docs WHERE id IS NOT NULL AND atoms IS NOT NULL GROUP BY id), "
     "ka AS (SELECT id, min(root) AS root, max(boiler) AS boiler FROM atoms WHERE id IS NOT NULL GROUP BY id), "
-    "ea AS (SELECT d.id, d.i, d.atom, coalesce(ka.root, d.atom) AS root, coalesce(boiler, false) AS boiler FROM (SELECT id, unnest(at) AS atom, generate_subscripts(at, 1) AS i FROM da) d LEFT JOIN ka ON d.atom = ka.id), "
+    "ea AS (SELECT d.id, d.i, d.atom, coalesce(ka.root, d.atom) AS root, coalesce(boiler, false) AS boiler FROM (SELECT id, unnest(ats) AS atom, generate_subscripts(ats, 1) AS i FROM da) d LEFT JOIN ka ON d.atom = ka.id), "
     "pt AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT DISTINCT id, atom FROM ea) x JOIN (SELECT DISTINCT id, atom FROM ea) y ON x.atom = y.atom AND x.id < y.id), "
     "rs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT DISTINCT id, atom FROM ea WHERE NOT boiler) x JOIN (SELECT DISTINCT id, atom FROM ea WHERE NOT boiler) y ON x.atom = y.atom AND x.id < y.id), "
-    "ct AS (SELECT DISTINCT pt.a, pt.b FROM pt JOIN da p ON pt.a = p.id JOIN da q ON pt.b = q.id JOIN ea x ON x.id = pt.a JOIN ea y ON y.id = pt.b AND x.root = y.root WHERE NOT list_contains(q.at, x.atom) AND NOT list_contains(p.at, y.atom)), "
-    f"tk AS (SELECT pt.a, pt.b, p.at AS x, q.at AS y, len(p.at) < len(q.at) AND {_SUB.format('p.at', 'q.at')} AS ab, len(q.at) < len(p.at) AND {_SUB.format('q.at', 'p.at')} AS ba, rs.a IS NOT NULL AS real_, ct.a IS NOT NULL AS contested FROM pt JOIN da p ON pt.a = p.id JOIN da q ON pt.b = q.id LEFT JOIN rs ON rs.a = pt.a AND rs.b = pt.b LEFT JOIN ct ON ct.a = pt.a AND ct.b = pt.b), "
+    "ct AS (SELECT DISTINCT pt.a, pt.b FROM pt JOIN da p ON pt.a = p.id JOIN da q ON pt.b = q.id JOIN ea x ON x.id = pt.a JOIN ea y ON y.id = pt.b AND x.root = y.root WHERE NOT list_contains(q.ats, x.atom) AND NOT list_contains(p.ats, y.atom)), "
+    f"tk AS (SELECT pt.a, pt.b, p.ats AS x, q.ats AS y, len(p.ats) < len(q.ats) AND {_SUB.format('p.ats', 'q.ats')} AS ab, len(q.ats) < len(p.ats) AND {_SUB.format('q.ats', 'p.ats')} AS ba, rs.a IS NOT NULL AS real_, ct.a IS NOT NULL AS contested FROM pt JOIN da p ON pt.a = p.id JOIN da q ON pt.b = q.id LEFT JOIN rs ON rs.a = pt.a AND rs.b = pt.b LEFT JOIN ct ON ct.a = pt.a AND ct.b = pt.b), "
     "truth AS (SELECT a, b, CASE WHEN x = y THEN 'identical' WHEN (ab OR ba) AND least(len(x), len(y)) < 5 THEN 'trivial' WHEN ab OR ba THEN 'subset' WHEN list_sort(x) = list_sort(y) THEN 'reorder' WHEN NOT real_ THEN 'unrelated' WHEN contested THEN 'conflict' ELSE 'additive' END AS cls, "
     "CASE WHEN x <> y AND (ab OR ba) AND least(len(x), len(y)) >= 5 THEN CASE WHEN ab THEN a ELSE b END END AS subset FROM tk)"
 )
@@ -575,12 +576,12 @@ def audit_completeness(spark: SparkSession, folder: str) -> DataFrame:
 # --- scope and manifest -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_sql_records()} SELECT coalesce(regexp_extract(id, '[^/](\\.[^./]*)$', 1), '') AS extension, count(*) AS files, sum(strlen(raw)) AS bytes FROM rec GROUP BY 1")
+@query(f"WITH {_sql_records()} SELECT coalesce(regexp_extract(id, '[^/](\\.[^./]*)$', 1), '') AS extension, count(*) AS files, CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM rec GROUP BY 1")
 def scan_by_extension(spark: SparkSession, folder: str) -> DataFrame:
     return _records(spark, folder).groupBy(X.extension(F.col("id")).alias("extension")).agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
 
 
-@query("SELECT lower(trim(source)) AS source, count(*) AS texts, sum(n_chars) AS chars FROM documents GROUP BY 1")
+@query("SELECT lower(trim(source)) AS source, count(*) AS texts, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def scan_by_source(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents")
     return rows.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars"))
