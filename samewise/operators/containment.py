@@ -27,7 +27,9 @@ def candidates(split: DataFrame, min_lines: int = MIN_LINES, max_ratio: float =
     held = each.groupBy("h").agg(F.count("*").alias("df"))
     probe = each.where(F.col("nb") >= min_lines).join(held, "h").groupBy("id", "nb", "n").agg(F.min(F.struct("df", "h")).alias("rare"))
     probe = probe.where("rare.df > 1").select(F.col("id").alias("subset"), F.col("nb").alias("sub_nb"), F.col("n").alias("sub_n"), F.col("rare.h").alias("h"))
-    fits = (F.col("subset") != F.col("id")) & (F.col("sub_nb") <= F.col("nb")) & (F.col("nb") <= F.col("sub_nb") * max_ratio) & (F.col("sub_n") <= F.col("n"))
+    # a subset without any nonblank line times an infinite ratio is no bound: it never fits
+    most = F.col("sub_nb") * F.lit(float(max_ratio))
+    fits = (F.col("subset") != F.col("id")) & (F.col("sub_nb") <= F.col("nb")) & ~F.isnan(most) & (F.col("nb") <= most) & (F.col("sub_n") <= F.col("n"))
     return probe.join(each, "h").where(fits).select("subset", F.col("id").alias("superset"))
 
 

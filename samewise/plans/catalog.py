@@ -187,7 +187,7 @@ def containment_pairs_docs(spark: SparkSession, folder: str) -> DataFrame:
     return C.containment_pairs(_unique(spark, folder, _docs)).select("subset", "superset", F.size("extra").cast("long").alias("extra_lines"))
 
 
-@query(f"WITH {_sql_records()}, {_sql_lines('uniq')}, {_sql_pairs('')} SELECT subset, superset FROM pairs")
+@query(f"WITH {_sql_records()}, {_sql_lines('uniq')}, {_sql_pairs('a.nb > 0 AND ')} SELECT subset, superset FROM pairs")
 def containment_guards_off(spark: SparkSession, folder: str) -> DataFrame:
     return C.containment_pairs(_unique(spark, folder), 0, float("inf")).select("subset", "superset")
 
@@ -317,8 +317,8 @@ def branch_contended(spark: SparkSession, folder: str) -> DataFrame:
 _SUB = "list_reduce({1}, lambda i, v: CASE WHEN {0}[i + 1] = v THEN i + 1 ELSE i END, 0) = len({0})"
 _BRANCH_SQL = (
     f"WITH {_ENTRIES_SQL}, l AS (SELECT *, string_split(content, {_LF}) AS l, len(list_filter(string_split(content, {_LF}), lambda x: x <> '')) AS nb FROM ent WHERE status <> 'deleted'), "
-    f"pv AS (SELECT x.path, x.branch AS a, y.branch AS b, CASE WHEN x.blob = y.blob OR x.content = y.content THEN 'identical' WHEN x.nb <= y.nb AND {_SUB.format('x.l', 'y.l')} THEN 'a_subset_of_b' "
-    f"WHEN y.nb <= x.nb AND {_SUB.format('y.l', 'x.l')} THEN 'b_subset_of_a' ELSE 'divergent' END AS verdict, CASE WHEN x.blob = y.blob THEN 'blob' WHEN x.content = y.content THEN 'content' END AS via FROM l x JOIN l y ON x.path = y.path AND x.branch < y.branch)"
+    f"pv AS (SELECT x.path, x.branch AS a, y.branch AS b, CASE WHEN x.blob = y.blob OR x.content = y.content THEN 'identical' WHEN x.nb > 0 AND x.nb <= y.nb AND {_SUB.format('x.l', 'y.l')} THEN 'a_subset_of_b' "
+    f"WHEN y.nb > 0 AND y.nb <= x.nb AND {_SUB.format('y.l', 'x.l')} THEN 'b_subset_of_a' ELSE 'divergent' END AS verdict, CASE WHEN x.blob = y.blob THEN 'blob' WHEN x.content = y.content THEN 'content' END AS via FROM l x JOIN l y ON x.path = y.path AND x.branch < y.branch)"
 )
 
 
