@@ -82,18 +82,32 @@ def sentence(c: Column) -> Column:
 STRATEGIES: dict[str, Callable[[Column], Column]] = {"paragraph": paragraph, "line_fallback": paragraph_or_line, "sentence": sentence}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(c: Column, width: int = 5) -> Column:
     """Runs of ``width`` words of a-z and 0-9, repeated ones included; fewer words give none."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, width), " "))
+
+    def runs(words: Column) -> Column:
+        starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, width), " "))
+
+    return let(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), runs)
+
+
+def _word_set(c: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(c), "[^A-Za-z0-9_]+", -1))
+
+
+def _set_jaccard(x: Column, y: Column) -> Column:
+    return let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(x) + F.size(y) - n))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """Common part of the union of two texts' words; an empty word at either end counts, as splitting leaves it."""
-    x, y = (F.array_distinct(F.split(F.lower(c), "[^A-Za-z0-9_]+", -1)) for c in (a, b))
-    common = F.size(F.array_intersect(x, y))
-    return common / (F.size(x) + F.size(y) - common)
+    return let(F.struct(_word_set(a).alias("x"), _word_set(b).alias("y")), lambda s: _set_jaccard(s["x"], s["y"]))
 
 
 def is_subsequence(a: Column, b: Column) -> Column:
@@ -132,25 +146,29 @@ def classify_units(a: Column, b: Column, min_units: int = 3, min_words: int = 0,
     additive) or separate; shared: the common part of the shorter list, for reviews.
     """
     n, m = F.size(a), F.size(b)
-    a_in_b, b_in_a = (n < m) & is_subsequence(a, b), (m < n) & is_subsequence(b, a)
-    small = F.when(a_in_b, a).otherwise(b)
-    tiny = (F.size(small) < min_units) | (F.size(F.split(F.array_join(small, " "), " ", -1)) < min_words)
-    shared = F.try_divide(multiset_overlap(a, b).cast("double"), F.least(n, m).cast("double"))
-    own_a, own_b = only_in(a, b), only_in(b, a)
-    contested = F.exists(own_a, lambda x: F.exists(own_b, lambda y: token_jaccard(x, y) >= near))
 
     def verdict(v: str, subset: str | None = None, kind: Column | None = None, part: Column | None = None) -> Column:
         text = lambda x: F.lit(x).cast("string")
         return F.struct(text(v).alias("v"), text(subset).alias("subset"), (text(None) if kind is None else kind).alias("type"), (F.lit(None) if part is None else part).cast("double").alias("shared"))
 
+    def contested() -> Column:
+        sets = F.struct(F.transform(only_in(a, b), _word_set).alias("x"), F.transform(only_in(b, a), _word_set).alias("y"))
+        return let(sets, lambda s: F.exists(s["x"], lambda x: F.exists(s["y"], lambda y: _set_jaccard(x, y) >= near)))
+
+    def tiny(small: Column) -> Column:
+        return (F.size(small) < min_units) | (F.size(F.split(F.array_join(small, " "), " ", -1)) < min_words)
+
+    shared = F.try_divide(multiset_overlap(a, b).cast("double"), F.least(n, m).cast("double"))
+    in_part = let(
+        F.coalesce(shared, F.lit(0.0)),
+        lambda p: F.when(p < related, verdict("separate")).otherwise(verdict("review", kind=F.when(contested(), "conflict").otherwise("additive"), part=p)),
+    )
     return (
         F.when(a == b, verdict("collapse"))
-        .when((a_in_b | b_in_a) & tiny, verdict("separate"))
-        .when(a_in_b, verdict("collapse", "a"))
-        .when(b_in_a, verdict("collapse", "b"))
-        .when(F.sort_array(a) == F.sort_array(b), verdict("review", kind=F.lit("reorder"), part=F.lit(1.0)))
-        .when(F.coalesce(shared, F.lit(0.0)) < related, verdict("separate"))
-        .otherwise(verdict("review", kind=F.when(contested, "conflict").otherwise("additive"), part=shared))
+        .when((n < m) & is_subsequence(a, b), F.when(tiny(a), verdict("separate")).otherwise(verdict("collapse", "a")))
+        .when((m < n) & is_subsequence(b, a), F.when(tiny(b), verdict("separate")).otherwise(verdict("collapse", "b")))
+        .when((n == m) & (F.sort_array(a) == F.sort_array(b)), verdict("review", kind=F.lit("reorder"), part=F.lit(1.0)))
+        .otherwise(in_part)
     )
 
 

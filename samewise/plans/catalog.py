@@ -426,12 +426,16 @@ _MULTI_SQL = (
 )
 
 
-@query(f"WITH {_SEG}, {_CAND_ALL} SELECT a, b FROM ca")
+@query(
+    f"WITH {_SEG}, u AS (SELECT id, u, count(*) AS n FROM (SELECT id, unnest(sentence) AS u FROM seg) GROUP BY id, u), k AS (SELECT id, len(sentence) AS k FROM seg), "
+    "o AS (SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS o FROM u x JOIN u y ON x.u = y.u AND x.id < y.id GROUP BY x.id, y.id) "
+    "SELECT a, b, round(CAST(o / least(p.k, q.k) AS DOUBLE), 6) AS shared FROM o JOIN k p ON a = p.id JOIN k q ON b = q.id WHERE o / least(p.k, q.k) >= 0.3"
+)
 def block_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return B.unit_candidates(B.segmented(_texts(spark, folder)), list(X.STRATEGIES))
+    return B.related(_texts(spark, folder)).select("a", "b", F.round("shared", 6).alias("shared"))
 
 
-@query(f"{_BLOCKS_SQL} SELECT a, b, v, subset, type, round(CAST(shared AS DOUBLE), 6) AS shared FROM bv")
+@query(f"{_BLOCKS_SQL} SELECT a, b, v, subset, type, round(CAST(shared AS DOUBLE), 6) AS shared FROM bv WHERE v <> 'separate'")
 def block_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return B.block_verdicts(_texts(spark, folder)).withColumn("shared", F.round("shared", 6))
 
@@ -445,7 +449,7 @@ _SHINGLES = (
     f"WITH {_DOC}, w AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM d), "
     "sh AS (SELECT id, s, count(*) AS n FROM (SELECT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)) GROUP BY id, s), tot AS (SELECT id, sum(n) AS t FROM sh GROUP BY id), "
     "x AS (SELECT p.id AS a, q.id AS b, sum(least(p.n, q.n)) AS x FROM sh p JOIN sh q ON p.s = q.s AND p.id < q.id GROUP BY p.id, q.id), "
-    "sc AS (SELECT a, b, x / ta.t AS c_ab, x / tb.t AS c_ba, x / (ta.t + tb.t - x) AS jaccard FROM x JOIN tot ta ON a = ta.id JOIN tot tb ON b = tb.id)"
+    "sc AS (SELECT a, b, x / ta.t AS c_ab, x / tb.t AS c_ba, x / (ta.t + tb.t - x) AS jaccard FROM x JOIN tot ta ON a = ta.id JOIN tot tb ON b = tb.id WHERE x >= 0.3 * least(ta.t, tb.t))"
 )
 
 
@@ -463,8 +467,8 @@ _TRUTH = (
     "da AS (SELECT id, list_filter(min(atoms), lambda x: x IS NOT NULL) AS ats FROM docs WHERE id IS NOT NULL AND atoms IS NOT NULL GROUP BY id), "
     "ka AS (SELECT id, min(root) AS root, max(boiler) AS boiler FROM atoms WHERE id IS NOT NULL GROUP BY id), "
     "ea AS (SELECT d.id, d.i, d.atom, coalesce(ka.root, d.atom) AS root, coalesce(boiler, false) AS boiler FROM (SELECT id, unnest(ats) AS atom, generate_subscripts(ats, 1) AS i FROM da) d LEFT JOIN ka ON d.atom = ka.id), "
-    "pt AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT DISTINCT id, atom FROM ea) x JOIN (SELECT DISTINCT id, atom FROM ea) y ON x.atom = y.atom AND x.id < y.id), "
     "rs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT DISTINCT id, atom FROM ea WHERE NOT boiler) x JOIN (SELECT DISTINCT id, atom FROM ea WHERE NOT boiler) y ON x.atom = y.atom AND x.id < y.id), "
+    "pt AS (SELECT a, b FROM rs<also>), "
     "ct AS (SELECT DISTINCT pt.a, pt.b FROM pt JOIN da p ON pt.a = p.id JOIN da q ON pt.b = q.id JOIN ea x ON x.id = pt.a JOIN ea y ON y.id = pt.b AND x.root = y.root WHERE NOT list_contains(q.ats, x.atom) AND NOT list_contains(p.ats, y.atom)), "
     f"tk AS (SELECT pt.a, pt.b, p.ats AS x, q.ats AS y, len(p.ats) < len(q.ats) AND {_SUB.format('p.ats', 'q.ats')} AS ab, len(q.ats) < len(p.ats) AND {_SUB.format('q.ats', 'p.ats')} AS ba, rs.a IS NOT NULL AS real_, ct.a IS NOT NULL AS contested FROM pt JOIN da p ON pt.a = p.id JOIN da q ON pt.b = q.id LEFT JOIN rs ON rs.a = pt.a AND rs.b = pt.b LEFT JOIN ct ON ct.a = pt.a AND ct.b = pt.b), "
     "truth AS (SELECT a, b, CASE WHEN x = y THEN 'identical' WHEN (ab OR ba) AND least(len(x), len(y)) < 5 THEN 'trivial' WHEN ab OR ba THEN 'subset' WHEN list_sort(x) = list_sort(y) THEN 'reorder' WHEN NOT real_ THEN 'unrelated' WHEN contested THEN 'conflict' ELSE 'additive' END AS cls, "
@@ -472,11 +476,14 @@ _TRUTH = (
 )
 
 
-def _truth(spark: SparkSession, folder: str) -> DataFrame:
-    return B.truth(table(spark, folder, "docs").select("id", "atoms"), table(spark, folder, "atoms"))
+_TRUTH_SHARED, _TRUTH_JUDGED = _TRUTH.replace("<also>", ""), _TRUTH.replace("<also>", " UNION SELECT a, b FROM mv WHERE a IN (SELECT id FROM da) AND b IN (SELECT id FROM da)")
+
+
+def _truth(spark: SparkSession, folder: str, also: DataFrame | None = None) -> DataFrame:
+    return B.truth(table(spark, folder, "docs").select("id", "atoms"), table(spark, folder, "atoms"), also)
 
 
-@query(f"WITH {_TRUTH} SELECT a, b, cls, subset FROM truth")
+@query(f"WITH {_TRUTH_SHARED} SELECT a, b, cls, subset FROM truth")
 def truth_classes(spark: SparkSession, folder: str) -> DataFrame:
     return _truth(spark, folder)
 
@@ -485,17 +492,19 @@ _SCORED = "sc AS (SELECT cls, coalesce(mv.v, 'separate') AS v, CASE cls WHEN 'id
 
 
 @query(
-    f"{_MULTI_SQL}, {_TRUTH}, {_SCORED} SELECT count(*) AS pairs, count(*) FILTER (v = 'collapse' AND NOT safe) AS unsafe_merges, count(*) FILTER (cls IN ('identical', 'subset')) AS collapse_required, count(*) FILTER (cls IN ('identical', 'subset') AND v = 'collapse' AND safe) AS collapsed_safely, "
+    f"{_MULTI_SQL}, {_TRUTH_JUDGED}, {_SCORED} SELECT count(*) AS pairs, count(*) FILTER (v = 'collapse' AND NOT safe) AS unsafe_merges, count(*) FILTER (cls IN ('identical', 'subset')) AS collapse_required, count(*) FILTER (cls IN ('identical', 'subset') AND v = 'collapse' AND safe) AS collapsed_safely, "
     "count(*) FILTER (cls IN ('reorder', 'additive', 'conflict')) AS needs_review, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review') AS surfaced, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'collapse') AS hidden_by_collapse, count(*) FILTER (cls IN ('unrelated', 'trivial') AND v = 'review') AS false_review, "
     "count(*) FILTER (v = 'review') AS review_band, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review' AND typed) AS typed_count, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review' AND right_) AS typed_correct FROM sc"
 )
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return B.score(_truth(spark, folder), B.multi_verdicts(_texts(spark, folder)))
+    verdicts = materialise(B.multi_verdicts(_texts(spark, folder)))
+    return B.score(_truth(spark, folder, verdicts), verdicts)
 
 
-@query(f"{_MULTI_SQL}, {_TRUTH}, {_SCORED} SELECT cls, count(*) FILTER (v = 'collapse') AS collapse, count(*) FILTER (v = 'review') AS review, count(*) FILTER (v = 'separate') AS separate FROM sc GROUP BY cls")
+@query(f"{_MULTI_SQL}, {_TRUTH_JUDGED}, {_SCORED} SELECT cls, count(*) FILTER (v = 'collapse') AS collapse, count(*) FILTER (v = 'review') AS review, count(*) FILTER (v = 'separate') AS separate FROM sc GROUP BY cls")
 def score_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return B.score_matrix(_truth(spark, folder), B.multi_verdicts(_texts(spark, folder)))
+    verdicts = materialise(B.multi_verdicts(_texts(spark, folder)))
+    return B.score_matrix(_truth(spark, folder, verdicts), verdicts)
 
 
 # --- audit of the reported pairs, and of groups that are claimed of other contents -------------------------------------

@@ -215,10 +215,13 @@ def test_truth_classes(spark):
         "base": base, "copy": base, "sup": [*base, "a9"], "shuffled": base[::-1], "edit": [*base[:3], "e3", *base[4:]], "edit2": [*base[:3], "a10", *base[4:]], "tiny": ["h"], "other": ["h", "a11", "n"], "none": None,
     }
     df = spark.createDataFrame([(k, v, 1) for k, v in docs.items()], "id string, atoms array<string>, root long")
-    found = {(r["a"], r["b"]): (r["cls"], r["subset"]) for r in B.truth(df, spark.createDataFrame(atoms, "id string, text string, root string, boiler boolean")).collect()}
+    also = spark.createDataFrame([("other", "tiny"), ("base", "copy"), ("base", "other"), ("gone", "tiny")], "a string, b string")
+    known = spark.createDataFrame(atoms, "id string, text string, root string, boiler boolean")
+    found = {(r["a"], r["b"]): (r["cls"], r["subset"]) for r in B.truth(df, known, also).collect()}
+    assert ("other", "tiny") not in {(r["a"], r["b"]) for r in B.truth(df, known).collect()}
     assert found["base", "copy"] == ("identical", None) and found["base", "sup"] == ("subset", "base") and found["base", "shuffled"] == ("reorder", None)
     assert found["base", "edit"] == ("conflict", None) and found["base", "edit2"] == ("additive", None) and found["other", "tiny"] == ("trivial", None)
-    assert ("base", "other") not in found
+    assert found["base", "other"] == ("unrelated", None) and ("gone", "tiny") not in found
 
 
 def test_score_counts_unsafe_merges_first(spark):
