@@ -16,6 +16,7 @@ from ..operators import audit as A
 from ..operators import blocks as B
 from ..operators import containment as C
 from ..operators import exact as E
+from ..operators import follow_up as U
 from ..operators import merge3 as M
 from ..operators import similarity as S
 from ..operators import triage as G
@@ -582,6 +583,44 @@ def audit_completeness(spark: SparkSession, folder: str) -> DataFrame:
     return A.audit_completeness(claims, again).select("type", "a")
 
 
+# --- what follows a report --------------------------------------------------------------------------------------------
+
+
+@query(
+    f"{_WITH_PAIRS}, up AS (SELECT superset AS start, superset AS x FROM pairs UNION SELECT u.start, p.superset FROM up u JOIN pairs p ON u.x = p.subset), "
+    "reps AS (SELECT norm.id, uniq.id AS rep FROM norm JOIN uniq ON norm.content = uniq.content) "
+    "SELECT id, 'exact_duplicate' AS reason, rep AS keep FROM reps WHERE id <> rep UNION ALL "
+    "SELECT p.subset, 'contained', min(u.x) FROM pairs p JOIN up u ON u.start = p.superset WHERE u.x NOT IN (SELECT subset FROM pairs) GROUP BY p.subset"
+)
+def action_plan(spark: SparkSession, folder: str) -> DataFrame:
+    groups = E.duplicate_groups(_records(spark, folder, True)).select("id", "rep")
+    pairs = materialise(C.containment_pairs(_unique(spark, folder)))
+    return U.actions(groups, pairs, C.final_supersets(pairs))
+
+
+@query(
+    f"{_MULTI_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, edges AS (SELECT a, b FROM mv WHERE v = 'collapse'), {_REACH}, f AS (SELECT id, regexp_extract(id, '^([a-z]+[0-9]+)-', 1) AS family FROM d), b AS (SELECT f.id, family, coalesce(component, f.id) AS component FROM f LEFT JOIN mem ON f.id = mem.id), "
+    "cell AS (SELECT family, component, count(*) AS n FROM b GROUP BY family, component), fam AS (SELECT family, sum(n) AS f FROM cell GROUP BY family), com AS (SELECT component, sum(n) AS c FROM cell GROUP BY component) "
+    "SELECT CAST(sum(n) AS BIGINT) AS items, round(sum(n * n / c) / sum(n), 6) AS precision, round(sum(n * n / f) / sum(n), 6) AS recall FROM cell JOIN fam ON cell.family = fam.family JOIN com ON cell.component = com.component"
+)
+def bcubed_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """How well groups of collapsible docs agree with the families that they come from."""
+    docs = _texts(spark, folder)
+    edges = B.multi_verdicts(docs).where("v = 'collapse'").select("a", "b")
+    known = docs.select("id", F.regexp_extract("id", "^([a-z]+[0-9]+)-", 1).alias("family"))
+    found = U.b_cubed(S.clusters(edges), known)
+    return found.select("items", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"WITH {_ENTRIES_SQL} SELECT branch AS id, base.id AS base_id, true AS intact FROM ent JOIN (SELECT path, min(branch) AS id FROM ent WHERE branch LIKE '%-base%' AND content IS NOT NULL GROUP BY path) base ON ent.path = base.path WHERE content IS NOT NULL")
+def delta_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every doc as a difference from its family's base doc, and whether it comes back intact."""
+    live = _entries(spark, folder).where("content is not null").select("path", F.col("branch").alias("id"), "content")
+    base = live.where("id like '%-base%'").groupBy("path").agg(F.min(F.struct("id", "content")).alias("b"))
+    texts = live.join(base, "path").select("id", "content", F.col("b.id").alias("base_id"), F.col("b.content").alias("base"))
+    return U.variants(texts).select("id", "base_id", "intact")
+
+
 # --- scope and manifest -----------------------------------------------------------------------------------------------
 
 

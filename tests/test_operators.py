@@ -10,6 +10,7 @@ from samewise.operators import blocks as B
 from samewise.operators import components as K
 from samewise.operators import containment as C
 from samewise.operators import exact as E
+from samewise.operators import follow_up as U
 from samewise.operators import merge3 as M
 from samewise.operators import similarity as S
 from samewise.operators import triage as G
@@ -298,3 +299,21 @@ def test_audit_normalises_alike(spark):
     data = ["﻿a \r\nb\t \rc", "", " ", "x\r\r\ny", "end \t", "a\n\n \n"]
     df = spark.createDataFrame([(d,) for d in data], "x string")
     assert df.where(normalize(F.col("x")) != A.normalized_again(F.col("x"))).count() == 0
+
+
+def test_deltas_come_back(spark):
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ("".join(rng.choice(["a\n", "b\n", "c", "\n", "é\r\n"]) for _ in range(rng.randint(0, 8))) for _ in range(2))
+        assert U.undo_delta(a, U.delta(a, b)) == b
+
+
+def test_actions_and_b_cubed(spark):
+    groups = spark.createDataFrame([("a", "a"), ("b", "a")], "id string, rep string")
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y")], "subset string, superset string")
+    finals = spark.createDataFrame([("a", "x", "y"), ("a", "y", "y")], "subset string, superset string, final_superset string")
+    assert rows(U.actions(groups, pairs, finals), "id", "reason", "keep") == [("a", "contained", "y"), ("b", "exact_duplicate", "a")]
+    known = spark.createDataFrame([("f", "1"), ("f", "2"), ("g", "3"), ("g", "4")], "family string, id string")
+    clusters = spark.createDataFrame([("1", "1"), ("1", "2"), ("1", "3")], "component string, id string")
+    r = U.b_cubed(clusters, known).first()
+    assert r["items"] == 4 and r["precision"] == pytest.approx((2 / 3 * 2 + 1 / 3 + 1) / 4) and r["recall"] == pytest.approx((1 + 1 + 0.5 + 0.5) / 4)
