@@ -38,7 +38,7 @@ ENDS = ["md", "ts", "js", "mjs", "txt", "json"]
 #: file, n a number, w a noun, a an adjective, D a German noun, C a postcode, O a town.
 MENTIONS = """Please ask {P} about {x}.|{P} about {x}.|{P} wrote that the {w} is {a}.|Spoke with {t}{P} about {x}.|According to {P}, the {w} is {a}.
 Dear {P},|cc {P}|— {P}|Author: {P}|Reviewed-by: {P}|Signed-off-by: {P} <{E}>|{P} <{E}> wrote:|owner={P}; module={x}|owner={P}|reviewer: {P}
-{P} ¦ {E}|{P} ¦ {E} ¦ {T}|{P};{E};{T}|{P};{A};{T}|contact;{P};{E};{T}|{P} - {A} - {T}|* {P} ({E})|- {P} ({T})|{P}, {T}|{P}, {A}|name;{P};address;{A};phone;{T}
+{P} ¦ {E}|{P} ¦ {E} ¦ {T}|{P};{E};{T}|{P};{A};{T}|contact;{P};{E};{T}|{P} - {A} - {T}|{P} - {A} - {T}|{P} - {A} - {T}|{P} - {A}, {O} - {T}|* {P} ({E})|- {P} ({T})|{P}, {T}|{P}, {A}|name;{P};address;{A};phone;{T}
 {P} once reviewed the {w} of {x}.|{P} last reviewed {x}.|The {w} was handed to {P} last night.|Handed over by {P} last night.|{P} reported it again.|Thanks to {P} for the {w}.
 We asked {P} and {P} about the {w}.|Assigned to {P}.|Meeting with {t}{P}, {x} is {a}.|{P} said the {w} stays {a}.|{P}, the {w} of {x} is {a}.
 Bitte {P} nach {x} fragen.|{t}{P} hat {x} übernommen.|Herr {P} hat {x} übernommen.|Frau {P} hat {x} übernommen.|Geprüft von {P}|Übergabe an {P}, sobald {x} fertig ist.|Laut {P} ist {x} grob.|Laut {P} ist {x} lokal.|Bitte {P} nach dem {D} fragen.|Nach Angabe von {P} ist {x} lang.|Viele Grüße {P}|Viele Grüße
@@ -50,7 +50,7 @@ Escribir a {E} sobre {x}.|Écrire à {E} au sujet de {x}.|{x} alerts ({E}) stay
 Phone: {T}|Tel. {T}|Tel.: {T}|Tél. {T}|tel {T} / desk of {x}|Call {T} if the {w} stays {a}.|They answered on {T} after the {w} failed.|On call this week: {T}|{T}
 Bitte unter {T} anrufen, wenn {x} hängt.|Llamar al {T} si {x} falla.|Joindre le {T} si {x} échoue.|mobile {T}|Fax: {T}|Telefon {T}|{T} / desk of {x}
 {I}|{I}|{I}|Someone left {I} in the {w}.|The form pasted into {x} shows {I}.|Im Anhang steht {I}.|La pièce jointe montre {I}.|El anexo muestra {I}.|{I}, expired
-Address: {A}|Anschrift: {A}|Adresse : {A}|Dirección: {A}|{A}|{A}|Office moved to {A} in spring.|Post bitte an {A} senden.|Envoyer le courrier au {A}.|Enviar la carta a {A}.
+Address: {A}|Anschrift: {A}|Adresse : {A}|Dirección: {A}|{A}|{A}|Office moved to {A} in spring.|Post bitte an {A} senden.|Post bitte an {A} senden.|Post an {A}.|Envoyer le courrier au {A}.|Enviar la carta a {A}.
 Send the {w} to {A}.|Ship the {w} to {A}.|The badge was printed for {A}.|Address: {A}, {C} {O}|{A}, {C} {O}|{A}, {O}|{A}, {O} {C}|Anschrift: {A}, {C} {O}|Office moved to {A}, {O} {C} in spring.
 Post bitte an {A}, {C} {O} senden.|{P} - {A}, {O} {C} - {T}|{P};{A}, {C} {O};{T}|Enviar la carta a {A}, {C} {O}.|Envoyer le courrier au {A}, {O} {C}.|{P}, {A}, {O}|Deliver to {A}, {O}."""
 
@@ -154,7 +154,7 @@ class _Draw:
                 return f"Flat {self.r.randint(1, 99)}, {street}"
             return street + (pick([f", Apt {d(2)}", f", Unit {d(1)}", f", Unit {d(2)}", f" #{d(2)}", f" #{d(1)}", f", Apt {d(1)}"]) if unit < 0.4 else "")
         if way == 4:
-            return pick([f"{s}{pick(['straße', 'weg', 'str.', 'gasse'])} {n}{pick(['', '', 'a', 'b', 'c'])}", f"Am {s} {n}", f"{s}-Allee {n}", f"{s}straße {n}{pick(['', 'a', 'b'])}", f"{s}str. {n}", f"{s}weg {n}{pick(['', 'c'])}"])
+            return pick([f"{s}{pick(['straße', 'weg', 'str.', 'gasse'])} {n}{pick(['', '', 'a', 'b', 'c'])}", f"Am {s} {n}", f"{s}-Allee {n}", f"{s}straße {n}{pick(['', 'a', 'b'])}", f"{s}straße {n}", f"{s}str. {n}", f"{s}weg {n}{pick(['', 'c'])}"])
         if way < 7 and way != 6:
             return pick([f"{n} bis, avenue {s}", f"{n}, rue de la {s}", f"{n}, chemin du {s}", f"{n} boulevard {s}", f"{n}, rue {s}", f"{n} ter, avenue {s}"])
         tail = pick(["", "", f", {self.r.randint(1, 9)}.º {pick('ABCD')}"])
