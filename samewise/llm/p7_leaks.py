@@ -2,7 +2,8 @@
 
 Method: greedy string tiling. Items and documents that share a run of ``least`` words (a seed, found by its
 Karp-Rabin hash) are joined; for each such pair the longest matches that do not overlap are marked again and again, from
-the longest down to ``least`` words, found by Karp-Rabin hashes over what is not yet marked. The tiles may stand in any
+the longest down to ``least`` words; matches are runs of windows with equal Karp-Rabin hashes, and what is left of a
+match that others cut is a match again. The tiles may stand in any
 order, so reordered passages count, and the share of the item's words that tiles cover tells how much of it leaked.
 
 Words are of letters and digits, after compatibility decomposition, without accents, lower-cased. Items whose words
@@ -19,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from . import _text as T
 
 LEAST = 12
 BROADCAST_WINDOWS = 1 << 21  # 16 MB of hashes
+KEPT_TEXTS = 2000
 
 
 @cache
@@ -80,50 +83,57 @@ def plain_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return T.mix(T.span_hashes(T.char_values()[folded], starts, ends)), np.searchsorted(starts, begins)
 
 
+def runs_of_hits(group: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Hits (windows at i and j with one hash, of a pair numbered ``group``) as matches: hits that follow one another on a
+    diagonal are one match. Gives group, start, start and length of each match, by group."""
+    order = np.lexsort((i, i - j, group))
+    group, i, j = group[order], i[order], j[order]
+    new = np.concatenate(([True], (group[1:] != group[:-1]) | (i[1:] - j[1:] != i[:-1] - j[:-1]) | (i[1:] != i[:-1] + 1))) if len(i) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return group[first], i[first], j[first], np.diff(np.append(first, len(i))) + least - 1
+
+
+def mark(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Tiles (start, start, length): the longest match is marked, the earliest among equals, and so on; of a match that is
+    marked in part, what is left and still long enough takes its place among the others."""
+    heap = [(-n, i, j) for i, j, n in matches]
+    heapify(heap)
+    used_a: set[int] = set()
+    used_b: set[int] = set()
+    found = []
+    while heap:
+        n, i, j = heappop(heap)
+        n = -n
+        free, start = [], 0
+        for k in range(n + 1):
+            if k == n or i + k in used_a or j + k in used_b:
+                if k - start >= least:
+                    free.append((start, k))
+                start = k + 1
+        if free == [(0, n)]:
+            used_a.update(range(i, i + n))
+            used_b.update(range(j, j + n))
+            found.append((i, j, n))
+        else:
+            for x, y in free:
+                heappush(heap, (x - y, i + x, j + x))
+    return found
+
+
 def tiles(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Tiles (start in a, start in b, length) of two word arrays, longest first, earliest first among equals."""
-    found: list[tuple[int, int, int]] = []
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    while True:
-        seeds: dict[int, list[int]] = {}
-        for arr, free, which in ((a, free_a, 0), (b, free_b, 1)):
-            starts, ends = T.spans(free)
-            long = ends - starts >= least
-            at = np.concatenate([np.arange(s, e - least + 1) for s, e in zip(starts[long], ends[long], strict=True)] or [np.zeros(0, np.int64)])
-            h = T.span_hashes(arr, at, at + least, T.WORD_BASE)
-            if which:
-                hits = [(i, j) for j, x in zip(at.tolist(), h.tolist(), strict=True) for i in seeds.get(x, ())]
-            else:
-                for i, x in zip(at.tolist(), h.tolist(), strict=True):
-                    seeds.setdefault(x, []).append(i)
-        # the hits of one diagonal that follow one another are one match
-        matches: list[tuple[int, int, int]] = []
-        open_at: dict[int, tuple[int, int, int]] = {}
-        for i, j in sorted(hits, key=lambda x: (x[0] - x[1], x[0])):
-            last = open_at.get(i - j)
-            if last and last[0] + last[2] - least + 1 == i:
-                open_at[i - j] = (last[0], last[1], last[2] + 1)
-            else:
-                if last:
-                    matches.append(last)
-                open_at[i - j] = (i, j, least)
-        matches += open_at.values()
-        if not matches:
-            return found
-        cut = False
-        for i, j, n in sorted(matches, key=lambda m: (-m[2], m[0], m[1])):
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
-                free_a[i : i + n] = free_b[j : j + n] = False
-                found.append((i, j, n))
-            else:
-                cut = True  # what is left of it is looked for again
-        if not cut:
-            return found
-
-
-def _coverage(found: list[tuple[int, int, int]], item: np.ndarray) -> tuple[int, int, float]:
-    words = sum(n for _, _, n in found)
-    return max(n for _, _, n in found), len(found), words / len(item)
+    one = lambda x: T.windows(x, np.array([0, len(x)]), least)
+    (ha, ia), (hb, jb) = one(a), one(b)
+    order = np.argsort(hb, kind="stable")
+    lo, hi = (np.searchsorted(hb[order], ha, side) for side in ("left", "right"))
+    i = np.repeat(ia, hi - lo)
+    j = jb[order][np.repeat(lo, hi - lo) + np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+    _, i, j, n = runs_of_hits(np.zeros(len(i), np.int64), i, j, least)
+    return mark(list(zip(i.tolist(), j.tolist(), n.tolist(), strict=True)), least)
+
+
+def _coverage(found: list[tuple[int, int, int]], words: int) -> tuple[int, int, float]:
+    return max(n for _, _, n in found), len(found), sum(n for _, _, n in found) / words
 
 
 _LEAK = "doc_id long, item long, longest int, tiles int, coverage double"
@@ -144,7 +154,7 @@ def _tile_pairs(least: int):
             for d, t, i, o in zip(docs, texts, items, others, strict=True):
                 b = plain_words([o])[0]
                 if found := tiles(plain_words([t])[0], b, least):
-                    out.append((d, i, _coverage(found, b)))
+                    out.append((d, i, _coverage(found, len(b))))
             yield _leak_batch(out)
 
     return run
@@ -190,23 +200,33 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, broadcast_
             seeds, at = T.windows(words, bounds, least)
             order = np.argsort(seeds, kind="stable")
             seeds, of = seeds[order], T.owners(bounds)[at][order]
+            place, sizes = at[order] - bounds[of], np.diff(bounds)
+            known: dict[str, list] = {}  # a text's leaks: copies of a text that has any are tiled once
             for batch in batches:
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                out = []
-                for i, j in T.blocks(texts):
-                    mine, mb = plain_words(texts[i:j])
+                out = [(k, *x) for k, t in zip(keys, texts, strict=True) if t in known for x in known[t]]
+                fresh = list(dict.fromkeys(t for t in texts if t not in known))
+                of_text: dict[str, list] = {}
+                for i, j in T.blocks(fresh):
+                    mine, mb = plain_words(fresh[i:j])
                     wh, wat = T.windows(mine, mb, least)
-                    lo = np.searchsorted(seeds, wh)
-                    hit = np.flatnonzero(seeds[np.minimum(lo, len(seeds) - 1)] == wh) if len(seeds) else []
-                    if not len(hit):
+                    lo, hi = (np.searchsorted(seeds, wh, side) for side in ("left", "right"))
+                    many = hi - lo
+                    if not many.any():
                         continue
-                    hi = np.searchsorted(seeds, wh[hit], "right")
-                    doc = T.owners(mb)[wat[hit]]
-                    pairs = {(d, k) for d, a, b in zip(doc.tolist(), lo[hit].tolist(), hi.tolist(), strict=True) for k in of[a:b].tolist()}
-                    for d, k in sorted(pairs):
-                        item = words[bounds[k] : bounds[k + 1]]
-                        if found := tiles(mine[mb[d] : mb[d + 1]], item, least):
-                            out.append((keys[i + d], int(names[k]), _coverage(found, item)))
+                    e = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                    doc = np.repeat(T.owners(mb)[wat], many)
+                    g, x, y, n = runs_of_hits(doc * len(sizes) + of[e], np.repeat(wat, many) - mb[doc], place[e], least)
+                    matches: dict[int, list] = {}
+                    for pair, *m in zip(g.tolist(), x.tolist(), y.tolist(), n.tolist(), strict=True):
+                        matches.setdefault(pair, []).append(tuple(m))
+                    for pair, ms in matches.items():
+                        d, k = divmod(pair, len(sizes))
+                        of_text.setdefault(fresh[i + d], []).append((int(names[k]), _coverage(mark(ms, least), int(sizes[k]))))
+                out += [(k, *x) for k, t in zip(keys, texts, strict=True) for x in of_text.get(t, ())]
+                if len(known) > KEPT_TEXTS:
+                    known.clear()
+                known |= of_text
                 yield _leak_batch(out)
 
         found = docs.mapInArrow(scan, _LEAK)
