@@ -97,6 +97,17 @@ def shingles(c: Column, width: int = 5) -> Column:
     return let(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), runs)
 
 
+def counted(units: Column) -> Column:
+    """The distinct units of a list with how often each occurs: ``array<struct<unit, times>>``, by one sort."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        whole = let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("unit"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("times"))))
+        return F.when(F.size(s) > 0, whole)
+
+    return let(F.sort_array(units), runs)
+
+
 def _word_set(c: Column) -> Column:
     return F.array_distinct(F.split(F.lower(c), "[^A-Za-z0-9_]+", -1))
 

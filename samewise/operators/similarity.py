@@ -31,9 +31,9 @@ class Embedder:
         self.df = self.counts(corpus).groupBy("term").agg(F.count("*").alias("df"))
 
     def counts(self, texts: DataFrame) -> DataFrame:
-        """``id, term, tf, len``: len is the number of tokens."""
-        found = texts.select("id", self.tokenizer(F.col("content")).alias("ts")).withColumn("len", F.size("ts"))
-        return found.select("id", "len", F.explode("ts").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+        """``id, len, term, tf``: len is the number of tokens. Counted within each row, so nothing is shuffled."""
+        found = texts.select("id", self.tokenizer(F.col("content")).alias("ts"))
+        return found.select("id", F.size("ts").alias("len"), F.explode(X.counted(F.col("ts"))).alias("t")).select("id", "len", F.col("t.unit").alias("term"), F.col("t.times").alias("tf"))
 
     def transform(self, texts: DataFrame) -> DataFrame:
         """``id, term, w, df``; a term the corpus lacks has the greatest weight there is."""

@@ -78,3 +78,8 @@ def test_classify_units(spark):
 def test_path_id_and_extension(spark):
     assert one(spark, " ./././a\\b.md\n", X.path_id) == "a/b.md"
     assert [one(spark, p, X.extension) for p in ("a/b.tar.gz", ".hidden", "x/.y", "noext", "a.b/c")] == [".gz", "", "", "", ""]
+
+
+def test_counted(spark):
+    assert [tuple(r) for r in one(spark, ["b", "a", "b"], X.counted, "array<string>")] == [("a", 1), ("b", 2)]
+    assert one(spark, [], X.counted, "array<string>") is None and one(spark, None, X.counted, "array<string>") is None
