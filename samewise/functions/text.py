@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as regular expressions of the reference's language understand it.
+#: White space, the byte-order mark and Unicode's own included.
 SPACE = "[\\t-\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 #: Words that carry no weight in similarity.
 STOPWORDS = (
