@@ -208,8 +208,8 @@ def format_duplicates(texts: DataFrame, hot_share: float = HOT_SHARE, hot_rows:
     Gives ``src, keep_id, id, copies``: keep_id is the set's smallest id, copies the number of its ids. A set of more
     than ``hot_share`` of the rows (and of ``hot_rows``) is split over several tasks.
     """
+    least = max(texts.select("src").count() * hot_share, float(hot_rows))  # reads no text
     texts = texts.select("src", "id", "text").where("id is not null and text is not null")
-    least = max(texts.count() * hot_share, float(hot_rows))
     light = texts.mapInArrow(_hash_rows(False), "src string, id string, h1 long, h2 long")
     hot = light.groupBy(_SET).agg(F.count("*").alias("n")).where(F.col("n") > least)
     hot = materialise(hot.select(*_SET, F.ceil(F.col("n") / least).cast("int").alias("salts")))  # at most 1/hot_share rows

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import _text as T
 
 FREQUENT_SHARE = 1 / 1000
@@ -51,9 +52,10 @@ def _count(texts: list[str]) -> tuple[list[list[str]], list[list[int]]]:
 
 
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each batch of texts how many hold a term and how often it occurs: terms are combined before any shuffle."""
+    """For each batch of texts how many hold a term and how often it occurs: terms are combined before any shuffle. The
+    empty term, which no text has, stands for the texts themselves."""
     for batch in batches:
-        held, occur = Counter(), Counter()
+        held, occur = Counter({"": batch.num_rows}), Counter()
         for text in batch.column(0).to_pylist():
             found = count_terms(text)
             held.update(found.keys())
@@ -84,11 +86,12 @@ def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, leas
     """
     spark = records.sparkSession
     texts = records.select("id", "content").where("id is not null and content is not null").dropDuplicates(["id"])
-    total = texts.select("id").count()
-    least = max(1.0, total * frequent_share)
     held = texts.select("content").mapInArrow(_sum_rows, "term string, m long, c long").groupBy("term").agg(F.sum("m").alias("m"), F.sum("c").alias("c"))
+    held = materialise(held)  # a row for each term
+    total = next((r["m"] for r in held.where("term = ''").collect()), 0)
+    least = max(1.0, total * frequent_share)
     # the frequent terms, at most (mean number of terms) / frequent_share, and one row for all others together
-    some = held.groupBy(F.when(F.col("m") >= least, F.col("term")).alias("term")).agg(F.sum("m").alias("m"), F.sum("c").alias("c")).collect()
+    some = held.where("term <> ''").groupBy(F.when(F.col("m") >= least, F.col("term")).alias("term")).agg(F.sum("m").alias("m"), F.sum("c").alias("c")).collect()
     length = sum(r["c"] for r in some)
     known = spark.sparkContext.broadcast({r["term"]: (r["m"], r["c"]) for r in some if r["term"] is not None})
 
