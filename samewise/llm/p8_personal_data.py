@@ -65,7 +65,7 @@ def token_features(token: str) -> list[str]:
     s, low = shape(token), token.lower()
     out = [f"s={s}", f"w={low}"]
     if token[0].isalpha():
-        out += [f"l={s}{min(len(token), 12) // 2}", f"3={s}{low[-3:]}", f"4={s}{low[-4:]}", f"2={low[-2:]}"]
+        out += [f"l={s}{min(len(token), 12) // 2}", f"3={s}{low[-3:]}", f"4={s}{low[-4:]}", f"2={low[-2:]}", f"^={s}{low[:3]}"]
     return out
 
 
@@ -410,7 +410,7 @@ _CHECKS = {
     "phone": re.compile(r"\+?(?:\D*\d){6,}.*", re.S),
     "id_number": re.compile(r"(?:[^\d]*\d){6,}.*", re.S),
     "address": re.compile(r"(?=.*\d)(?=.*[^\W\d_]{2}).*", re.S),
-    "person": re.compile(r"[^\W\d_][^\d@|]*[\s,][^\d@|]*[^\W\d_]{2}", re.S),
+    "person": re.compile(r"(?=.*[^\W\d_]{2})[^\W\d_][^\d@|]*[\s,][^\d@|]*[^\W\d_]\.?", re.S),
 }
 
 
