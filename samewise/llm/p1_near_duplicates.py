@@ -15,9 +15,9 @@ rarest, two sets of similarity s or more share one of the first n - ceil(s * n)
 48 bits within a text and 32 bits between texts.
 
 Defined results: null ids, contents and lists, null elements, empty sets and records under 20 words give no pairs;
-repeated rows of an id count once; texts are taken whole; other columns are ignored; empty tables give no rows. Pairs
-of copies: all pairs between two classes (and within one) are given while a class has at most ``expand`` members; of a
-larger class each member is paired with the class's first id, and with others the first id stands for the class.
+repeated rows of an id count once; texts are taken whole; other columns are ignored; empty tables give no rows. All
+pairs within a class and between two linked ones are given, whatever their size; only of a content with more than
+``expand`` exact copies each copy is paired with the first of them alone, which stands for them in all other pairs.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def bitmaps(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 _ROWS = {
     "signed": "src string, id string, h1 long, h2 long, size int, a array<int>, b array<int>, bits array<long>",
-    "named": "src string, id string, h1 long, h2 long",
+    "named": "src string, id string, text long, h1 long, h2 long",
     "sets": "h1 long, h2 long, elements array<int>",
 }
 DOCS_AT_ONCE = 10_000
@@ -109,12 +109,13 @@ def _set_rows(src: str, rows: str):
                     continue
                 starts = bounds[full]
                 hashes = _class_hashes(elements, starts)
-                named = [pa.array([src] * len(full)), ids.take(pa.array(full + i)), *hashes]
+                at = pa.array(full + i)
+                named = [pa.array([src] * len(full)), ids.take(at), *hashes]
                 if rows == "sets":
                     short = T.mix(elements, 81).astype(np.uint32).view(np.int32)
                     yield pa.RecordBatch.from_arrays([*hashes, T.list_array(short, np.append(starts, bounds[-1]), pa.int32())], ["h1", "h2", "elements"])
                 elif rows == "named":
-                    yield pa.RecordBatch.from_arrays(named, ["src", "id", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([*named[:2], batch.column(2).take(at), *hashes], ["src", "id", "text", "h1", "h2"])
                 else:
                     kinds = (pa.int32(), pa.int32(), pa.int64())
                     parts = (*halves(elements, starts), bitmaps(elements, starts))
@@ -127,8 +128,9 @@ def _set_rows(src: str, rows: str):
 
 def _scan(records: DataFrame, docs: DataFrame, rows: str) -> DataFrame:
     out = []
-    for src, df, value in (("records", records, "content"), ("docs", docs, "atoms")):
-        df = df.select("id", value).where(f"id is not null and {value} is not null")
+    for src, df, value, length in (("records", records, "content", F.length), ("docs", docs, "atoms", F.size)):
+        text = [F.xxhash64(value, length(value)).alias("text")] if rows == "named" else []  # equal for exact copies
+        df = df.select("id", value, *text).where(f"id is not null and {value} is not null")
         out.append(df.mapInArrow(_set_rows(src, rows), _ROWS[rows]))
     return out[0].union(out[1])
 
@@ -248,25 +250,26 @@ def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILA
 
 
 def class_members(records: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``src, id, cid`` for each id that has a set."""
-    named = _scan(records, docs, "named").distinct()
-    return named.join(classes.select("src", "h1", "h2", "cid"), ["src", "h1", "h2"]).select("src", "id", "cid")
+    """``src, id, cid, text`` for each id that has a set; text is a hash of the whole content."""
+    named = _scan(records, docs, "named").groupBy("src", "id", "h1", "h2").agg(F.min("text").alias("text"))
+    return named.join(classes.select("src", "h1", "h2", "cid"), ["src", "h1", "h2"]).select("src", "id", "cid", "text")
 
 
 def near_pairs(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, expand: int = EXPAND, bucket: int = BUCKET, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``src, id_a, id_b`` for pairs of records (id, content) and of docs (id, atoms) of that similarity or more."""
     classes, links = near_classes(records, docs, similarity, bucket, hot_rows)
     members = materialise(class_members(records, docs, classes))
-    sizes = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    members = members.join(sizes, "cid")
-    several = members.where("n > 1")
-    small = several.where(F.col("n") <= expand)
-    within = small.join(small.select("cid", F.col("id").alias("other")), "cid").where("id < other").select("src", F.col("id").alias("id_a"), F.col("other").alias("id_b"))
-    star = several.where((F.col("n") > expand) & (F.col("id") != F.col("rep"))).select("src", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    speak = members.where((F.col("n") <= expand) | (F.col("id") == F.col("rep")))
+    speak, star = members, None
+    copied = materialise(members.groupBy("cid", "text").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where(F.col("n") > expand).drop("n"))
+    if not copied.isEmpty():
+        marked = members.join(copied, ["cid", "text"], "left")
+        speak = marked.where("rep is null or id = rep")
+        star = marked.where("id > rep").select("src", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    within = speak.select("src", "cid", F.col("id").alias("id_a")).join(speak.select("cid", F.col("id").alias("id_b")), "cid").where("id_a < id_b").select("src", "id_a", "id_b")
     x, y = speak.select("src", F.col("cid").alias("a"), F.col("id").alias("x")), speak.select(F.col("cid").alias("b"), F.col("id").alias("y"))
     across = links.select("a", "b").join(x, "a").join(y, "b").select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return across.union(within).union(star)
+    found = across.union(within)
+    return found if star is None else found.union(star)
 
 
 def near_groups(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -280,4 +283,4 @@ def near_groups(records: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     found = classes.join(groups, "cid").join(degree, "cid", "left")
     first = found.groupBy("group").agg(F.min("rep").alias("group_id"))
     found = found.join(first, "group").select("src", "h1", "h2", F.col("rep").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return _scan(records, docs, "named").distinct().join(found, ["src", "h1", "h2"]).select("src", "id", "class_id", "group_id", "links")
+    return _scan(records, docs, "named").drop("text").distinct().join(found, ["src", "h1", "h2"]).select("src", "id", "class_id", "group_id", "links")

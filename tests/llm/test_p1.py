@@ -110,3 +110,15 @@ def test_recall_of_the_tables(spark):
     found = set(rows(P.near_pairs(r, d), "id_a", "id_b"))
     assert found <= truth and len(found) >= 0.99 * len(truth)
     assert r.where(F.col("id").isNull()).count() == 0
+
+
+def test_only_exact_copies_are_a_star(spark):
+    """A class of one set but many texts, with a near class and copies of one text: all pairs between different texts."""
+    body = [f"w{j}" for j in range(40)]
+    records = [(f"c{k:02}", " ".join(body) + "." * k) for k in range(12)] + [(f"n{k}", " ".join([*body[:-1], "other"]) + "!" * k) for k in range(2)]
+    copies = [(f"z{k:02}", records[3][1]) for k in range(8)]  # with c03, nine of one text
+    docs = [(f"d{k}", ["a", "b", "c", "d"] + ["a"] * k) for k in range(7)]
+    r, d = frames(spark, records + copies, docs)
+    found = rows(P.near_pairs(r, d, expand=5), "src", "id_a", "id_b")
+    assert len(found) == len(set(found))
+    assert set(found) == brute(records, docs) | {("records", "c03", i) for i, _ in copies}
