@@ -6,6 +6,10 @@ takes from the record's distribution what the background explains:
 
     E: e_t = n_t * w * p_t / ((1 - w) * P(t | collection) + w * p_t)      M: p_t = e_t / sum(e)
 
+These rounds approach the greatest likelihood, slowly. It is concave in p, so its maximum, the converged p, is taken directly:
+with r_t = (1 - w) / w * P(t | collection) it is p_t = max(0, n_t / x - r_t), x being such that the p_t add up to 1. The terms
+of p above 0 are the first ones by n_t / r_t, as many as leave n_t / r_t above x.
+
 The converged p_t ranks the terms of a record. No term is pruned, so every term keeps its rank and an exact check may
 follow. Background probabilities of frequent terms (held by at least one in ``1/frequent_share`` records, so at most
 records' mean number of terms times ``1/frequent_share`` of them) are broadcast; those of all other terms are joined.
@@ -31,7 +35,7 @@ from . import _text as T
 
 FREQUENT_SHARE = 1 / 1000
 WEIGHT = 0.1  # of the record's own distribution
-ROUNDS = 20
+ROUNDS = 20_000  # of expectation-maximisation that come close to the maximum; for comparison only
 _TERM = re.compile(r"[^\W_]{2,}")
 _ASCII = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
 
@@ -65,16 +69,19 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def maximise(counts: np.ndarray, background: np.ndarray, bounds: np.ndarray, weight: float = WEIGHT, rounds: int = ROUNDS) -> np.ndarray:
+def maximise(counts: np.ndarray, background: np.ndarray, bounds: np.ndarray, weight: float = WEIGHT) -> np.ndarray:
     """The converged probability of each term of each record; a record's terms lie between two bounds, none is empty."""
     n, starts, sizes = counts.astype(float), bounds[:-1], np.diff(bounds)
     spread = lambda x: np.repeat(x, sizes)
-    p = n / spread(np.add.reduceat(n, starts))
     rest = (1 - weight) / weight * background
-    for _ in range(rounds):
-        e = n * p / (rest + p)
-        p = e / spread(np.add.reduceat(e, starts))
-    return p
+    of = T.owners(bounds)
+    order = np.lexsort((-n / rest, of))
+    up_to = lambda x: (s := np.cumsum(x)) - spread(s[starts] - x[starts])
+    m, r = n[order], rest[order]
+    level = up_to(m) / (1 + up_to(r))  # x, if the terms up to here are those above 0
+    last = np.maximum.reduceat(np.where(m > level * r, np.arange(len(m)), -1), starts)
+    p = np.maximum(n / spread(level[last]) - rest, 0.0)
+    return p / spread(np.add.reduceat(p, starts))
 
 
 def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, least_score: float | None = None) -> DataFrame:

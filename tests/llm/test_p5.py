@@ -70,3 +70,22 @@ def test_mass_moves_to_what_is_rare():
 def test_empty_table(spark):
     assert P.term_scores(frame(spark, [])).count() == 0
     assert P.outstanding_terms(frame(spark, [("a", None), ("b", "")])).count() == 0
+
+
+def test_converged_as_by_a_long_run():
+    """Also where few rounds leave p and the order of terms far from their limits."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 60, 40)
+    bounds = np.cumsum([0, *sizes])
+    n, background = rng.integers(1, 9, bounds[-1]), rng.pareto(1.0, bounds[-1]) / 2000 + 1e-6
+    got = P.maximise(n, background, bounds)
+    rest = (1 - P.WEIGHT) / P.WEIGHT * background
+    for a, z in zip(bounds, bounds[1:], strict=False):
+        p = n[a:z] / n[a:z].sum()
+        for _ in range(50_000):
+            e = n[a:z] * p / (rest[a:z] + p)
+            p = e / e.sum()
+        assert np.abs(got[a:z] - p).max() < 1e-7
+        # no probability can be moved with gain
+        slope = n[a:z] / (rest[a:z] + got[a:z])
+        assert slope[got[a:z] > 0].min() >= slope.max() * (1 - 1e-9)
