@@ -557,6 +557,23 @@ def audit_final_supersets(spark: SparkSession, folder: str) -> DataFrame:
     return A.audit_pairs(claims, records).where("type = 'containment_final_superset'")
 
 
+@query(
+    f"{_CLAIM_PAIRS} SELECT DISTINCT 'containment_extra_mismatch' AS type, subset AS a, superset AS b FROM t WHERE ok AND NOT (list_filter(y, lambda v, i: NOT list_contains(list_transform(extra, lambda e: e.line), i - 1)) = x "
+    "AND len(list_filter(extra, lambda e: coalesce(y[e.line + 1] = e.text AND e.line >= 0, false))) = len(extra))"
+)
+def audit_extra_reported(spark: SparkSession, folder: str) -> DataFrame:
+    """The reported pairs as they stand whose recorded difference doesn't add up."""
+    return _audited_pairs(spark, folder).where("type = 'containment_extra_mismatch'")
+
+
+@query(
+    f"{_CLAIM_PAIRS}, u AS (SELECT DISTINCT subset, x, unnest(fs) AS f FROM t WHERE ok) SELECT DISTINCT 'containment_final_superset' AS type, subset AS a, f AS b FROM (SELECT u.*, string_split(r.raw, {_LF}) AS z FROM u JOIN rec r ON u.f = r.id) WHERE NOT ({_SUB.format('x', 'z')})"
+)
+def audit_final_supersets_reported(spark: SparkSession, folder: str) -> DataFrame:
+    """The reported final supersets as they stand that don't contain their subset."""
+    return _audited_pairs(spark, folder).where("type = 'containment_final_superset'")
+
+
 @query(f"WITH {_sql_records()}, {_CLAIMS}, ids AS (SELECT subset AS id FROM cl UNION SELECT superset FROM cl UNION SELECT unnest(fs) FROM cl) SELECT 'missing_record' AS type, id AS a, id AS b FROM ids WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM rec)")
 def audit_missing(spark: SparkSession, folder: str) -> DataFrame:
     return _audited_pairs(spark, folder).where("type = 'missing_record'")

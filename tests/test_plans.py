@@ -160,3 +160,19 @@ def test_core_stands_alone():
                 if n.endswith(".py"):
                     text = open(os.path.join(at, n), encoding="utf-8").read()
                     assert ".llm" not in text and "import llm" not in text, n
+
+
+def test_audit_reports_real_claims(spark, tmp_path):
+    """A wrong difference and a wrong final superset in the table come out; right ones don't."""
+    from samewise.plans import catalog
+
+    at = "timestamp'2024-01-01'"
+    spark.sql(f"SELECT id, content, 'main' AS branch, {at} AS modified_at, {at} AS loaded_at FROM VALUES ('s', 'a\\nb'), ('t', 'a\\nx\\nb'), ('u', 'other') AS v(id, content)").write.parquet(f"{tmp_path}/records.parquet")
+    claims = " UNION ALL ".join(
+        f"SELECT '{a}' AS subset, '{b}' AS superset, array(named_struct('line', {line}, 'text', 'x')) AS extra, array('{f}') AS final_supersets, {at} AS generated_at, {at} AS loaded_at"
+        for a, b, line, f in (("s", "t", 1, "t"), ("s", "t", 0, "t"), ("s", "t", 1, "u"))
+    )
+    spark.sql(claims).write.parquet(f"{tmp_path}/containment_pairs.parquet")
+    found = lambda name: [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+    assert found("audit_extra_reported") == [("containment_extra_mismatch", "s", "t")]
+    assert found("audit_final_supersets_reported") == [("containment_final_superset", "s", "u")]
