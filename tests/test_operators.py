@@ -317,3 +317,15 @@ def test_actions_and_b_cubed(spark):
     clusters = spark.createDataFrame([("1", "1"), ("1", "2"), ("1", "3")], "component string, id string")
     r = U.b_cubed(clusters, known).first()
     assert r["items"] == 4 and r["precision"] == pytest.approx((2 / 3 * 2 + 1 / 3 + 1) / 4) and r["recall"] == pytest.approx((1 + 1 + 0.5 + 0.5) / 4)
+
+
+def test_truth_of_docs_of_boilerplate(spark):
+    """Identical, reordered and contained lists count before what is boilerplate."""
+    h = [f"h{k}" for k in range(6)]
+    docs = {"all": h, "copy": h, "turned": h[::-1], "in": [h[0], "a1", *h[1:]], "five": h[:5], "two": h[:2], "two2": h[:2], "apart": ["a2", "h0"]}
+    df = spark.createDataFrame(list(docs.items()), "id string, atoms array<string>")
+    known = spark.createDataFrame([(x, x, x.startswith("h")) for x in [*h, "a1", "a2"]], "id string, root string, boiler boolean")
+    assert rows(B.truth(df, known), "a", "b", "cls", "subset") == [
+        ("all", "copy", "identical", None), ("all", "five", "subset", "five"), ("all", "in", "subset", "all"), ("all", "turned", "reorder", None), ("copy", "five", "subset", "five"),
+        ("copy", "in", "subset", "copy"), ("copy", "turned", "reorder", None), ("five", "in", "subset", "five"), ("two", "two2", "identical", None),
+    ]
