@@ -1,216 +1,491 @@
 """The small labelled table that the tagger of problem 8 is trained from.
 
-Each row is a text and the places of its mentions. The rows are drawn, always the same ones, from patterns of sentences
-and lines with slots; a slot of a kind is a mention, all else is not. Names and words are given as lists or put
-together from parts; every person, place and number is invented.
+Each row is a line and the places of its mentions. Rows are drawn, always the same ones, from a grammar: cues, verbs and
+everyday vocabulary of English, German, French and Spanish, public formats of numbers and addresses, common names, and
+as many names and words put together from syllables, so that a mention must be told by its form and its neighbours and
+not only by known words. All of it is general knowledge written down for this purpose; no text of any corpus was used.
 """
 
 from __future__ import annotations
 
 import random
-import re
 
 KINDS = ("email", "phone", "id_number", "address", "person")
+Mention = tuple[int, int, str]
 
-FIRST = """Goran Rafi Ramón Bruno Tilda Corin Leila Loïc Ilse Teo Gisela Yara Farid Mirela Pavel Nuno Nadja Emre Dilek Yusuf Wim Anaïs Alma
-Inês Dario Bela Olga Fabio Carla Pilar Jürgen Quirin Ursula Zeno Elvira Silke Víctor Noor Greta Sanne Lasse Jana Uma Priya Kira Xaver Fenja Björn
-Ivo Ulf Sefa Rosa Kofi Katja Hanno Oskar Chloé Désiré Mads Amina Vera Odile Hélène Jorin Marta Hamid Wanda Zoë Tomas Edda Nur Anna Pierre Lucía
-Heinz Aiko Tariq Saoirse Milan Petra Jorge Agnès Ravi Lena Peter Maria John Alice Mehmet Ingrid Paul Sofía Karl Yvonne""".split()
-LAST_HEAD = "Pol Dru Wes Ril Cas Lin Zan Stel Ste Kob Ko Os Iver Bra Brat Hal Quen Ner Nert Fen Mor Gal Tar Ved Ve Ib Mal Tor Ber Hol San Wal Kar Ros Lam Dor Fer Vas".split()
-LAST_MIDDLE = "mal ki li ba ra ma lo ro va tu tun do de be ne ve ta la ni si sa no ka mo ri".split()
-LAST_TAIL = "llin mallin querre quequerre kamp vic livic rück ruck ndaz dondaz rosh lenko mond nder nender ssel wald strom ñez nez tier vist mander son berg mann ez eau ini ov sen meyer".split()
-PARTICLES = ["von", "van", "de", "della", "van der", "de la", "zu", "di", "dos"]
-PLACES = ["Saint-Orbel", "Lindhaven", "Quillstadt", "Norvelle", "Verrano", "Ostmarrow", "Puerto Almeza", "Bad Tarnow", "Fernhollow", "Castelmar", "Grünau"]
-STREET_HEAD = "Umber Alder Birken Garnet Rowan Sorrel Juniper Yarrow Linden Violet Wicken Pinzon Marl Heron Iver Elms Fallow Orchard Corvin Dorn Tamarin Ash Oak Maple Mill Kirch Garten Schul Berg Rosen Victor Molin".split()
-STREET_TAIL = ["", "", "field", "bach", "dale", "holt", "stein", "ton", "mere", "wick", "brook"]
-DECOY = "Golden Amber Cobalt Silver Northern Hollow Quiet Winter Paper Crimson Velvet Distant Copper".split()
-NOUNS = """budget layout ledger record pipeline queue handoff baseline cluster snapshot verdict branch outline renderer schedule decision mirror scanner
-threshold median folder segment header footer partition caveat driver glossary report token archive reviewer backlog index lane court way road close
-street place terrace square""".split()
-VERBS = "skips trims wraps counts sorts quotes labels merges caches shadows restores compares audits drops flags exports".split()
-ADJECTIVES = "steady narrow odd quick early hidden pending shallow closed rough local exact nested weekly frozen long deep".split()
-DE_NOUNS = "Abschnitt Fassung Warnung Plan Notiz Länge Zeile Feld Archiv Zeiger Vorlage Urteil Spiegel Korpus Umbau Eintrag Datei Antwort Schalter Prüfung Kopie Auftrag Schlüssel Ordner Lücke Fenster Vermerk Angabe Punkt Modul Zweig Bestand Teil Wert Speicher".split()
-DE_WORDS = "genau kurz lang breit flach offen lokal grob eng sehr meist etwas".split()
-SYLLABLES = "ash bar den ema fol gri hul ito jor kem lan mip nor ost pri quel rus tav ul ura vek wim yar zol ka lo mi ren tu sha vo".split()
-ENDS = ["md", "ts", "js", "mjs", "txt", "json"]
-
-#: Lines with mentions, one a | (a ¦ stands for a | in the line). Slots: P person, E e-mail, T phone, A address, I label and number of an identity; x a module, f a
-#: file, n a number, w a noun, a an adjective, D a German noun, C a postcode, O a town.
-MENTIONS = """Please ask {P} about {x}.|{P} about {x}.|{P} wrote that the {w} is {a}.|Spoke with {t}{P} about {x}.|According to {P}, the {w} is {a}.
-Dear {P},|cc {P}|— {P}|Author: {P}|Reviewed-by: {P}|Signed-off-by: {P} <{E}>|{P} <{E}> wrote:|owner={P}; module={x}|owner={P}|reviewer: {P}
-{P} ¦ {E}|{P} ¦ {E} ¦ {T}|{P};{E};{T}|{P};{A};{T}|contact;{P};{E};{T}|{P} - {A} - {T}|{P} - {A} - {T}|{P} - {A} - {T}|{P} - {A}, {O} - {T}|* {P} ({E})|- {P} ({T})|{P}, {T}|{P}, {A}|name;{P};address;{A};phone;{T}
-{P} once reviewed the {w} of {x}.|{P} last reviewed {x}.|The {w} was handed to {P} last night.|Handed over by {P} last night.|{P} reported it again.|Thanks to {P} for the {w}.
-We asked {P} and {P} about the {w}.|Assigned to {P}.|Meeting with {t}{P}, {x} is {a}.|{P} said the {w} stays {a}.|{P}, the {w} of {x} is {a}.
-Bitte {P} nach {x} fragen.|{t}{P} hat {x} übernommen.|Herr {P} hat {x} übernommen.|Frau {P} hat {x} übernommen.|Geprüft von {P}|Übergabe an {P}, sobald {x} fertig ist.|Laut {P} ist {x} grob.|Laut {P} ist {x} lokal.|Bitte {P} nach dem {D} fragen.|Nach Angabe von {P} ist {x} lang.|Viele Grüße {P}|Viele Grüße
-{P}|{P}|Danke an {P} für die Prüfung.|Ansprechpartner: {P}|Rücksprache mit {t}{P} zu {x}.
-Merci à {P} pour la relecture.|Demander à {P} pour {x}.|{t}{P} reprend {x}.|Mme {P} reprend {x}.|Selon {P}, {x} est manquant.|Selon {P}, {x} est fermé.|Relu par {P}|Cordialement, {P}|Bonjour {P},|D'après {P}, le module {x} est exact.
-Preguntar a {P} por {x}.|{t}{P} se ocupa de {x}.|Sra. {P} se ocupa de {x}.|Gracias a {P} por la revisión.|Según {P}, {x} está rápido.|Según {P}, {x} está doble.|Revisado por {P}|Atentamente, {P}|Hola {P},
-Contact: {E}|Kontakt: {E}|Contact : {E}|Contacto: {E}|mailto:{E}|Bounced copies went to <{E}> again.|Kopie ging an <{E}>.|Send the {w} to {E}.|Rückfragen an {E}
-Escribir a {E} sobre {x}.|Écrire à {E} au sujet de {x}.|{x} alerts ({E}) stay {a}.|{E}|write to {E} if the {w} stays {a}|E-Mail: {E}|Reply to {E}, not to the list.
-Phone: {T}|Tel. {T}|Tel.: {T}|Tél. {T}|tel {T} / desk of {x}|Call {T} if the {w} stays {a}.|They answered on {T} after the {w} failed.|On call this week: {T}|{T}
-Bitte unter {T} anrufen, wenn {x} hängt.|Llamar al {T} si {x} falla.|Joindre le {T} si {x} échoue.|mobile {T}|Fax: {T}|Telefon {T}|{T} / desk of {x}
-{I}|{I}|{I}|Someone left {I} in the {w}.|The form pasted into {x} shows {I}.|Im Anhang steht {I}.|La pièce jointe montre {I}.|El anexo muestra {I}.|{I}, expired
-Address: {A}|Anschrift: {A}|Adresse : {A}|Dirección: {A}|{A}|{A}|Office moved to {A} in spring.|Post bitte an {A} senden.|Post bitte an {A} senden.|Post an {A}.|Envoyer le courrier au {A}.|Enviar la carta a {A}.
-Send the {w} to {A}.|Ship the {w} to {A}.|The badge was printed for {A}.|Address: {A}, {C} {O}|{A}, {C} {O}|{A}, {O}|{A}, {O} {C}|Anschrift: {A}, {C} {O}|Office moved to {A}, {O} {C} in spring.
-Post bitte an {A}, {C} {O} senden.|{P} - {A}, {O} {C} - {T}|{P};{A}, {C} {O};{T}|Enviar la carta a {A}, {C} {O}.|Envoyer le courrier au {A}, {O} {C}.|{P}, {A}, {O}|Deliver to {A}, {O}."""
-
-#: Lines without mentions; S is a capitalised decoy name, h a hexadecimal hash, g a run of digits.
-PLAIN = """Project {S} ships with {x}.|Release {S} replaces build {n}.{n}.{n}.|The Merge Desk asked the Layout Team about ticket {n}-{n}.|The {W} Desk asked the {W} Team about {x}.|run 2025{n}-{g} took {n}.{n} s
-lines {n}-{n} of {f}, {n},{n},{n} bytes|score 0.{n} at 20:55 on 2026-05-13|Pinned @{x}/{w}@{n}.{n}.{n} in the lock.|origin git@{x}.invalid:team/{w}.git (fetch)|upstream git@{x}.test:{x}/{w}.git (push)
-[02:17:25] stage {x} {w}={n}|[22:51:34] INFO {x} {w}={n}|[13:00:28] WARN {x} {w}={n}|[16:37:04] pass {x} {w}={n}|@@ -{n},7 +{n},9 @@|commit {h}|checksum {g}{g} for shard {n}|task {u} done|build {n} of {x} passed
-function {x}(rows) {|  return rows.filter((r) => r.{w} !== "{a}");|}|```|{n} {a} lanes and {n} merge courts remain in {x}.|{n} {a} {w}s remain at {x}.|# Open questions {x}|## Branch triage {x}|= Scan report {x}|## Übergabe {x}|# Prüfbericht {x}|Passation {x}|# Offene Punkte {x}|## Points ouverts {x}
-The {a} {w} and the {a} {w} disagree about {x}, although the {w} {v} both.|When the {w} {v} the {w}, the {a} {w} of {x} {v} nothing.|If the {w} {v} {f}, then a {a} {w} mostly {v} the {w}.|Every {w} in {x} {v} a {a} {w}, so the {w} stays {a}.|In {n} cases the {w} {v} a {a} {w}; the {w} often {v} {x}.
-We saw the {w} in {f}, where the {a} {w} rarely {v} a {a} {w}.|Last week {x} and {x} shared one {a} {w}, which {v} the {w}.|This {w} {v} {n} lines of {f} while the {a} {w} waits.|Nobody expected the {w} to stay {a} once {x} {v} the {w}.|After the {a} scan, {x} {v} {n} entries and the {w} fully {v} the {w}.|Both the {w} and the {a} {w} of {f} {v} the {w}.|Keep the {a} {w} near {x} until the {w} {v} the {w}.
-How many {w} entries remain after {x} drops the {a} {w}?|Q: What does {x} report {x} when {x} is empty?|> Deep {W} Disagree About {X}.|> {W} {W} {W} The {W}|* The {a} {w} {v} it - twice.|- A {a} {w} from {f} {v} the {w} that {x} only {v}|+ The {w} of {x} is {a}, but its {w} often {v} the {a} {w}.
-Wir sahen in {f} nur {D}, {D} und {n} Stellen, alle {d}.|Ohne {D} und {D} ist {x} zu {d}, daher ergänzt {f} den Rest.|Im Modul {x} sortiert jeder {D} {D} den {D} {D}.|Nach dem Lauf kopiert {x} genau {n} Werte, und das Wort {D} bleibt {d}.|Was {f} ersetzt, ist {d}, weil das Stichwort {D} den {D} {D} wiederholt.|Der Bestand {D} verwirft den Teil {D}, sobald {x} etwas {d} ist.|Wenn {x} den {D} {D} verwirft, ist die {D} {D} meist {d}.
-Quand le {w} dépasse le {w}, {f} devient complet pour le registre.|Dans {x}, chaque journal réduit un étage plus distant que {f}.|Après le passage, {x} répète {n} lignes et le calendrier reste grossier.|Sans étage ni lecteur, le module {x} est trop large et garde {f}.|On a vu dans {f} un retour distant, un étage et {n} écarts.|Si le sommaire lit {x}, alors le seuil ouvert sépare un catalogue.|Le bloc court déplace le étage avant que {x} ne soit local.
-Sin término ni aviso el módulo {x} es muy doble y copia {f}.|En {x} cada archivo repite un regreso más rápido que {f}.|Tras la pasada, {x} completa {n} líneas y el lote sigue burdo.|Cuando el peso rechaza el control, {f} queda lento para el directorio.|Vimos en {f} un revisor cuidadoso, un lector y {n} huecos.|El catálogo obsoleto reúne el regreso antes de que {x} sea lento.
-Project {S}|Release {S} is {a}.|Team {S} owns {x}.|Module {S} replaces {f}.|the {S} rollout|{W} Street module and {W} Road release are {a}.|{n} %|{n} of {n} done|version {n}.{n}.{n}|2024-{n}-{n}|naïve café|½ done|проверка файлов|PR #{n} merged at {n}:{n}|ref {n}/{n}|{h}|see {f}:{n}|{x}: {n}, {n}, {n}|id={n} size={g}"""
-
-_SLOT = re.compile(r"\{([A-Za-z])\}")
-_TITLES = ["Dr. ", "Mme ", "Herr ", "Herr ", "Frau ", "Sra. ", "Sr. ", "Mr. ", "Mrs. ", "M. ", "Prof. ", "Ms. ", "", "", "", ""]
+_FIRST = """James Mary Robert Patricia Michael Jennifer William Linda David Elizabeth Richard Barbara Joseph Susan Thomas Jessica Charles Sarah Daniel Karen
+Matthew Lisa Anthony Nancy Mark Betty Paul Sandra Steven Ashley Andrew Emily Kenneth Donna George Michelle Kevin Laura Brian Emma Edward Olivia Grace Owen
+Hans Klaus Jürgen Wolfgang Dieter Manfred Uwe Stefan Matthias Florian Sabine Petra Monika Renate Heike Anja Katrin Ulrike Jörg Günter Björn Sören Käthe Frieda
+Jean Pierre Jacques François Philippe Nicolas Étienne Gérard Luc Marie Catherine Nathalie Céline Amélie Zoé Chloé Léa Agnès Hélène Anaïs Benoît Mathilde
+José Juan Carlos Javier Miguel Ángel Fernando Sergio Raúl Andrés María Carmen Isabel Pilar Lucía Sofía Marta Elena Rocío Íñigo Nuria Ximena
+Giulia Marco Luca Francesca Matteo Chiara João Tiago Rui Ana Inês Lars Erik Astrid Ingrid Sven Freja Ole Aino Mikko Piotr Agnieszka Katarzyna Jakub Ivan
+Olga Dmitri Natasha Yuri Mehmet Ayşe Fatma Emre Ahmed Fatima Omar Leila Hassan Amina Wei Mei Hiroshi Yuki Kenji Priya Arjun Anjali Ravi Nia Kwame Thandi""".split()
+_LAST = """Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Martin Thompson White Harris Clark Lewis Robinson Walker Young
+Allen King Wright Scott Hill Green Adams Baker Nelson Carter Mitchell Roberts Turner Phillips Campbell Parker Evans Edwards Collins O'Brien O'Connor McDonald
+Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Krüger Hartmann
+Dubois Durand Leroy Moreau Laurent Lefebvre Roux Fournier Girard Bonnet Lambert Fontaine Rousseau Mercier Blanc Guérin Garnier Chevalier Besson Renaud
+García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Díaz Torres Ruiz Navarro Iglesias Ortega Delgado Castro Ortiz Muñoz Núñez Vázquez
+Rossi Ferrari Esposito Bianchi Silva Santos Ferreira Pereira Hansen Johansson Nilsson Larsen Virtanen Kowalski Nowak Novák Horvat Petrov Ivanova Yılmaz Demir
+Khan Ali Hussein Haddad Chen Wang Nguyen Tanaka Suzuki Kim Park Patel Sharma Singh Okafor Mensah Dlamini""".split()
+_PARTICLES = ["von", "von der", "van", "van der", "van den", "de", "de la", "del", "du", "della", "di", "da", "dos", "zu", "ten", "le", "al"]
+_TITLES = ["Mr. ", "Mrs. ", "Ms. ", "Mr ", "Ms ", "Dr. ", "Dr ", "Prof. ", "Prof. Dr. ", "Herr ", "Frau ", "Herrn ", "Herr Dr. ", "M. ", "Mme ", "Mlle ", "Monsieur ", "Madame ", "Sr. ", "Sra. ", "Señor ", "Señora ", "Don ", "Doña "]
+_ONSET = "b br c ch d dr f fl g gr h j k kl l m n p pr qu r s sch st t th tr v w y z".split()
+_NUCLEUS = "a a e e i i o o u ai au ei ie ou é ó ü".split()
+_CODA = ["", "", "", "l", "n", "r", "s", "m", "x", "nd", "rt", "ck", "ll", "ng", "st"]
+_NAME_END = ["", "", "son", "sen", "mann", "er", "ez", "eau", "ini", "ov", "ski", "sky", "berg", "stein", "ström", "feld", "wood", "ley", "ton", "ard", "ier", "elli", "ic", "ides", "oğlu", "bach", "quist"]
+_TOWNS = "London Leeds York Berlin Hamburg Köln Bremen Paris Lyon Lille Madrid Sevilla Bilbao Boston Denver Austin Dublin Wien Zürich Genf".split()
+
+_WORDS = {
+    "en": (
+        """report index folder check table record limit branch review release test queue buffer parser summary merge note list result hash copy version change update error
+ schema column threshold entry segment layout checksum draft config cache module script pipeline match sample corpus paragraph heading header footer section chapter page
+ report ticket issue step stage batch job run log trace cluster pair score group duplicate archive backup storage disk server key value field list order plan goal budget meeting
+ agenda question answer example rule path file line text word sentence token street road lane avenue court square park bridge garden house office desk team floor""",
+        """new old small large stale fresh missing broken clean empty partial full final first last next open closed local remote shared common rare slow fast safe wrong right exact
+ rough quiet early late weekly daily manual hidden shallow deep wide narrow second third several other same different stable minor major internal external""",
+        """reads writes drops keeps moves checks covers needs shows holds fails passes returns opens closes skips lists counts merges sorts splits joins finds marks hides adds removes
+ replaces repeats follows matches blocks delays confirms updates explains compares exceeds contains""",
+        "the a this that every each no some one its our".split(),
+        "in of for with after before under over behind near from to on by without against between".split(),
+        "and but because while when although since if so or".split(),
+    ),
+    "de": (
+        """Bericht Verzeichnis Ordner Prüfung Tabelle Satz Grenze Zweig Durchsicht Ausgabe Test Schlange Puffer Übersicht Hinweis Liste Ergebnis Kopie Version Änderung Fehler Spalte
+ Schwelle Eintrag Abschnitt Aufbau Entwurf Stapel Lauf Protokoll Gruppe Paar Bewertung Archiv Sicherung Speicher Rechner Schlüssel Wert Feld Reihenfolge Ziel Sitzung Frage Antwort Beispiel
+ Regel Pfad Datei Zeile Text Wort Übergabe Stand Woche Sprache Vergleich Quelle Anlage Vorgang Auswahl Absatz Kapitel Seite Brücke Garten Büro Straße Weg Platz Tisch Beschreibung""",
+        "neue alte kleine große leere volle letzte erste offene lokale seltene langsame schnelle sichere falsche genaue grobe frühe späte tägliche ganze gleiche andere stabile innere äußere fehlende",
+        "liest schreibt verwirft behält verschiebt prüft braucht zeigt hält meldet öffnet schließt überspringt zählt ordnet teilt verbindet findet ersetzt wiederholt vergleicht enthält bleibt fehlt",
+        "der die das ein eine jeder jede kein keine dieser diese sein ihr den dem".split(),
+        "in von für mit nach vor unter über hinter bei aus zu auf durch ohne gegen zwischen".split(),
+        "und aber weil während wenn obwohl seit ob oder sobald".split(),
+    ),
+    "fr": (
+        """rapport index dossier contrôle tableau enregistrement limite branche relecture sortie essai file tampon résumé note liste résultat copie version changement erreur colonne seuil
+ entrée segment plan brouillon lot passage journal groupe paire score archive sauvegarde disque serveur clé valeur champ ordre but réunion question réponse exemple règle chemin fichier
+ ligne texte mot semaine langue source annexe paragraphe chapitre page pont jardin bureau rue place étape étage équipe""",
+        "nouveau ancien petit grand vide plein dernier premier ouvert fermé local rare lent rapide sûr faux exact grossier tardif quotidien entier autre même stable interne externe manquant",
+        "lit écrit retire garde déplace vérifie couvre demande montre tient échoue ouvre ferme saute compte fusionne trie sépare trouve remplace répète suit compare dépasse contient reste",
+        "le la les un une ce cette chaque aucun aucune son sa leur".split(),
+        "dans de pour avec après avant sous sur derrière près chez par sans contre entre".split(),
+        "et mais car pendant quand comme si ou donc puisque".split(),
+    ),
+    "es": (
+        """informe índice carpeta control tabla registro límite rama revisión entrega prueba cola resumen nota lista resultado copia versión cambio error columna umbral entrada segmento plan
+ borrador lote paso diario grupo par puntuación archivo respaldo disco servidor clave valor campo orden objetivo reunión pregunta respuesta ejemplo regla ruta fichero línea texto palabra
+ semana idioma fuente anexo párrafo capítulo página puente jardín oficina calle plaza etapa equipo""",
+        "nuevo viejo pequeño grande vacío lleno último primero abierto cerrado local raro lento rápido seguro falso exacto tosco tardío diario entero otro mismo estable interno externo ausente",
+        "lee escribe quita guarda mueve revisa cubre necesita muestra falla abre cierra salta cuenta une ordena separa encuentra reemplaza repite sigue compara supera contiene queda devuelve",
+        "el la los un una este esta cada ningún ninguna su".split(),
+        "en de para con tras antes bajo sobre detrás cerca por sin contra entre según".split(),
+        "y pero porque mientras cuando aunque si o pues".split(),
+    ),
+}
+_WORDS = {k: tuple(w.split() if isinstance(w, str) else w for w in v) for k, v in _WORDS.items()}
+
+#: What stands before a person, by language; ~ for what may follow: any prose.
+_BEFORE = {
+    "en": """ask|please ask|talk to|spoke to|speak with|call|contact|met|met with|according to|thanks to|thank you|handed to|passed to|given to|sent to|sent by|written by|reviewed by|checked by|approved by|signed by|signed|
+ owned by|owner|assigned to|reported by|raised by|requested by|changed by|last touched by|drafted by|waiting for|on behalf of|replaces|joined by|together with|and|cc|from|per|for|by|to|with|via|attn|attention|
+ hi|hello|dear|regards|best regards|kind regards|cheers|thanks|yours|said|note from|message from|reminder from|mail from|feedback from|question from|contact person is|contact is|author is|the author,|our colleague|the reviewer,|the reviewer""",
+    "de": """bitte|frag|fragt|fragen Sie|gesprochen mit|Rücksprache mit|Gespräch mit|laut|nach|dank|Dank an|danke|danke an|übergeben an|weiter an|geschickt von|geschrieben von|geprüft von|gesehen von|freigegeben von|unterschrieben von|gez.|
+ verantwortlich|zuständig ist|zuständig|gemeldet von|angefragt von|geändert von|zusammen mit|und|von|an|bei|für|durch|mit|statt|Vertretung|hallo|guten Tag|liebe|lieber|sehr geehrte|sehr geehrter|Grüße|viele Grüße|beste Grüße|Gruß|
+ Ansprechpartner ist|Ansprechpartnerin ist|Autor ist|unser Kollege|unsere Kollegin|Nachricht von|Hinweis von|Rückfrage an|Anruf von""",
+    "fr": """demandez à|demander à|voir avec|parlé à|parlé avec|appelez|contactez|rencontré|selon|d'après|grâce à|merci à|merci|transmis à|confié à|envoyé par|envoyé à|écrit par|relu par|vu par|vérifié par|validé par|signé par|signé|
+ responsable|attribué à|signalé par|demandé par|modifié par|en attente de|au nom de|avec|et|de|par|à|pour|chez|via|bonjour|cher|chère|cordialement|bien à vous|salutations|l'auteur est|le contact est|notre collègue|message de|note de|question de|rappel de""",
+    "es": """pregunte a|preguntar a|hable con|hablado con|hablamos con|llame a|contacte con|reunión con|según|gracias a|gracias|entregado a|pasado a|enviado por|enviado a|escrito por|revisado por|visto por|comprobado por|aprobado por|firmado por|firmado|
+ responsable|asignado a|avisado por|pedido por|cambiado por|a la espera de|en nombre de|junto con|con|y|de|por|a|para|vía|hola|estimado|estimada|un saludo|saludos|atentamente|el autor es|el contacto es|nuestro colega|mensaje de|nota de|pregunta de|recordatorio de""",
+}
+#: What stands after a person that begins the sentence.
+_AFTER = {
+    "en": """said|says|wrote|writes|asked|thinks|found|agreed|replied|reported|noted|confirmed|added|answered|suggested|wants|will|has|had|is|was|can|takes over|took over|owns|reviewed|checked|signed|approved|moved|left|joined|called|
+ is out|is back|looks after|once said|last checked|no longer|and I|and the others|who|also|still""",
+    "de": "sagt|sagte|schrieb|schreibt|fragt|meint|fand|findet|antwortete|meldete|bestätigte|will|wird|hat|hatte|ist|war|kann|übernimmt|übernahm|prüft|prüfte|sah|unterschrieb|ging|kam|rief an|betreut|kümmert sich|bittet|und ich|auch|noch",
+    "fr": "dit|a dit|écrit|a écrit|demande|a demandé|pense|trouve|a répondu|a signalé|a confirmé|veut|va|a|avait|est|était|peut|reprend|a repris|relit|a relu|vérifie|a vu|a signé|part|arrive|appelle|s'occupe de|suit|et moi|aussi|encore",
+    "es": "dice|dijo|escribe|escribió|pregunta|preguntó|piensa|encontró|respondió|avisó|confirmó|quiere|va a|ha|había|es|está|puede|asume|asumió|revisa|revisó|comprueba|vio|firmó|sale|llega|llama|se encarga de|lleva|y yo|también|todavía",
+}
+_LABELS = {
+    "person": """Author Owner Reviewer Contact Assignee Reporter Name Editor Maintainer Approver Attendee Speaker Signed Prepared-by Signed-off-by Reviewed-by Acked-by Tested-by Co-authored-by Reported-by Cc To From Attn Lead Manager Backup
+ Verfasser Autor Autorin Prüfer Prüferin Kontakt Ansprechpartner Ansprechpartnerin Bearbeiter Zuständig Teilnehmer Vertretung An Von Auteur Relecteur Responsable Rédacteur Nom Correspondant De À Autor Revisor Revisora Responsable Contacto Nombre Encargado Para owner author user name reviewer""".split(),
+    "email": "Email E-mail e-mail Mail mail Contact Reply-To To Cc From Kontakt E-Mail Mailadresse Antwort Courriel Mél Adresse Correo Contacto Dirección email user address".split(),
+    "phone": "Phone phone Tel Tel. Telephone Mobile Cell Fax Call Hotline Telefon Mobil Handy Durchwahl Rufnummer Tél. Téléphone Portable Télécopie Teléfono Tlf. Tfno. Móvil tel".split(),
+    "address": "Address address Home Office Location Delivery Ship-to Postal Residence Anschrift Adresse Wohnort Lieferadresse Büro Domicile Livraison Dirección Domicilio Envío Oficina".split(),
+}
+#: Kinds of phrases around the other mentions; @ is the mention.
+_PHRASES = {
+    "email": {
+        "en": "write to @|mail @|send it to @|send the ~ to @|reach me at @|copies go to @|the list is @|subscribed as @|bounced from @|forwarded to @|questions to @|@ bounced|@ is the address|contact @ for ~|or use @|reply to @ only|(@)|<@>|mailto:@",
+        "de": "Rückfragen an @|bitte an @ schicken|schreiben Sie an @|Mail an @|Kopie an @|erreichbar unter @|die Adresse ist @|weiter an <@>|mailto:@|(@)|@ antwortet nicht",
+        "fr": "écrire à @|écrivez à @|envoyer à @|joignable à @|copie à @|questions à @|l'adresse est @|<@>|mailto:@|(@)|@ ne répond pas",
+        "es": "escribir a @|escriba a @|enviar a @|copia a @|dudas a @|la dirección es @|disponible en @|<@>|mailto:@|(@)|@ no responde",
+    },
+    "phone": {
+        "en": "call @|call me on @|ring @|reach us at @|text @|the number is @|dial @ for ~|answered on @|phone @|fax @|or by phone: @|at @ until noon|@ after six|(@)|the desk is on @|mobile @|leave a message on @",
+        "de": "unter @ erreichbar|bitte @ anrufen|Anruf unter @|Tel. @|Telefon @|Fax @|mobil @|die Nummer ist @|Rückruf unter @|oder unter @|(@)",
+        "fr": "appeler le @|joindre le @|au @|tél. @|par téléphone au @|le numéro est le @|fax @|portable @|rappeler le @|(@)",
+        "es": "llamar al @|llame al @|en el @|tel. @|por teléfono al @|el número es el @|fax @|móvil @|devolver la llamada al @|(@)",
+    },
+    "address": {
+        "en": "lives at @|moved to @|the office is at @|send it to @|deliver to @|ship to @|meet at @|visit @|parcel for @|badge sent to @|mail goes to @|the house at @|our place, @|registered at @|letters to @|at @ now|from @ to ~|printed for @",
+        "de": "wohnt in der @|Post an @|bitte an @ senden|Paket an @|das Büro ist @|umgezogen nach @|Treffpunkt @|Lieferung an @|gemeldet in @|Besuch in @|jetzt @",
+        "fr": "habite au @|envoyer au @|courrier au @|colis au @|le bureau est au @|déménagé au @|livrer au @|rendez-vous au @|domicilié au @|maintenant @",
+        "es": "vive en @|enviar a @|carta a @|paquete a @|la oficina está en @|mudado a @|entregar en @|cita en @|domiciliado en @|ahora @",
+    },
+    "id_number": {
+        "en": "@|the form shows @|someone pasted @ into the ~|we found @ in the ~|the scan shows @|attached: @|@ on file|copy of @|please remove @|(@)|line with @|quoted @ twice|@, valid|@ (expired)",
+        "de": "@|im Formular steht @|im Anhang steht @|gefunden: @|bitte @ löschen|Kopie von @|(@)|@, gültig|in der ~ steht @",
+        "fr": "@|le formulaire montre @|la pièce montre @|trouvé : @|merci de retirer @|copie de @|(@)|@, valable|dans le ~ : @",
+        "es": "@|el formulario muestra @|el anexo muestra @|encontrado: @|por favor borrar @|copia de @|(@)|@, vigente|en la ~ consta @",
+    },
+}
+_PHRASES = {k: {lang: p.split("|") for lang, p in v.items()} for k, v in _PHRASES.items()}
+_BEFORE, _AFTER = ({lang: [x.strip() for x in p.split("|")] for lang, p in side.items()} for side in (_BEFORE, _AFTER))
+
+#: Public formats of identity numbers with labels: # a digit, A a letter.
+_IDENTITIES = [
+    ("SSN|SSN|Social Security Number|social security number|social security no.|Soc. Sec. No.|social security", "###-##-####|###-##-####|### ## ####|#########"),
+    ("National Insurance number|National Insurance no.|NINO|NI number", "AA ## ## ## A|AA######A"),
+    ("passport|Passport|passport no.|passport no|Passport No.|passport number|Passport number|travel document", "A########|AA#######|#########|A##A#####|##AA#####|AAA######|A########A"),
+    ("Reisepass|Pass-Nr.|Reisepassnummer|Passnummer|Personalausweis|Ausweis-Nr.|Ausweisnummer|Personalausweisnummer", "A##A##A##|AA#######|A########|A##A#####|A###A##A#"),
+    ("Steuer-ID|Steuer-IdNr.|IdNr.|Steueridentifikationsnummer|Steuer-Identifikationsnummer", "## ### ### ###|###########"),
+    ("Steuernummer|St.-Nr.|Steuer-Nr.", "##/###/#####|###/####/####|## ### #####|###/###/#####"),
+    ("Sozialversicherungsnummer|SV-Nummer|Rentenversicherungsnummer|RVNR", "## ###### A ###|########A###"),
+    ("NIR|n° de sécurité sociale|numéro de sécurité sociale|numéro de sécu|n° INSEE|sécurité sociale", "# ## ## ## ### ### ##|# ## ## ### ### ## ##|###############"),
+    ("passeport|passeport n°|n° de passeport|numéro de passeport|carte d'identité|CNI|carte nationale d'identité", "##AA#####|############|AA#######|A########|A##A#####"),
+    ("numéro fiscal|n° fiscal|SPI|identifiant fiscal", "## ## ### ### ###|#############|##########"),
+    ("DNI|DNI|NIF|DNI/NIF|documento nacional de identidad|documento", "########A|########-A|##.###.###-A|######## A"),
+    ("NIE|NIE/TIE", "A#######A|A-#######-A"),
+    ("pasaporte|pasaporte n.º|número de pasaporte|n.º de pasaporte", "AAA######|AA#######|A########|A##A#####"),
+    ("Seguridad Social|número de la Seguridad Social|NUSS|n.º de afiliación", "## ######## ##|############|##/########/##"),
+    ("tax ID|tax id|TIN|EIN|tax number|taxpayer number|tax no.|VAT ID|tax file number", "##-#######|##########|### ### ###|#########|### ## ####"),
+    ("national ID|national id|ID card|identity card|ID number|ID no.|personal number|identity number|national identity number", "##########|######-####|AA######|A#######|###########|######## ####|AA ### ###"),
+]
+_PHONES = """+1 ###-###-####|+1 (###) ###-####|+1 ### ### ####|+1.###.###.####|1-###-###-####|(###) ###-####|(###) ###-####|###-###-####|###-###-####|###.###.####|### ### ####|+44 20 #### ####|+44 ## #### ####|+44 7### ######|+44 (0)20 #### ####|
+020 #### ####|0### ### ####|0#### ######|07### ######|07### ### ###|+49 ## #######|+49 ### ######|+49 (0)## #######|+49 (0)## ##### ###|+49-##-#######|+49 ## #### ####|+49 ### ### ## ##|0##/#######|0##/########|0### #######|0##-#######|0### / ######|(0##) #######|
++33 # ## ## ## ##|+33 (0)# ## ## ## ##|0# ## ## ## ##|0#.##.##.##.##|0#-##-##-##-##|+34 ### ### ###|+34 ### ## ## ##|9## ### ###|6## ## ## ##|6## ### ###|0049 ## #######|0033 # ## ## ## ##|0034 ### ### ###|+41 ## ### ## ##|+43 1 #######|+351 ### ### ###|+39 ## #######|+## ## #######|+## ### ### ###"""
+_PHONES = [p.strip() for p in _PHONES.split("|")]
+_EXTENSIONS = [" x##", " x###", " x####", " ext. ##", " ext. ###", " ext ###", " extension ###", ", ext. ##", " Durchwahl ##", " App. ##", " poste ##", " ext.: ###", " int. ##", "-##"]
+
+_STREET_EN = "Street Street St. St Road Road Rd. Rd Avenue Avenue Ave. Ave Lane Lane Ln. Drive Drive Dr. Court Court Close Close Way Way Place Terrace Square Boulevard Blvd. Crescent Row Walk Hill Gardens Grove Parkway Mews".split()
+_STREET_WORDS = "Oak Elm Maple Cedar Pine Willow Church Station High Park Mill River Lake Spring Victoria King Queen Market Bridge Castle Garden Chestnut Main School Green Abbey Meadow Orchard North South Hill Sunset Washington Lincoln".split()
+_STREET_DE = "Haupt Bahnhof Garten Schul Dorf Kirch Berg Linden Rosen Wald Ring Goethe Schiller Mozart Markt Mühlen Birken Eichen Buchen Feld Brunnen Post Kaiser Bach Tannen Wiesen".split()
+_STREET_FR = "Victor Hugo|Pasteur|Jean Jaurès|de la République|de la Paix|des Lilas|du Moulin|de l'Église|des Écoles|Gambetta|de Paris|du Château|Voltaire|des Fleurs|du Pont|de la Gare|Saint-Michel|des Tilleuls|Molière".split("|")
+_STREET_ES = "Mayor|Real|del Sol|de la Constitución|San Juan|Santa Ana|de Alcalá|Cervantes|del Carmen|Nueva|de la Paz|Goya|Velázquez|del Prado|de los Olivos|San Miguel|Colón|Ramón y Cajal".split("|")
+
+#: What names of things follow; they look like names of people or streets and are none.
+_THING_BEFORE = """Project Release Module Team Squad Milestone Codename Sprint Branch Feature Service Component Library Package Build Version Milestone Epic Theme Pipeline Dataset Model Report Chapter Track Stage Task Suite
+ Projekt Ausgabe Modul Team Gruppe Dienst Fassung Meilenstein Paket Bereich Projet Module Équipe Version Service Lot Composant Proyecto Módulo Equipo Versión Servicio Entrega Paquete""".split()
+_THING_AFTER = "team desk squad release project module build rollout launch crew group service library suite track board channel milestone branch guild program initiative Team Desk Squad Release Project Module Board Group Crew Guild".split()
+_THING_WORDS = "Silver Blue Red Amber Crystal Iron Golden Silent Rapid Northern Bright Copper Falcon Tiger Harbor Summit Comet River Canyon Delta Phoenix Orion Horizon Beacon Anchor Lantern Compass Atlas Maple Cedar Willow Victor Mercury Apollo Juno Ruby Jasmine Aurora Merge Layout Search Index Report Data Quality Core Review".split()
+_NUMBER_BEFORE = """run task build job ticket issue PR commit revision order line lines page port pid id batch shard row rows offset size bytes checksum hash version step case request session trace block chunk
+ Lauf Auftrag Vorgang Zeile Zeilen Seite Nummer Stand Prüfsumme Bau ligne lignes page tâche lot numéro version línea líneas página tarea lote número versión compilación""".split()
 
 
 class _Draw:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
-        self.pick = self.r.choice
+        self.pick, self.chance = self.r.choice, self.r.random
 
-    def digits(self, n: int) -> str:
-        return "".join(self.pick("0123456789") for _ in range(n))
+    def fill(self, form: str) -> str:
+        """Digits for #, letters for A."""
+        return "".join(self.pick("0123456789") if c == "#" else self.pick("ABCDEFGHJKLMNPRSTUVWXYZ") if c == "A" else c for c in form)
 
-    def module(self) -> str:
-        return "".join(self.pick(SYLLABLES) for _ in range(self.r.randint(2, 3)))
+    def digits(self, least: int, most: int) -> str:
+        return self.fill("#" * self.r.randint(least, most))
+
+    def made(self, least: int = 1, most: int = 3) -> str:
+        return "".join(self.pick(_ONSET) + self.pick(_NUCLEUS) + (self.pick(_CODA) if self.chance() < 0.5 else "") for _ in range(self.r.randint(least, most)))
+
+    def made_name(self) -> str:
+        return (self.made(1, 2) + self.pick(_NAME_END)).capitalize()
+
+    # --- the five kinds
 
-    def surname(self) -> str:
-        return self.pick(LAST_HEAD) + (self.pick(LAST_MIDDLE) if self.r.random() < 0.85 else "") + self.pick(LAST_TAIL)
+    def first(self) -> str:
+        return self.pick(_FIRST) if self.chance() < 0.6 else self.made(1, 2).capitalize() + self.pick(["", "", "a", "e", "o", "is", "an"])
 
-    def initial(self) -> str:
-        return self.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") + "."
+    def last(self) -> str:
+        return self.pick(_LAST) if self.chance() < 0.4 else self.made_name()
 
     def person(self) -> str:
-        chance = self.r.random
-        first, last = self.pick(FIRST), self.surname()
-        if chance() < 0.12:
-            first += "-" + self.pick(FIRST)
-        if chance() < 0.15:
-            last += "-" + self.surname()
-        if chance() < 0.15:
-            last = self.pick(PARTICLES) + " " + last
-        if chance() < 0.25:
-            first = self.initial() + (" " + self.initial() if chance() < 0.15 else "")
-        elif chance() < 0.18:
-            first += " " + (self.initial() if chance() < 0.9 else self.pick(FIRST))
-        name = f"{last}, {first}" if chance() < 0.13 else f"{first} {last}"
-        return name.upper() if chance() < 0.12 else name
+        p = self.chance
+        first, last = self.first(), self.last()
+        initial = lambda: self.pick("ABCDEFGHIJKLMNOPRSTUVWYZÉ") + "."
+        if p() < 0.1:
+            first += "-" + self.first()
+        if p() < 0.13:
+            last += "-" + self.last()
+        elif p() < 0.06:
+            last += self.pick([" ", " y "]) + self.last()
+        if p() < 0.15:
+            last = self.pick(_PARTICLES) + " " + last
+        elif p() < 0.03:
+            last = self.pick(["d'", "D'", "Mac", "Fitz", "al-", "O'"]) + last
+        if p() < 0.2:
+            first = initial() + (self.pick([" ", ""]) + initial() if p() < 0.25 else "")
+        elif p() < 0.2:
+            first += " " + (initial() if p() < 0.75 else self.first())
+        way = p()
+        name = f"{last}, {first}" if way < 0.12 else f"{last.upper()}, {first}" if way < 0.14 else f"{first} {last.upper()}" if way < 0.16 else f"{first} {last}"
+        return name.upper() if p() < 0.07 else name
 
     def email(self) -> str:
-        chance = self.r.random
-        first, last = (w.lower().translate(str.maketrans("éèêëïîöóôüúñíáãøå", "eeeeiioo" + "ouunia" + "aoa")) for w in (self.pick(FIRST), self.surname()))
-        local = self.pick([f"{first}.{last}", f"{first}_{last}", first[0] + last, last + self.digits(2), f"{first}+{self.pick(NOUNS)}", f"{first}-{last}.{self.pick(NOUNS)}", f"{first}.{last}{self.digits(1)}"])
-        host = self.pick(["", "mail.", "lists.", "dev-", "post."]) + self.module() + "." + self.pick(["test", "example", "invalid", "example.org", "example.net", "example.com"])
-        way = chance()
-        if way < 0.12:
-            out = f"{local}(at){host}"
-        elif way < 0.24:
-            out = f"{local} [at] {host}"
-        elif way < 0.38:
-            out = f"{local} at {host.replace('.', ' dot ')}"
-        elif way < 0.42:
-            out = f"{local} (at) {host.replace('.', ' (dot) ')}"
-        else:
-            out = f"{local}@{host}"
-        return out.upper() if chance() < 0.05 else out
+        p, plain = self.chance, lambda w: "".join(c for c in w.lower().translate(str.maketrans("éèêëáàâäíïóöôúüñçşğı", "eeeeaaaaiiooouuncsgi")) if c.isascii() and c.isalnum())
+        first, last = plain(self.first()), plain(self.last())
+        local = self.pick([f"{first}.{last}", f"{first}.{last}", f"{first}_{last}", f"{first[0]}{last}", f"{first[0]}.{last}", f"{first}", f"{last}{self.digits(1, 3)}", f"{first}-{last}", f"{first}.{last}{self.digits(1, 2)}"])
+        if p() < 0.12:
+            local += "+" + self.pick(_WORDS["en"][0])
+        elif p() < 0.06:
+            local = self.pick(["info", "support", "office", "kontakt", "team", "no-reply", "hello", "contacto"])
+        ends = ["com", "org", "net", "de", "fr", "es", "io", "eu", "co.uk", "info", "dev", "edu", "test", "example", "invalid", "example.com", "example.org", "example.net", "ch", "at"]
+        host = self.pick(["", "", "", "mail.", "post.", "lists.", "smtp-", "corp."]) + self.pick([plain(self.made(2, 3)), self.pick([w for w in _WORDS["en"][0] if w.isascii()]), f"{plain(self.made(1, 2))}-{plain(self.made(1, 2))}", "example"]) + "." + self.pick(ends)
+        at, dot = self.pick([("(at)", "."), ("[at]", "."), (" (at) ", "."), (" [at] ", "."), (" at ", " dot "), (" at ", " dot "), (" at ", "."), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" AT ", " DOT "), ("{at}", "{dot}"), (" ät ", " punkt "), (" arroba ", " punto "), (" arobase ", " point "), (" @ ", ".")]) if p() < 0.4 else ("@", ".")
+        out = local + at + host.replace(".", dot)
+        if at == " at " and dot == "." and p() < 0.5:
+            out = local.replace(".", " dot ") + at + host.replace(".", " dot ")
+        return out.upper() if p() < 0.05 else out
 
     def phone(self) -> str:
-        d = self.digits
-        out = self.pick([
-            f"+49 (0){d(2)} {d(5)} {d(3)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"07{d(3)} {d(6)}", f"+44 {d(2)} {d(4)} {d(4)}",
-            f"+1 {d(3)} 555 {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)}/{d(8)}", f"+34 {d(3)} {d(3)} {d(3)}", f"{d(3)}-555-{d(4)}", f"({d(3)}) 555-{d(4)}",
-        ])
-        return out + (self.pick([f" x{d(3)}", f" ext. {d(3)}", f" ext. {d(2)}", f" x{d(4)}"]) if self.r.random() < 0.15 else "")
+        return self.fill(self.pick(_PHONES) + (self.pick(_EXTENSIONS) if self.chance() < 0.2 else ""))
 
     def identity(self) -> tuple[str, str]:
-        d, pick = self.digits, self.pick
-        label, number = pick([
-            (["SSN", "social security no.", "Social Security number"], pick([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}"])),
-            (["passport no", "passport", "Reisepass", "Passport No.", "pasaporte", "passeport"], pick([f"X{pick('ZQK')}{d(7)}", f"C{d(2)}{pick('XYZ')}{d(5)}"])),
-            (["DNI", "DNI/NIF", "NIE"], pick([f"{d(8)}-{pick('ABGPRYTW')}", f"{d(8)}{pick('ABGPRYTW')}"])),
-            (["NIR", "numéro de sécurité sociale"], f"{d(1)} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}"),
-            (["Steuer-ID", "Steuernummer", "Steuer-IdNr."], f"{d(2)} {d(3)} {d(3)} {d(3)}"),
-            (["tax number", "national id", "ID card", "tax id", "personal number"], d(10)),
-        ])
-        return pick(label) + pick([": ", " ", " ", " : "]), number
+        labels, forms = self.pick(_IDENTITIES)
+        label = self.pick(labels.split("|"))
+        label += self.pick([": ", ": ", " ", " ", " ", " : ", "=", " is ", " # ", " Nr. ", " n° ", ":"])
+        value = self.fill(self.pick(forms.split("|")))
+        return label, value.lower() if self.chance() < 0.02 else value
+
+    def street_word(self, known: list[str]) -> str:
+        return self.pick(known) if self.chance() < 0.4 else self.made_name()
 
     def address(self) -> str:
-        d, pick, chance = self.digits, self.pick, self.r.random
-        n = str(self.r.randint(1, 239))
-        s = pick(STREET_HEAD) + pick(STREET_TAIL)
-        way = self.r.randint(0, 7)
-        if way < 4:
-            street = f"{n} {s} {pick(['Street', 'Ave', 'Road', 'Rd.', 'Lane', 'Close', 'Court', 'Terrace', 'Way', 'St.', 'Avenue', 'Drive'])}"
-            unit = chance()
-            if unit < 0.12:
-                return f"Flat {self.r.randint(1, 99)}, {street}"
-            return street + (pick([f", Apt {d(2)}", f", Unit {d(1)}", f", Unit {d(2)}", f" #{d(2)}", f" #{d(1)}", f", Apt {d(1)}"]) if unit < 0.4 else "")
-        if way == 4:
-            return pick([f"{s}{pick(['straße', 'weg', 'str.', 'gasse'])} {n}{pick(['', '', 'a', 'b', 'c'])}", f"Am {s} {n}", f"{s}-Allee {n}", f"{s}straße {n}{pick(['', 'a', 'b'])}", f"{s}straße {n}", f"{s}str. {n}", f"{s}weg {n}{pick(['', 'c'])}"])
-        if way < 7 and way != 6:
-            return pick([f"{n} bis, avenue {s}", f"{n}, rue de la {s}", f"{n}, chemin du {s}", f"{n} boulevard {s}", f"{n}, rue {s}", f"{n} ter, avenue {s}"])
-        tail = pick(["", "", f", {self.r.randint(1, 9)}.º {pick('ABCD')}"])
-        return pick([f"Calle {s} {n}{tail}", f"C/ {s}, {n}{tail}", f"Plaza {s} {n}", f"C/ {s}, {n}, {self.r.randint(1, 9)}.º B", f"Avenida {s} {n}", f"Avda. {s}, {n}", f"Avda. {s}, {n}{tail}"])
-
-    def fill(self, pattern: str, shout: float = 0.0) -> tuple[str, list[tuple[int, int, str]]]:
-        out, found, last = "", [], 0
-        way = self.r.random()
-        case = str.upper if way < shout else str.title if way < 2 * shout else str
-        for m in _SLOT.finditer(pattern):
-            plain = pattern[last : m.start()]
-            out += case(plain)
-            last = m.end()
-            kind = {"P": "person", "E": "email", "T": "phone", "A": "address"}.get(m[1])
-            if m[1] == "I":
-                label, value = self.identity()
-                out += label
-                kind = "id_number"
-            else:
-                value = self._value(m[1])
-                value = value if kind else case(value)
-            if kind:
-                found.append((len(out), len(out) + len(value), kind))
-            out += value
-        out += case(pattern[last:])
-        if way < 2 * shout and not found:  # cut and marked as in tables and headings
-            words = out.split(" ")
-            for _ in range(self.r.randint(0, 3)):
-                words.insert(self.r.randint(0, len(words)), self.pick(["|", "|", "**", "-", ">"]))
-            out = " ".join(words).replace(".", self.pick([".", ".", "!", "..."]))
-        return out, found
-
-    def _value(self, slot: str) -> str:
-        pick = self.pick
-        make = {
-            "P": self.person, "E": self.email, "T": self.phone, "A": self.address, "x": self.module, "X": lambda: self.module().title(), "n": lambda: self.digits(self.r.randint(1, 4)),
-            "f": lambda: self.module() + pick("-_.") + pick(NOUNS) + "." + pick(ENDS), "w": lambda: pick(NOUNS), "W": lambda: pick(NOUNS + ADJECTIVES).title(), "a": lambda: pick(ADJECTIVES), "v": lambda: pick(VERBS),
-            "D": lambda: pick(DE_NOUNS), "d": lambda: pick(DE_WORDS), "C": lambda: self.digits(5), "O": lambda: pick(PLACES), "S": lambda: f"{pick(DECOY)} {pick([pick(STREET_HEAD) + pick(STREET_TAIL), pick(NOUNS).title()])}",
-            "h": lambda: "".join(pick("0123456789abcdef") for _ in range(40)), "g": lambda: self.digits(6), "u": lambda: "-".join("".join(pick("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4)), "t": lambda: pick(_TITLES),
-        }
-        return make[slot]()
-
-
-def labelled(rows: int = 9000, seed: int = 8) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The table: texts of one line with (start, end, kind) of each mention. Half of the lines have none but are long."""
+        p, pick, n = self.chance, self.pick, str(self.r.randint(1, 250))
+        unit = self.r.randint(1, 60)
+        lang = pick(["en", "en", "en", "de", "de", "fr", "fr", "es", "es"])
+        if lang == "en":
+            n += pick(["", "", "", "", "", "A", "B", "-" + self.digits(1, 2)])
+            name = self.street_word(_STREET_WORDS) + (" " + self.street_word(_STREET_WORDS) if p() < 0.12 else "")
+            if p() < 0.08:
+                name = pick(["North", "South", "East", "West", "N.", "S.", "E.", "W."]) + " " + name
+            street = f"{n} {name} {pick(_STREET_EN)}"
+            way = p()
+            if way < 0.1:
+                return pick([f"Flat {unit}, ", f"Flat {unit}{pick('ABC')}, ", f"Unit {unit}, ", f"Apt {unit}, ", f"Suite {unit}, ", f"Apartment {unit}, "]) + street
+            return street + (pick([f", Apt {unit}", f", Apt. {unit}", f" Apt {unit}", f", Unit {unit}", f", Flat {unit}", f", Suite {unit}", f" #{unit}", f", #{unit}", f", Apt {unit}{pick('ABC')}", f", Floor {unit}", f" Unit {unit}"]) if way < 0.4 else "")
+        if lang == "de":
+            n += pick(["", "", "", "", "a", "b", "c", " a", "-" + self.digits(1, 2), "/" + self.digits(1, 1)])
+            name = self.street_word(_STREET_DE)
+            street = pick([f"{name}straße {n}", f"{name}straße {n}", f"{name}str. {n}", f"{name}weg {n}", f"{name}gasse {n}", f"{name}platz {n}", f"{name}allee {n}", f"{name}ring {n}", f"{name}-Straße {n}", f"{name}er Straße {n}", f"{name}-Allee {n}", f"{name}-Weg {n}", f"Am {name} {n}", f"An der {name} {n}", f"Im {name} {n}", f"Zum {name} {n}", f"Auf dem {name} {n}", f"{name}ufer {n}", f"{name}damm {n}"])
+            return street + (pick([f", Wohnung {unit}", f", Whg. {unit}", f", {self.r.randint(1, 9)}. OG", f", {self.r.randint(1, 9)}. Stock", f", App. {unit}"]) if p() < 0.12 else "")
+        if lang == "fr":
+            n += pick(["", "", "", "", " bis", " ter", " B"])
+            name = pick(_STREET_FR) if p() < 0.4 else pick(["", "de ", "du ", "de la ", "des ", "de l'", "le "]) + self.made_name()
+            street = f"{n}{pick([' ', ', ', ' '])}{pick(['rue', 'rue', 'rue', 'avenue', 'av.', 'boulevard', 'bd', 'chemin', 'place', 'impasse', 'allée', 'quai', 'route', 'Rue', 'Avenue', 'cours', 'passage'])} {name}"
+            return street + (pick([f", appt {unit}", f", appartement {unit}", f", apt. {unit}", f", bâtiment {pick('ABCD')}", f", bât. {pick('ABCD')}", f", étage {self.r.randint(1, 9)}", f", {self.r.randint(2, 9)}e étage"]) if p() < 0.18 else "")
+        name = pick(_STREET_ES) if p() < 0.4 else pick(["", "", "de ", "del ", "de la ", "de los "]) + self.made_name()
+        street = f"{pick(['Calle', 'Calle', 'C/', 'C.', 'Avenida', 'Avda.', 'Av.', 'Plaza', 'Pza.', 'Paseo', 'Camino', 'Ronda', 'Carrera', 'Travesía', 'calle'])} {name}{pick([' ', ', ', ' ', ', n.º ', ' nº '])}{n}"
+        floor = self.r.randint(1, 9)
+        return street + (pick([f", {floor}.º {pick('ABCD')}", f", {floor}º {pick('ABCD')}", f", {floor}.º izq.", f", {floor}º dcha.", f", piso {floor}", f", piso {floor}, puerta {pick('ABCD')}", f", {floor} {pick('ABCD')}", f", puerta {unit}", f", bajo {pick('ABCD')}"]) if p() < 0.35 else "")
+
+    # --- all else
+
+    def thing(self) -> str:
+        """A name that isn't a person's."""
+        return " ".join(self.pick([self.pick(_THING_WORDS), self.pick(_THING_WORDS), self.pick(_THING_WORDS), self.made_name(), self.last(), self.pick(_STREET_WORDS), self.first() if self.chance() < 0.3 else self.made_name(), self.pick(_WORDS["en"][0]).capitalize()]) for _ in range(self.pick([1, 2, 2, 2, 2, 3])))
+
+    def named_thing(self) -> str:
+        t = self.thing()
+        if self.chance() < 0.12:
+            t = self.pick(_STREET_WORDS + [self.made_name()]) + " " + self.pick([s for s in _STREET_EN if len(s) > 3])
+        way = self.chance()
+        if way < 0.55:
+            b = self.pick(_THING_BEFORE)
+            return f"{b if self.chance() < 0.7 else b.lower()} {t}" + (f" {self.pick(_THING_AFTER)}" if self.chance() < 0.12 else "")
+        if way < 0.9:
+            return self.pick(["the ", "the ", "The ", "our ", "das ", "l'", "la ", "el ", "", ""]) + t + " " + self.pick(_THING_AFTER)
+        return self.pick(["the ", "The ", ""]) + f"{t} {self.pick(_THING_AFTER)} {self.pick(_WORDS['en'][0])}"
+
+    def module(self) -> str:
+        a, b = self.made(1, 3), self.pick([self.made(1, 2), self.pick(_WORDS["en"][0])])
+        return self.pick([a, a, a, f"{a}-{b}", f"{a}_{b}", f"{a}.{b}", f"{a}/{b}", a + b.capitalize(), f"{a}{self.digits(1, 2)}"])
+
+    def file(self) -> str:
+        return self.pick(["", "", "src/", "./", "docs/", f"{self.made()}/", "../"]) + self.module() + self.pick(["-", "_", "."]) + self.pick(_WORDS["en"][0]) + "." + self.pick("md txt ts js json mjs py yaml csv log html sh cfg toml".split())
+
+    def hexa(self, n: int) -> str:
+        return "".join(self.pick("0123456789abcdef") for _ in range(n))
+
+    def number(self) -> str:
+        d = self.digits
+        return self.pick([
+            lambda: d(1, 3), lambda: d(1, 3), lambda: d(1, 6), lambda: f"{d(1, 2)}.{d(1, 2)}.{d(1, 2)}", lambda: f"v{d(1, 2)}.{d(1, 2)}.{d(1, 3)}", lambda: f"{d(1, 3)}.{d(1, 3)}", lambda: f"{d(1, 3)}%", lambda: f"{d(1, 3)} %", lambda: f"0.{d(2, 6)}",
+            lambda: self.fill("20##-##-##"), lambda: self.fill("20##-##-##T##:##:##Z"), lambda: self.fill("20##-##-## ##:##"), lambda: self.fill("##.##.20##"), lambda: self.fill("##/##/20##"), lambda: self.fill("##:##:##"), lambda: self.fill("##:##"), lambda: self.fill("20######-######"), lambda: self.fill("20##.##.##"),
+            lambda: f"{d(1, 4)}-{d(1, 4)}", lambda: f"{d(3, 4)}-{d(2, 3)}-{d(3, 5)}", lambda: f"{d(2, 5)}/{d(2, 5)}", lambda: f"{d(1, 3)},{d(3, 3)}", lambda: f"{d(1, 3)},{d(3, 3)},{d(3, 3)}", lambda: f"{d(1, 3)} {d(3, 3)}", lambda: f"#{d(1, 5)}", lambda: self.hexa(self.pick([7, 8, 12, 16, 32, 40, 64])),
+            lambda: "-".join(self.hexa(k) for k in (8, 4, 4, 4, 12)), lambda: f"{d(1, 3)}.{d(1, 3)}.{d(1, 3)}.{d(1, 3)}", lambda: d(7, 14), lambda: f"{self.pick('ABCDEFGHKLMNPRSTX')}{self.pick('ABCDEFGHKLMNPRSTX')}{self.pick('ABCDEFGHKLMNPRSTX')}-{d(2, 6)}", lambda: f"{d(1, 4)} ms", lambda: f"{d(1, 3)}.{d(1, 2)} s", lambda: f"{d(1, 4)} kB", lambda: f"{d(3, 3)}-{d(2, 2)}-{d(4, 4)}", lambda: f"{d(3, 3)}-{d(3, 4)}",
+        ])()
+
+    def counted(self) -> str:
+        before = self.pick(_NUMBER_BEFORE)
+        return f"{before if self.chance() < 0.8 else before.capitalize()}{self.pick([' ', ' ', ' ', ' #', '=', ': ', '-', ' no. '])}{self.number()}"
+
+    def phrase(self, lang: str) -> str:
+        noun, adjective, verb, article, near, and_ = _WORDS[lang]
+        p, pick = self.chance, self.pick
+
+        def thing() -> str:
+            way = p()
+            if way < 0.12:
+                return self.module()
+            if way < 0.17:
+                return self.file()
+            if way < 0.21:
+                return self.counted()
+            if way < 0.24:
+                return self.number() + " " + pick(noun)
+            if way < 0.27:
+                return self.named_thing()
+            if way < 0.3:
+                return pick(noun) + " " + pick(noun)
+            if way < 0.34:
+                return (self.made(1, 3).capitalize() if lang == "de" else self.made(1, 3))
+            return (pick(article) + " " if p() < 0.85 else "") + (pick(adjective) + " " if p() < 0.4 else "") + pick(noun) + (" " + pick(noun) if lang == "de" and p() < 0.08 else "")
+
+        out = thing() + " " + pick(verb)
+        if p() < 0.85:
+            out += " " + thing()
+        while p() < 0.45:
+            out += " " + pick(near) + " " + thing()
+        return out
+
+    def clause(self, lang: str, words: int | None = None) -> str:
+        out = self.phrase(lang)
+        if self.chance() < 0.3:
+            out += self.pick([", ", " "]) + self.pick(_WORDS[lang][5]) + " " + self.phrase(lang)
+        return " ".join(out.split(" ")[:words]) if words else out
+
+    def sentence(self, lang: str) -> str:
+        s = self.clause(lang)
+        if self.chance() < 0.1:
+            s = self.pick(["Note: ", "TODO: ", "Q: ", "A: ", "NB ", "Hinweis: ", "Remarque : ", "Nota: ", "FIXME ", "Warning: ", "Last week ", "Im Modul ", "Dans le module ", "En el módulo "]) + s
+        return s[0].upper() + s[1:] + self.pick([".", ".", ".", ".", ".", "?", "!", ":", ";", ""])
+
+    def heading(self, lang: str) -> str:
+        words = [self.pick(_WORDS[lang][self.pick([0, 0, 1])]) for _ in range(self.r.randint(1, 5))]
+        words = [w.capitalize() if self.chance() < 0.85 or i == 0 else w for i, w in enumerate(words)]
+        if self.chance() < 0.4:
+            words.insert(self.r.randint(0, len(words)), self.pick([self.module(), self.number(), self.made_name(), self.thing()]))
+        s = self.pick(["# ", "## ", "### ", "= ", "== ", "- ", "* ", "> ", "**", "", "", "1. ", "2) "]) + " ".join(words)
+        return s.upper() if self.chance() < 0.07 else s
+
+    def plain(self, lang: str) -> str:
+        way, pick, n = self.chance(), self.pick, self.number
+        if way < 0.5:
+            return self.sentence(lang)
+        if way < 0.62:
+            return self.heading(lang)
+        if way < 0.7:
+            s = self.sentence(lang)
+            return pick(["- ", "* ", "> ", "+ ", "| ", "• ", "1. ", "[ ] ", "- [x] "]) + pick([s, s.title(), s.upper(), s])
+        if way < 0.77:
+            return self.named_thing()[:1].upper() + self.named_thing()[1:] + " " + self.clause(lang) + pick([".", "", "."])
+        if way < 0.81:
+            return self.counted() + pick([" ", ", ", " of "]) + pick([self.counted(), self.clause(lang), n(), self.module()]) + pick(["", ".", ""])
+        m, k = self.module, lambda: pick(_WORDS["en"][0])
+        return pick([
+            lambda: f"[{self.fill('##:##:##')}] {pick(['INFO', 'WARN', 'ERROR', 'DEBUG', 'stage', 'TRACE'])} {m()} {k()}={n()}", lambda: f"{self.fill('20##-##-## ##:##:##')} {pick(['INFO', 'WARN', 'ERROR'])} {m()}: {self.clause('en')}", lambda: f"{k()}={n()} {k()}={n()} {k()}={m()}",
+            lambda: f"commit {self.hexa(40)}", lambda: f"index {self.hexa(7)}..{self.hexa(7)} 100644", lambda: f"@@ -{n()},{self.digits(1, 2)} +{self.digits(1, 3)},{self.digits(1, 2)} @@ {m()}", lambda: f"diff --git a/{self.file()} b/{self.file()}", lambda: f"origin\tgit@{m()}.{pick(['com', 'org', 'test', 'invalid', 'example', 'dev'])}:{m()}/{m()}.git ({pick(['fetch', 'push'])})",
+            lambda: f"git clone git@{m()}.{pick(['com', 'org', 'test', 'invalid', 'example', 'io'])}:{m()}/{m()}.git", lambda: f"{pick(['remote', 'upstream', 'mirror', 'clone', 'fetch'])} {pick(['git', 'ssh://git', 'deploy', 'hg', 'svn'])}@{m()}.{pick(['net', 'org', 'test', 'invalid', 'example'])}{pick([':', '/'])}{m()}/{m()}{pick(['', '.git'])}", lambda: f"ssh://git@{m()}.org:{self.digits(2, 4)}/{m()}.git", lambda: f"https://{m()}.{pick(['com', 'org', 'test', 'example'])}/{m()}/{m()}?{k()}={n()}",
+            lambda: f"{m()}@{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}", lambda: f"@{m()}/{m()}@{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}", lambda: f"Pinned {pick(['@', ''])}{m()}{pick(['/' + k(), ''])}@{pick(['^', '~', ''])}{self.digits(1, 1)}.{self.digits(1, 2)}.{self.digits(1, 2)} {self.clause('en', 3)}", lambda: f"  \"{m()}\": \"^{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}\",", lambda: f"uses: {m()}/{m()}@v{self.digits(1, 1)}", lambda: f"image {m()}@sha256:{self.hexa(64)}", lambda: f"{self.hexa(64)}  {self.file()}",
+            lambda: f"{k()}: {n()}", lambda: f"{m()}: {n()}, {n()}, {n()}", lambda: f"{{\"{k()}\": {self.digits(1, 5)}, \"{k()}\": \"{m()}\"}}", lambda: f"function {m()}({k()}) {{", lambda: f"  return {m()}.{k()}({k()}, {n()});", lambda: f"const {k()} = {m()}(\"{k()}\", {self.digits(1, 3)});", lambda: f"if ({k()} !== \"{m()}\") {{", lambda: "}", lambda: "```", lambda: f"| {k()} | {n()} | {n()} |", lambda: f"| {k()} | {self.thing()} | {n()} |", lambda: f"{k()};{m()};{n()};{self.digits(1, 4)}", lambda: f"{k()}\t{n()}\t{m()}",
+            lambda: f"{self.file()}:{self.digits(1, 4)}:{self.digits(1, 2)} {self.clause('en')}", lambda: f"{n()} {pick(['of', 'von', 'sur', 'de'])} {n()} {pick(_WORDS[lang][0])}", lambda: f"{n()} {pick(_WORDS['en'][1])} {pick(['lanes', 'courts', 'roads', 'streets', 'ways', 'places', 'squares', 'terraces', 'drives'])} {self.clause('en')}", lambda: f"{self.counted()} {self.counted()} {self.counted()}", lambda: f"score {n()} at {n()}",
+            lambda: f"{pick(['See', 'see', 'cf.', 'siehe', 'voir', 'véase'])} {self.file()} {self.counted()}", lambda: self.thing(), lambda: f"{self.thing()}: {self.clause(lang)}", lambda: f"{self.thing()} | {n()} | {m()}", lambda: f"{self.made_name()} {self.clause(lang)}.",
+        ])()
+
+    def value(self, kind: str) -> tuple[str, str]:
+        """What stands before a mention and belongs to it without being part of it, and the mention."""
+        if kind == "id_number":
+            return self.identity()
+        if kind == "person":
+            return (self.pick(_TITLES) if self.chance() < 0.1 else ""), self.person()
+        return "", {"email": self.email, "phone": self.phone, "address": self.address}[kind]()
+
+    def town(self) -> str:
+        name = self.pick(_TOWNS) if self.chance() < 0.4 else self.made_name()
+        if self.chance() < 0.12:
+            name = self.pick(["Bad ", "Saint-", "San ", "Santa ", "Port ", "New ", "Nord", "Villa ", "St. "]) + name
+        code = self.pick(["#####", "#####", "####", "AA# #AA", "##### ####", "D-#####", "F-#####"])
+        return self.pick([f"{self.fill(code)} {name}", name, f"{name} {self.fill(code)}", f"{name}, AA {self.fill('#####')}", name])
+
+    def mentioning(self, lang: str) -> list[tuple[str, str | None]]:
+        """Parts of a line: texts, and mentions with their kinds."""
+        p, pick = self.chance, self.pick
+        kind = pick(["person", "person", "person", "person", "email", "phone", "address", "address", "id_number", "id_number"])
+        way = p()
+        if way < 0.16:  # a record of several mentions
+            kinds = pick([["person", "email"], ["person", "email", "phone"], ["person", "phone"], ["person", "address", "phone"], ["person", "address"], ["person", "id_number"], ["email", "phone"], ["person", "person", "email"], ["person", "email", "address"]])
+            sep = pick([" | ", " | ", ";", "; ", ", ", " - ", " – ", "\t", " / ", ",", " · "])
+            out: list[tuple[str, str | None]] = [(pick(["", "", "", "| ", "- ", "* ", "contact;", "name;", "• ", self.digits(1, 4) + ";", self.module() + sep]), None)]
+            for i, k in enumerate(kinds):
+                if i:
+                    out.append((sep, None))
+                before, value = self.value(k)
+                wrap = ("<", ">") if k == "email" and p() < 0.2 else ("(", ")") if k in ("email", "phone") and p() < 0.1 else ("", "")
+                if wrap[0] and len(out) > 1:
+                    out[-1] = (" ", None)
+                label = pick(_LABELS[k]) + pick([": ", "=", " ", ": "]) if k in _LABELS and p() < 0.15 else ""
+                out += [(label + before + wrap[0], None), (value, k), (wrap[1], None)]
+                if k == "address" and p() < 0.35:
+                    out.append((", " + self.town(), None))
+            return [*out, (pick(["", "", "", " |", ".", f"{sep}{self.module()}", f"{sep}{self.number()}"]), None)]
+        before, value = self.value(kind)
+        town = [(pick([", ", ", ", " - ", " "]) + self.town(), None)] if kind == "address" and p() < 0.35 else []
+        mention: list[tuple[str, str | None]] = [(before, None), (value, kind), *town]
+        if way < 0.3:  # a label, or nothing
+            if kind in _LABELS and p() < 0.75:
+                label = pick(_LABELS[kind])
+                if p() < 0.12:
+                    label = pick(["- ", "* ", "**", "  ", "| "]) + label
+                return [(label + pick([": ", ": ", ": ", " : ", "=", " = ", ":", " - ", ";", " "]), None), *mention, (pick(["", "", "", ".", ";", f" {pick(['/', '-', '|', ','])} {self.clause(lang, 4)}", f"; {self.pick(_WORDS['en'][0])}={self.module()}"]), None)]
+            return [(pick(["", "", "", "- ", "— ", "-- ", "* ", "> ", "  ", "@ " if kind == "person" else ""]), None), *mention, (pick(["", "", "", ",", "."]), None)]
+        if kind == "person":
+            if way < 0.36:
+                em = self.email()
+                return [(pick([*(f"{label}: " for label in _LABELS["person"][10:17]), "From: ", "To: ", "", "", "* ", "- "]), None), (self.person(), "person"), (" <", None), (em, "email"), (pick([">", ">", "> wrote:", "> schrieb:", "> a écrit :", "> escribió:", ">,"]), None)]
+            tail = pick([" " + self.clause(lang), " " + self.clause(lang), "", ", " + self.clause(lang), f" {pick(_WORDS[lang][4])} {self.clause(lang)}", f" ({self.clause(lang, 2)})", " " + pick(["about", "on", "zu", "wegen", "sur", "sobre", "über", "pour", "por", "für", "by", "until"]) + " " + pick([self.module(), self.clause(lang, 3), self.number()])])
+            end = pick([".", ".", ".", "", ",", "?", "!", ":"])
+            if p() < 0.42:
+                after = pick(_AFTER[lang])
+                lead = pick(["", "", "", "", self.sentence(lang) + " ", pick(_WORDS[lang][5]).capitalize() + " ", "- ", self.clause(lang) + ", " + pick(_WORDS[lang][5]) + " "])
+                both = [(pick([" and ", " und ", " et ", " y ", ", "]), None), (self.person(), "person")] if p() < 0.08 else []
+                return [(lead, None), *mention, *both, (pick([" ", " ", ", "]) + after + tail + end, None)]
+            cue = pick(_BEFORE[lang])
+            lead = pick(["", "", "", self.clause(lang) + " ", self.clause(lang) + ", ", self.sentence(lang) + " ", pick(_WORDS[lang][0]).capitalize() + " "])
+            cue = cue if lead and lead[-2:] not in (". ", "? ", "! ") else cue[0].upper() + cue[1:] if p() < 0.85 else cue
+            both = [(pick([" and ", " und ", " et ", " y ", ", ", " & "]), None), (self.person(), "person")] if p() < 0.12 else []
+            return [(lead + cue + pick([" ", " ", " ", " ", ", ", ": "]), None), *mention, *both, (tail + end, None)]
+        phrase = pick(_PHRASES[kind][lang]).replace("~", pick([pick(_WORDS[lang][0]), self.module()]))
+        left, right = phrase.split("@")
+        lead = pick(["", "", "", self.clause(lang) + ", ", self.clause(lang) + " ", self.sentence(lang) + " ", self.module() + ": ", pick(_WORDS[lang][0]).capitalize() + " "])
+        if not lead and p() < 0.7:
+            left = left[:1].upper() + left[1:]
+        tail = pick(["", "", ".", ".", ", " + self.clause(lang) + ".", " " + pick(_WORDS[lang][5]) + " " + self.clause(lang) + ".", "; " + self.clause(lang), " / " + self.clause(lang, 3), ", " + self.clause(lang, 3)])
+        if kind == "address" and value.endswith(".") and tail.startswith("."):
+            tail = tail[1:]
+        return [(lead + left, None), *mention, (right + tail, None)]
+
+
+def labelled(rows: int = 9000, seed: int = 8) -> list[tuple[str, list[Mention]]]:
+    """The table: texts of one line with (start, end, kind) of each mention. Half of the lines begin with none."""
     draw = _Draw(seed)
-    with_mentions = [p.replace("¦", "|") for p in re.split(r"[|\n]", MENTIONS) if p]
-    with_mentions += 2 * [p for p in with_mentions if "{I}" in p]
-    plain = [p for p in re.split(r"[|\n]", PLAIN) if p]
     out = []
     for k in range(rows):
-        text, found = draw.fill(draw.pick(with_mentions)) if k % 2 else draw.fill(draw.pick(plain), 0.07)
-        while draw.r.random() < 0.35:  # several sentences on a line
-            more, places = draw.fill(draw.pick(with_mentions)) if draw.r.random() < 0.35 else draw.fill(draw.pick(plain), 0.07)
-            shift = len(text) + 1
-            text += " " + more
-            found = found + [(s + shift, e + shift, kind) for s, e, kind in places]
+        lang = draw.pick(["en", "en", "de", "fr", "es"])
+        parts = draw.mentioning(lang) if k % 2 else [(draw.plain(lang), None)]
+        while draw.chance() < 0.3:  # several sentences on a line
+            parts = [*parts, (" ", None), *(draw.mentioning(lang) if draw.chance() < 0.3 else [(draw.sentence(lang), None)])]
+        text, found = "", []
+        for part, kind in parts:
+            if kind:
+                found.append((len(text), len(text) + len(part), kind))
+            text += part
         out.append((text, found))
     return out

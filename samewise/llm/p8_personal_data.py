@@ -1,9 +1,10 @@
 """Problem 8: personal information in free text, found and replaced by typed placeholders.
 
-Method: a linear-chain conditional random field over word-shape features. It is trained once on the driver from the
-small labelled table of p8_labelled (rows are a documented parameter), by gradient descent on the exact likelihood
-(forward-backward over batches of lines), and broadcast: some ten thousand weights. Lines are decoded by Viterbi in
-numpy, many lines at once.
+Method: a linear-chain conditional random field over word-shape features. It is trained from the small labelled table
+of p8_labelled (rows are a documented parameter) by gradient descent on the exact likelihood (forward-backward over
+batches of lines). That is done once, by ``python -m samewise.llm.p8_personal_data``, which writes the weights to
+p8_model.npz beside this file; queries read and broadcast them (under MOST_BYTES, which is checked). Lines are decoded by
+Viterbi in numpy, many lines at once; no rule looks at a mention after that.
 
 Tokens are runs of letters, runs of digits and single other characters; white space only tells how tokens are apart.
 A token's features are its word if the table has it, its shape, length and ending, the same of its neighbours, shapes in
@@ -16,10 +17,12 @@ texts and lines of any length are tagged whole; repeated rows change nothing; ot
 
 from __future__ import annotations
 
-import re
+import io
+import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,15 @@ from pyspark.sql import DataFrame
 from . import _text as T
 from .p8_labelled import KINDS, labelled
 
-TABLE_ROWS = 12_000  # of the labelled table
+TABLE_ROWS = 40_000  # of the labelled table
+LEAST_WEIGHT = 0.02  # smaller weights aren't kept
+MOST_BYTES = 64 << 20  # of the weights
 SPAN = 4  # neighbours on either side whose features count
 LABELS = 1 + 2 * len(KINDS)  # 0 outside; 1 + 2k begins and 2 + 2k continues a mention of kind k
 HASHED = 1 << 13
 KEPT_TOKENS = 1 << 19  # a worker looks tokens up anew beyond this many
 NONE = -1e4
+MODEL = "p8_model.npz"
 
 
 @cache
@@ -391,37 +397,40 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 6, b
             trans = np.where(_allowed(), trans - step_size * pairs / np.sqrt(trans_square), NONE)
     tagger.weights, tagger.hashed = weights[:size].reshape(len(tagger.names), wide, LABELS), weights[size:]
     tagger.transitions = trans.astype(np.float32)
-
-
     # rows of the training tokens aren't carried to the workers
     tagger.types, tagger.rows_of, tagger.type_features, tagger.type_shapes, tagger.marks = {}, {}, [], [], []
     return tagger
 
 
-@cache
-def trained(rows: int = TABLE_ROWS) -> Tagger:
-    return train(labelled(rows))
-
-
-_ABBREVIATED = re.compile(r"(?:Rd|St|str)\Z")
-_TITLE = re.compile(r"(?:Dr|Mme|Mlle|Herrn?|Frau|Sra?|Mrs?|Ms|M|Prof|Señora?|Madame|Monsieur)\.?[ \t\u00a0]+(?=[^\W\d_]{2})", re.I)
-_CHECKS = {
-    "email": re.compile(r"[^\s@]+(?:@|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+).*[^\W\d_]{2,}", re.I | re.S),
-    "phone": re.compile(r"\+?(?:\D*\d){6,}.*", re.S),
-    "id_number": re.compile(r"(?:[^\d]*\d){6,}.*", re.S),
-    "address": re.compile(r"(?=.*\d)(?=.*[^\W\d_]{2}).*", re.S),
-    "person": re.compile(r"(?=.*[^\W\d_]{2})[^\W\d_][^\d@|]*[\s,][^\d@|]*[^\W\d_]\.?", re.S),
-}
+def dump(tagger: Tagger) -> bytes:
+    """The weights that aren't next to nothing."""
+    names, flat = sorted(tagger.names, key=tagger.names.get), tagger.weights.reshape(len(tagger.names), -1)
+    row, column = np.nonzero(np.abs(flat) > LEAST_WEIGHT)
+    used = np.unique(row)
+    out = io.BytesIO()
+    np.savez_compressed(
+        out, names=np.array("\n".join(names[k] for k in used.tolist()).encode()), row=np.searchsorted(used, row).astype(np.uint16), column=column.astype(np.uint8),
+        value=flat[row, column].astype(np.float16), hashed=tagger.hashed.astype(np.float16), transitions=tagger.transitions,
+    )
+    return out.getvalue()
+
+
+def restore(data: bytes) -> Tagger:
+    f, tagger = np.load(io.BytesIO(data)), Tagger()
+    names = bytes(f["names"]).decode().split("\n")
+    tagger.names = {x: i for i, x in enumerate(names)}
+    weights = np.zeros((len(names), (2 * SPAN + 1) * LABELS), np.float32)
+    weights[f["row"], f["column"]] = f["value"]
+    tagger.weights, tagger.hashed, tagger.transitions = weights.reshape(len(names), 2 * SPAN + 1, LABELS), f["hashed"].astype(np.float32), f["transitions"]
+    return tagger
 
 
-def _checked(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The exact check of a tagged mention: its bounds without a title or with an abbreviation's point, or None if it
-    can't be of its kind (an address without a number, a name of one part, and the like)."""
-    if kind == "person" and (m := _TITLE.match(text, start, end)) and not re.match(r"M\.", text[start:end]):
-        start = m.end()
-    if kind == "address" and text[end : end + 1] == "." and _ABBREVIATED.search(text, start, end):
-        end += 1
-    return (start, end) if _CHECKS[kind].fullmatch(text, start, end) else None
+@cache
+def trained() -> Tagger:
+    tagger = restore(files(__package__).joinpath(MODEL).read_bytes())
+    if tagger.weights.nbytes + tagger.hashed.nbytes > MOST_BYTES:
+        raise ValueError(f"weights of more than {MOST_BYTES} bytes aren't broadcast")
+    return tagger
 
 
 def tag(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -437,13 +446,12 @@ def tag(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     of = np.searchsorted(t.begins, t.starts[firsts], "right") - 1
     for k, a, z, d in zip(labels[firsts].tolist(), firsts.tolist(), after.tolist(), of.tolist(), strict=True):
         kind, base = KINDS[(k - 1) // 2], int(t.begins[d])
-        if got := _checked(kind, texts[d], int(t.starts[a]) - base, int(t.stops[z - 1]) - base):
-            out[d].append((*got, kind))
+        out[d].append((int(t.starts[a]) - base, int(t.stops[z - 1]) - base, kind))
     return out
 
 
-def _tagging(documents: DataFrame, key: str, text: str, handle, schema: str, table_rows: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(trained(table_rows))
+def _tagging(documents: DataFrame, key: str, text: str, handle, schema: str, tagger: Tagger | None) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(tagger or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
@@ -456,7 +464,7 @@ def _tagging(documents: DataFrame, key: str, text: str, handle, schema: str, tab
     return rows.mapInArrow(run, schema)
 
 
-def mentions(documents: DataFrame, key: str = "doc_id", text: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
+def mentions(documents: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """``key, kind, found``: each piece of personal information of each document, once, as it stands in the text."""
 
     def handle(keys: pa.Array, texts: list[str], found: list[list[tuple[int, int, str]]]) -> pa.RecordBatch:
@@ -466,10 +474,10 @@ def mentions(documents: DataFrame, key: str = "doc_id", text: str = "text", tabl
         return pa.RecordBatch.from_arrays([keys.take(of), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], [key, "kind", "found"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return _tagging(documents, key, text, handle, f"{key} {kind}, kind string, found string", table_rows).distinct()
+    return _tagging(documents, key, text, handle, f"{key} {kind}, kind string, found string", tagger).distinct()
 
 
-def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
+def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """``key, text, mentions``: each text with a placeholder such as [EMAIL] for each mention and otherwise unchanged."""
 
     def handle(keys: pa.Array, texts: list[str], found: list[list[tuple[int, int, str]]]) -> pa.RecordBatch:
@@ -483,4 +491,9 @@ def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text", tabl
         return pa.RecordBatch.from_arrays([keys, pa.array(out, pa.string()), pa.array([len(f) for f in found], pa.int32())], [key, text, "mentions"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return _tagging(documents, key, text, handle, f"{key} {kind}, {text} string, mentions int", table_rows)
+    return _tagging(documents, key, text, handle, f"{key} {kind}, {text} string, mentions int", tagger)
+
+
+if __name__ == "__main__":
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), MODEL), "wb") as out:
+        out.write(dump(train(labelled(TABLE_ROWS))))
