@@ -80,6 +80,17 @@ _WORDS = {
         "y pero porque mientras cuando aunque si o pues".split(),
     ),
 }
+_COPULAS = {"en": "is was stays seems becomes remains looks".split(), "de": "ist war wird bleibt scheint wirkt".split(), "fr": "est était reste semble devient".split(), "es": "es está era queda parece sigue".split()}
+_DEGREES = {"en": ["", "", "very ", "too ", "quite ", "almost ", "still "], "de": ["", "", "sehr ", "zu ", "fast ", "noch ", "etwas ", "meist "], "fr": ["", "", "très ", "trop ", "presque ", "encore "], "es": ["", "", "muy ", "demasiado ", "casi ", "todavía "]}
+_NOUN_ENDS = "ung ung heit keit nis schaft er e el ion tät ment ar ling tum".split()
+_WHEN = {
+    "en": "yesterday|today|last week|last night|on Monday|on Friday|this morning|again|twice|in March|earlier|before lunch|at noon|over the weekend".split("|"),
+    "de": "gestern|heute|letzte Woche|am Montag|am Freitag|heute früh|wieder|zweimal|im März|vorher|mittags|am Wochenende".split("|"),
+    "fr": "hier|aujourd'hui|la semaine dernière|lundi|vendredi|ce matin|encore|deux fois|en mars|avant midi|ce week-end".split("|"),
+    "es": "ayer|hoy|la semana pasada|el lunes|el viernes|esta mañana|otra vez|dos veces|en marzo|antes de comer|anoche".split("|"),
+}
+_VERBLAST = "fragen anrufen informieren bitten einladen vertreten erreichen schreiben grüßen kontaktieren ansprechen sprechen klären abstimmen übergeben schicken".split()
+_PASSIVE = "reviewed checked written changed sent signed split merged approved moved drafted closed opened tested read fixed noted dropped updated prepared seen".split()
 _WORDS = {k: tuple(w.split() if isinstance(w, str) else w for w in v) for k, v in _WORDS.items()}
 
 #: What stands before a person, by language; ~ for what may follow: any prose.
@@ -98,7 +109,7 @@ _BEFORE = {
 #: What stands after a person that begins the sentence.
 _AFTER = {
     "en": """said|says|wrote|writes|asked|thinks|found|agreed|replied|reported|noted|confirmed|added|answered|suggested|wants|will|has|had|is|was|can|takes over|took over|owns|reviewed|checked|signed|approved|moved|left|joined|called|
- is out|is back|looks after|once said|last checked|no longer|and I|and the others|who|also|still""",
+ is out|is back|looks after|no longer|and I|and the others|who|also|still""",
     "de": "sagt|sagte|schrieb|schreibt|fragt|meint|fand|findet|antwortete|meldete|bestätigte|will|wird|hat|hatte|ist|war|kann|übernimmt|übernahm|prüft|prüfte|sah|unterschrieb|ging|kam|rief an|betreut|kümmert sich|bittet|und ich|auch|noch",
     "fr": "dit|a dit|écrit|a écrit|demande|a demandé|pense|trouve|a répondu|a signalé|a confirmé|veut|va|a|avait|est|était|peut|reprend|a repris|relit|a relu|vérifie|a vu|a signé|part|arrive|appelle|s'occupe de|suit|et moi|aussi|encore",
     "es": "dice|dijo|escribe|escribió|pregunta|preguntó|piensa|encontró|respondió|avisó|confirmó|quiere|va a|ha|había|es|está|puede|asume|asumió|revisa|revisó|comprueba|vio|firmó|sale|llega|llama|se encarga de|lleva|y yo|también|todavía",
@@ -119,22 +130,22 @@ _PHRASES = {
         "es": "escribir a @|escriba a @|enviar a @|copia a @|dudas a @|la dirección es @|disponible en @|<@>|mailto:@|(@)|@ no responde",
     },
     "phone": {
-        "en": "call @|call me on @|ring @|reach us at @|text @|the number is @|dial @ for ~|answered on @|phone @|fax @|or by phone: @|at @ until noon|@ after six|(@)|the desk is on @|mobile @|leave a message on @",
+        "en": "call @|call me on @|ring @|reach us at @|text @|the number is @|dial @ for ~|phone @|fax @|or by phone: @|at @ until noon|@ after six|(@)|the line is @|mobile @|leave a message on @",
         "de": "unter @ erreichbar|bitte @ anrufen|Anruf unter @|Tel. @|Telefon @|Fax @|mobil @|die Nummer ist @|Rückruf unter @|oder unter @|(@)",
         "fr": "appeler le @|joindre le @|au @|tél. @|par téléphone au @|le numéro est le @|fax @|portable @|rappeler le @|(@)",
         "es": "llamar al @|llame al @|en el @|tel. @|por teléfono al @|el número es el @|fax @|móvil @|devolver la llamada al @|(@)",
     },
     "address": {
-        "en": "lives at @|moved to @|the office is at @|send it to @|deliver to @|ship to @|meet at @|visit @|parcel for @|badge sent to @|mail goes to @|the house at @|our place, @|registered at @|letters to @|at @ now|from @ to ~|printed for @",
-        "de": "wohnt in der @|Post an @|bitte an @ senden|Paket an @|das Büro ist @|umgezogen nach @|Treffpunkt @|Lieferung an @|gemeldet in @|Besuch in @|jetzt @",
-        "fr": "habite au @|envoyer au @|courrier au @|colis au @|le bureau est au @|déménagé au @|livrer au @|rendez-vous au @|domicilié au @|maintenant @",
-        "es": "vive en @|enviar a @|carta a @|paquete a @|la oficina está en @|mudado a @|entregar en @|cita en @|domiciliado en @|ahora @",
+        "en": "lives at @|moved to @|the office is at @|send it to @|deliver to @|ship to @|meet at @|visit @|parcel for @|mail goes to @|the house at @|our place, @|registered at @|letters to @|at @ now|from @ to ~",
+        "de": "wohnt in der @|Brief an @|bitte an @ schicken|Paket an @|das Büro ist @|umgezogen nach @|Treffpunkt @|Lieferung an @|gemeldet in @|Besuch in @|jetzt @",
+        "fr": "habite au @|expédier au @|lettre au @|colis au @|le bureau est au @|déménagé au @|livrer au @|rendez-vous au @|domicilié au @|maintenant @",
+        "es": "vive en @|mandar a @|sobre a @|paquete a @|la oficina está en @|mudado a @|entregar en @|cita en @|domiciliado en @|ahora @",
     },
     "id_number": {
-        "en": "@|the form shows @|someone pasted @ into the ~|we found @ in the ~|the scan shows @|attached: @|@ on file|copy of @|please remove @|(@)|line with @|quoted @ twice|@, valid|@ (expired)",
-        "de": "@|im Formular steht @|im Anhang steht @|gefunden: @|bitte @ löschen|Kopie von @|(@)|@, gültig|in der ~ steht @",
-        "fr": "@|le formulaire montre @|la pièce montre @|trouvé : @|merci de retirer @|copie de @|(@)|@, valable|dans le ~ : @",
-        "es": "@|el formulario muestra @|el anexo muestra @|encontrado: @|por favor borrar @|copia de @|(@)|@, vigente|en la ~ consta @",
+        "en": "@|shown as @|we found @ in the ~|the scan shows @|attached: @|@ on file|copy of @|please remove @|(@)|line with @|quoted @ twice|@, valid|@ (renewed)",
+        "de": "@|dort steht @|eingetragen: @|gefunden: @|bitte @ löschen|Kopie von @|(@)|@, gültig|laut ~ @",
+        "fr": "@|on y lit @|inscrit : @|trouvé : @|merci de retirer @|copie de @|(@)|@, valable|dans le ~ : @",
+        "es": "@|se lee @|inscrito: @|encontrado: @|por favor borrar @|copia de @|(@)|@, vigente|en la ~ consta @",
     },
 }
 _PHRASES = {k: {lang: p.split("|") for lang, p in v.items()} for k, v in _PHRASES.items()}
@@ -327,35 +338,50 @@ class _Draw:
         before = self.pick(_NUMBER_BEFORE)
         return f"{before if self.chance() < 0.8 else before.capitalize()}{self.pick([' ', ' ', ' ', ' #', '=', ': ', '-', ' no. '])}{self.number()}"
 
-    def phrase(self, lang: str) -> str:
-        noun, adjective, verb, article, near, and_ = _WORDS[lang]
+    def noun(self, lang: str) -> str:
+        """A known noun, or one put together."""
+        if self.chance() < 0.65:
+            return self.pick(_WORDS[lang][0])
+        made = self.made(1, 2) + (self.pick(_NOUN_ENDS) if self.chance() < 0.7 else "")
+        return made.capitalize() if lang == "de" else made
+
+    def adjective(self, lang: str) -> str:
+        return self.pick(_WORDS[lang][1]) if self.chance() < 0.75 else self.made(1, 2) + self.pick(["ig", "lich", "al", "ous", "able", "ed", "o", "e", "ant", ""])
+
+    def named(self, lang: str) -> str:
+        """Something with a name, a number or an article: what a phrase is about."""
         p, pick = self.chance, self.pick
+        way = p()
+        if way < 0.12:
+            return self.module()
+        if way < 0.17:
+            return self.file()
+        if way < 0.21:
+            return self.counted()
+        if way < 0.25:
+            return self.number() + " " + self.noun(lang)
+        if way < 0.28:
+            return self.named_thing()
+        if way < 0.31:
+            return self.noun(lang) + " " + self.noun(lang)
+        if way < 0.38:  # an enumeration
+            return ", ".join(self.noun(lang) for _ in range(self.r.randint(1, 3))) + pick([" ", " ", ", "]) + pick(_WORDS[lang][5][:1]) + " " + pick([self.noun(lang), self.number() + " " + self.noun(lang)])
+        return (pick(_WORDS[lang][3]) + " " if p() < 0.8 else "") + (self.adjective(lang) + " " if p() < 0.4 else "") + self.noun(lang) + (" " + self.noun(lang) if lang == "de" and p() < 0.12 else "")
 
-        def thing() -> str:
-            way = p()
-            if way < 0.12:
-                return self.module()
-            if way < 0.17:
-                return self.file()
-            if way < 0.21:
-                return self.counted()
-            if way < 0.24:
-                return self.number() + " " + pick(noun)
-            if way < 0.27:
-                return self.named_thing()
-            if way < 0.3:
-                return pick(noun) + " " + pick(noun)
-            if way < 0.34:
-                return (self.made(1, 3).capitalize() if lang == "de" else self.made(1, 3))
-            return (pick(article) + " " if p() < 0.85 else "") + (pick(adjective) + " " if p() < 0.4 else "") + pick(noun) + (" " + pick(noun) if lang == "de" and p() < 0.08 else "")
-
-        out = thing() + " " + pick(verb)
-        if p() < 0.85:
-            out += " " + thing()
-        while p() < 0.45:
-            out += " " + pick(near) + " " + thing()
+    def phrase(self, lang: str) -> str:
+        p, pick = self.chance, self.pick
+        verb = self.copula(lang) if p() < 0.3 else (pick(_WORDS[lang][2]) if p() < 0.7 else self.made(1, 2) + pick(["s", "t", "e", "a", "es"])) + (" " + self.named(lang) if p() < 0.85 else "")
+        out = self.named(lang) + " " + verb
+        if p() < 0.12:  # led in by a preposition, so the verb may come first
+            lead = pick(_WORDS[lang][4]) + " " + self.named(lang)
+            out = pick([f"{lead} {verb.split(' ')[0]} {self.named(lang)} {verb.partition(' ')[2]}".strip(), f"{lead}, {out}", f"{lead} {out}"])
+        while p() < 0.4:
+            out += " " + pick(_WORDS[lang][4]) + " " + self.named(lang)
         return out
 
+    def copula(self, lang: str) -> str:
+        return self.pick(_COPULAS[lang]) + " " + self.pick(_DEGREES[lang]) + self.adjective(lang)
+
     def clause(self, lang: str, words: int | None = None) -> str:
         out = self.phrase(lang)
         if self.chance() < 0.3:
@@ -365,16 +391,16 @@ class _Draw:
     def sentence(self, lang: str) -> str:
         s = self.clause(lang)
         if self.chance() < 0.1:
-            s = self.pick(["Note: ", "TODO: ", "Q: ", "A: ", "NB ", "Hinweis: ", "Remarque : ", "Nota: ", "FIXME ", "Warning: ", "Last week ", "Im Modul ", "Dans le module ", "En el módulo "]) + s
+            s = self.pick(["Note: ", "TODO: ", "Q: ", "A: ", "NB ", "Hinweis: ", "Remarque : ", "Nota: ", "FIXME ", "Warning: "]) + s
         return s[0].upper() + s[1:] + self.pick([".", ".", ".", ".", ".", "?", "!", ":", ";", ""])
 
     def heading(self, lang: str) -> str:
-        words = [self.pick(_WORDS[lang][self.pick([0, 0, 1])]) for _ in range(self.r.randint(1, 5))]
+        words = [self.pick([self.noun, self.noun, self.adjective])(lang) for _ in range(self.r.randint(1, 5))]
         words = [w.capitalize() if self.chance() < 0.85 or i == 0 else w for i, w in enumerate(words)]
         if self.chance() < 0.4:
-            words.insert(self.r.randint(0, len(words)), self.pick([self.module(), self.number(), self.made_name(), self.thing()]))
+            words.insert(self.r.randint(0, len(words)), self.pick([self.module(), self.number(), self.module(), self.pick(_THING_WORDS)]))
         s = self.pick(["# ", "## ", "### ", "= ", "== ", "- ", "* ", "> ", "**", "", "", "1. ", "2) "]) + " ".join(words)
-        return s.upper() if self.chance() < 0.07 else s
+        return s.upper() if self.chance() < 0.12 else s
 
     def plain(self, lang: str) -> str:
         way, pick, n = self.chance(), self.pick, self.number
@@ -391,13 +417,14 @@ class _Draw:
             return self.counted() + pick([" ", ", ", " of "]) + pick([self.counted(), self.clause(lang), n(), self.module()]) + pick(["", ".", ""])
         m, k = self.module, lambda: pick(_WORDS["en"][0])
         return pick([
-            lambda: f"[{self.fill('##:##:##')}] {pick(['INFO', 'WARN', 'ERROR', 'DEBUG', 'stage', 'TRACE'])} {m()} {k()}={n()}", lambda: f"{self.fill('20##-##-## ##:##:##')} {pick(['INFO', 'WARN', 'ERROR'])} {m()}: {self.clause('en')}", lambda: f"{k()}={n()} {k()}={n()} {k()}={m()}",
+            lambda: f"[{self.fill('##:##:##')}] {pick(['INFO', 'WARN', 'ERROR', 'DEBUG'])} {m()} {k()}={n()}", lambda: f"{self.fill('20##-##-## ##:##:##')} {pick(['INFO', 'WARN', 'ERROR'])} {m()}: {self.clause('en')}", lambda: f"{k()}={n()} {k()}={n()} {k()}={m()}",
             lambda: f"commit {self.hexa(40)}", lambda: f"index {self.hexa(7)}..{self.hexa(7)} 100644", lambda: f"@@ -{n()},{self.digits(1, 2)} +{self.digits(1, 3)},{self.digits(1, 2)} @@ {m()}", lambda: f"diff --git a/{self.file()} b/{self.file()}", lambda: f"origin\tgit@{m()}.{pick(['com', 'org', 'test', 'invalid', 'example', 'dev'])}:{m()}/{m()}.git ({pick(['fetch', 'push'])})",
             lambda: f"git clone git@{m()}.{pick(['com', 'org', 'test', 'invalid', 'example', 'io'])}:{m()}/{m()}.git", lambda: f"{pick(['remote', 'upstream', 'mirror', 'clone', 'fetch'])} {pick(['git', 'ssh://git', 'deploy', 'hg', 'svn'])}@{m()}.{pick(['net', 'org', 'test', 'invalid', 'example'])}{pick([':', '/'])}{m()}/{m()}{pick(['', '.git'])}", lambda: f"ssh://git@{m()}.org:{self.digits(2, 4)}/{m()}.git", lambda: f"https://{m()}.{pick(['com', 'org', 'test', 'example'])}/{m()}/{m()}?{k()}={n()}",
-            lambda: f"{m()}@{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}", lambda: f"@{m()}/{m()}@{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}", lambda: f"Pinned {pick(['@', ''])}{m()}{pick(['/' + k(), ''])}@{pick(['^', '~', ''])}{self.digits(1, 1)}.{self.digits(1, 2)}.{self.digits(1, 2)} {self.clause('en', 3)}", lambda: f"  \"{m()}\": \"^{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}\",", lambda: f"uses: {m()}/{m()}@v{self.digits(1, 1)}", lambda: f"image {m()}@sha256:{self.hexa(64)}", lambda: f"{self.hexa(64)}  {self.file()}",
+            lambda: f"{m()}@{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}", lambda: f"@{m()}/{m()}@{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}", lambda: f"{pick(['@', ''])}{m()}{pick(['/' + k(), ''])}@{pick(['^', '~', ''])}{self.digits(1, 1)}.{self.digits(1, 2)}.{self.digits(1, 2)} {self.clause('en', 3)}", lambda: f"  \"{m()}\": \"^{self.digits(1, 2)}.{self.digits(1, 2)}.{self.digits(1, 2)}\",", lambda: f"uses: {m()}/{m()}@v{self.digits(1, 1)}", lambda: f"image {m()}@sha256:{self.hexa(64)}", lambda: f"{self.hexa(64)}  {self.file()}",
             lambda: f"{k()}: {n()}", lambda: f"{m()}: {n()}, {n()}, {n()}", lambda: f"{{\"{k()}\": {self.digits(1, 5)}, \"{k()}\": \"{m()}\"}}", lambda: f"function {m()}({k()}) {{", lambda: f"  return {m()}.{k()}({k()}, {n()});", lambda: f"const {k()} = {m()}(\"{k()}\", {self.digits(1, 3)});", lambda: f"if ({k()} !== \"{m()}\") {{", lambda: "}", lambda: "```", lambda: f"| {k()} | {n()} | {n()} |", lambda: f"| {k()} | {self.thing()} | {n()} |", lambda: f"{k()};{m()};{n()};{self.digits(1, 4)}", lambda: f"{k()}\t{n()}\t{m()}",
-            lambda: f"{self.file()}:{self.digits(1, 4)}:{self.digits(1, 2)} {self.clause('en')}", lambda: f"{n()} {pick(['of', 'von', 'sur', 'de'])} {n()} {pick(_WORDS[lang][0])}", lambda: f"{n()} {pick(_WORDS['en'][1])} {pick(['lanes', 'courts', 'roads', 'streets', 'ways', 'places', 'squares', 'terraces', 'drives'])} {self.clause('en')}", lambda: f"{self.counted()} {self.counted()} {self.counted()}", lambda: f"score {n()} at {n()}",
-            lambda: f"{pick(['See', 'see', 'cf.', 'siehe', 'voir', 'véase'])} {self.file()} {self.counted()}", lambda: self.thing(), lambda: f"{self.thing()}: {self.clause(lang)}", lambda: f"{self.thing()} | {n()} | {m()}", lambda: f"{self.made_name()} {self.clause(lang)}.",
+            lambda: f"{self.file()}:{self.digits(1, 4)}:{self.digits(1, 2)} {self.clause('en')}", lambda: f"{n()} {pick(['of', 'von', 'sur', 'de'])} {n()} {pick(_WORDS[lang][0])}", lambda: f"{self.counted()} {self.counted()} {self.counted()}",
+            lambda: f"{pick(['See', 'see', 'cf.', 'siehe', 'voir', 'véase'])} {self.file()} {self.counted()}", lambda: self.pick("0123456789=-*#x") * self.r.randint(3, 40), lambda: self.digits(12, 30), lambda: f"{' '.join(pick(_THING_WORDS) for _ in range(2))}: {self.clause(lang)}", lambda: f"{pick(_THING_WORDS)} {self.noun('en').capitalize()} | {n()} | {m()}",
+            lambda: self.sentence(lang).upper(), lambda: self.sentence(lang).title(), lambda: " ".join(pick(["**", "|", "", ""]) + w for w in self.sentence(lang).upper().split(" ")),
         ])()
 
     def value(self, kind: str) -> tuple[str, str]:
@@ -418,12 +445,12 @@ class _Draw:
     def mentioning(self, lang: str) -> list[tuple[str, str | None]]:
         """Parts of a line: texts, and mentions with their kinds."""
         p, pick = self.chance, self.pick
-        kind = pick(["person", "person", "person", "person", "email", "phone", "address", "address", "id_number", "id_number"])
+        kind = pick(["person", "person", "person", "person", "person", "email", "phone", "address", "address", "id_number"])
         way = p()
         if way < 0.16:  # a record of several mentions
             kinds = pick([["person", "email"], ["person", "email", "phone"], ["person", "phone"], ["person", "address", "phone"], ["person", "address"], ["person", "id_number"], ["email", "phone"], ["person", "person", "email"], ["person", "email", "address"]])
             sep = pick([" | ", " | ", ";", "; ", ", ", " - ", " – ", "\t", " / ", ",", " · "])
-            out: list[tuple[str, str | None]] = [(pick(["", "", "", "| ", "- ", "* ", "contact;", "name;", "• ", self.digits(1, 4) + ";", self.module() + sep]), None)]
+            out: list[tuple[str, str | None]] = [(pick(["", "", "", "| ", "- ", "* ", "• ", self.digits(1, 4) + ";", self.module() + sep]), None)]
             for i, k in enumerate(kinds):
                 if i:
                     out.append((sep, None))
@@ -436,21 +463,35 @@ class _Draw:
                 if k == "address" and p() < 0.35:
                     out.append((", " + self.town(), None))
             return [*out, (pick(["", "", "", " |", ".", f"{sep}{self.module()}", f"{sep}{self.number()}"]), None)]
+        if way < 0.2 and kind == "person":  # several names
+            sep, out = pick([", ", ", ", "; ", " / ", " & "]), [(pick([*_BEFORE[lang], *_LABELS["person"]]) + pick([": ", " ", ": "]), None)]
+            for i in range(self.r.randint(2, 4)):
+                out += [(sep, None)] * (i > 0) + [(self.person(), kind)]
+            return [*out, (pick(["", "", ".", " " + self.clause(lang)]), None)]
         before, value = self.value(kind)
         town = [(pick([", ", ", ", " - ", " "]) + self.town(), None)] if kind == "address" and p() < 0.35 else []
         mention: list[tuple[str, str | None]] = [(before, None), (value, kind), *town]
-        if way < 0.3:  # a label, or nothing
-            if kind in _LABELS and p() < 0.75:
-                label = pick(_LABELS[kind])
+        if way < 0.36:  # a label, or nothing
+            if kind in _LABELS and p() < 0.55:
+                label = pick(_LABELS[kind]) if p() < 0.8 else self.clause(lang, self.r.randint(1, 4)).capitalize()
                 if p() < 0.12:
                     label = pick(["- ", "* ", "**", "  ", "| "]) + label
-                return [(label + pick([": ", ": ", ": ", " : ", "=", " = ", ":", " - ", ";", " "]), None), *mention, (pick(["", "", "", ".", ";", f" {pick(['/', '-', '|', ','])} {self.clause(lang, 4)}", f"; {self.pick(_WORDS['en'][0])}={self.module()}"]), None)]
+                return [(label + pick([": ", ": ", ": ", " : ", "=", " = ", ":", " - ", ";", " "]), None), *mention, (pick(["", "", "", ".", ";", f" {pick(['-', '|', ','])} {self.clause(lang, 4)}", f"; {self.pick(_WORDS['en'][0])}={self.module()}"]), None)]
             return [(pick(["", "", "", "- ", "— ", "-- ", "* ", "> ", "  ", "@ " if kind == "person" else ""]), None), *mention, (pick(["", "", "", ",", "."]), None)]
         if kind == "person":
-            if way < 0.36:
+            if way < 0.42:
                 em = self.email()
                 return [(pick([*(f"{label}: " for label in _LABELS["person"][10:17]), "From: ", "To: ", "", "", "* ", "- "]), None), (self.person(), "person"), (" <", None), (em, "email"), (pick([">", ">", "> wrote:", "> schrieb:", "> a écrit :", "> escribió:", ">,"]), None)]
-            tail = pick([" " + self.clause(lang), " " + self.clause(lang), "", ", " + self.clause(lang), f" {pick(_WORDS[lang][4])} {self.clause(lang)}", f" ({self.clause(lang, 2)})", " " + pick(["about", "on", "zu", "wegen", "sur", "sobre", "über", "pour", "por", "für", "by", "until"]) + " " + pick([self.module(), self.clause(lang, 3), self.number()])])
+            if p() < 0.14:
+                when = pick([" " + pick(_WHEN[lang]), " " + pick(_WHEN[lang]), "", ", " + pick(_WHEN[lang])]) + pick([".", ".", "", ","])
+                if lang == "en":
+                    return [(f"{self.named(lang)} {pick(['was', 'is', 'has been', 'got', 'were'])} {pick(_PASSIVE)} by ", None), *mention, (when, None)]
+                if lang == "de":
+                    return [(pick(["Bitte ", "bitte ", "Wir müssen ", "Wer kann ", "Heute noch "]), None), *mention, (pick([f" nach {self.named(lang)}", f" zu {self.named(lang)}", f" wegen {self.named(lang)}", ""]) + " " + pick(_VERBLAST) + pick([".", ".", "?", ""]), None)]
+                return [(f"{self.named(lang)} {self.pick(_COPULAS[lang])} {self.adjective(lang)} {'par' if lang == 'fr' else 'por'} ", None), *mention, (when, None)]
+            if p() < 0.12:  # an opinion
+                return [(pick({"en": ["According to ", "For ", "To "], "de": ["Laut ", "Nach ", "Für ", "Wie "], "fr": ["Selon ", "D'après ", "Pour "], "es": ["Según ", "Para "]}[lang]), None), *mention, (pick([", ", " ", ", "]) + (f"{self.copula(lang)} {self.named(lang)}" if lang == "de" and p() < 0.3 else f"{pick(_COPULAS[lang])} {self.named(lang)} {self.adjective(lang)}" if lang == "de" else f"{self.named(lang)} {self.copula(lang)}") + pick([".", ".", ""]), None)]
+            tail = pick([" " + pick(_WHEN[lang]), " " + self.clause(lang), " " + self.clause(lang), "", ", " + self.clause(lang), f" {pick(_WORDS[lang][4])} {self.clause(lang)}", f" ({self.clause(lang, 2)})", " " + pick(["about", "on", "zu", "wegen", "sur", "sobre", "über", "pour", "por", "für", "by", "until"]) + " " + pick([self.module(), self.clause(lang, 3), self.number()])])
             end = pick([".", ".", ".", "", ",", "?", "!", ":"])
             if p() < 0.42:
                 after = pick(_AFTER[lang])
@@ -467,7 +508,7 @@ class _Draw:
         lead = pick(["", "", "", self.clause(lang) + ", ", self.clause(lang) + " ", self.sentence(lang) + " ", self.module() + ": ", pick(_WORDS[lang][0]).capitalize() + " "])
         if not lead and p() < 0.7:
             left = left[:1].upper() + left[1:]
-        tail = pick(["", "", ".", ".", ", " + self.clause(lang) + ".", " " + pick(_WORDS[lang][5]) + " " + self.clause(lang) + ".", "; " + self.clause(lang), " / " + self.clause(lang, 3), ", " + self.clause(lang, 3)])
+        tail = pick(["", "", ".", ".", ", " + self.clause(lang) + ".", " " + pick(_WORDS[lang][5]) + " " + self.clause(lang) + ".", "; " + self.clause(lang), ", " + self.clause(lang, 3)])
         if kind == "address" and value.endswith(".") and tail.startswith("."):
             tail = tail[1:]
         return [(lead + left, None), *mention, (right + tail, None)]

@@ -8,7 +8,7 @@ Viterbi in numpy, many lines at once; no rule looks at a mention after that.
 
 Tokens are runs of letters, runs of digits and single other characters; white space only tells how tokens are apart.
 A token's features are its word if the table has it, its shape, length and ending, the same of its neighbours, shapes in
-a row, and what its white-space-delimited piece holds. A line in which no token could begin a mention that pays, whatever
+a row, its place in a short line, and what its white-space-delimited piece holds. A line in which no token could begin a mention that pays, whatever
 the transitions, has the empty labelling as its best one and isn't decoded further; this bound is exact.
 
 Defined results: null keys and texts and texts without mentions give no rows; equal mentions of a document give one row;
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from . import _text as T
 from .p8_labelled import KINDS, labelled
 
-TABLE_ROWS = 40_000  # of the labelled table
+TABLE_ROWS = 100_000  # of the labelled table
 LEAST_WEIGHT = 0.02  # smaller weights aren't kept
 MOST_BYTES = 64 << 20  # of the weights
 SPAN = 4  # neighbours on either side whose features count
@@ -158,6 +158,10 @@ class Tagger:
         piece = np.cumsum(g > 0)
         has_at = (np.bincount(piece, mark == 1, int(piece[-1]) + 1)[piece] > 0).astype(np.int64) if n else mark
 
+        begin = np.flatnonzero(g == 2)
+        sizes = np.diff(np.append(begin, n))
+        size, place = np.minimum(np.repeat(sizes, sizes), 7), np.minimum(np.arange(n) - np.repeat(begin, sizes), 4)
+
         def ahead(kind: int, most: int) -> np.ndarray:
             where = np.flatnonzero(mark == kind) if kind != 2 else np.flatnonzero((mark == 1) | (mark == 2))
             if not len(where):
@@ -179,7 +183,7 @@ class Tagger:
         rows = [
             (s[-1], s[0], gaps[0]), (s[0], s[1], gaps[1]), (s[-1], s[0], s[1], gaps[0], gaps[1]), (s[0], s[1], s[2], gaps[1], gaps[2]), (s[-2], s[-1], s[0], gaps[-1], gaps[0]),
             (s[0], s[1], s[2], s[3], gaps[1], gaps[2], gaps[3]), (gaps[-1], gaps[0], gaps[1], gaps[2]), (has_at, at(has_at, 1, 2), s[0], gaps[0]),
-            (ahead(2, 9), ahead(3, 9), behind(12), s[0]),
+            (ahead(2, 9), ahead(3, 9), behind(12), s[0]), (size, place, s[0], s[1]),
         ]
         out = []
         for k, parts in enumerate(rows):
