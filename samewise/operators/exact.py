@@ -1,4 +1,5 @@
-"""Exact duplicates: records of one content, by hash."""
+"""Exact duplicates: records of one content, by hash. Hashes are taken where texts lie; texts move only as the records
+that stand for a content, once."""
 
 from __future__ import annotations
 
@@ -6,12 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalize
+from ..session import HOT_ROWS, lookup, materialise
+
+
+def _known(records: DataFrame) -> DataFrame:
+    return records.where("id is not null and content is not null").select("id", "content")
 
 
 def prepared(records: DataFrame, normalized: bool = False) -> DataFrame:
     """``id, content, raw`` of each distinct id; rows with a null id or content are no records. Of rows that repeat an
     id the smallest content is taken."""
-    rows = records.where("id is not null and content is not null").groupBy("id").agg(F.min("content").alias("raw"))
+    rows = _known(records).groupBy("id").agg(F.min("content").alias("raw"))
     return rows.select("id", (normalize(F.col("raw")) if normalized else F.col("raw")).alias("content"), "raw")
 
 
@@ -19,23 +25,41 @@ def hashed(records: DataFrame) -> DataFrame:
     return records.select("id", content_hash(F.col("content")).alias("hash"))
 
 
-def group_stats(rows: DataFrame) -> DataFrame:
-    """``hash, rep, n, normalized_match`` for each content: its smallest id, how many have it, and whether their raw
-    texts differ."""
-    raw = F.xxhash64("raw")
-    stats = rows.groupBy(content_hash(F.col("content")).alias("hash")).agg(
-        F.min("id").alias("rep"), F.count("*").alias("n"), (F.min(raw) != F.max(raw)).alias("normalized_match")
-    )
-    return stats
+def identified(records: DataFrame, normalized: bool = False) -> DataFrame:
+    """``id, hash, raw`` of each id that ``prepared`` gives: its content's hash, and a hash of the text as it is.
+
+    Only hashes are shuffled. Ids whose rows carry different texts are read once more, for the smallest text."""
+    rows = _known(records)
+    text = normalize(F.col("content")) if normalized else F.col("content")
+    seen = rows.select("id", F.struct(content_hash(text).alias("hash"), F.xxhash64("content").alias("raw")).alias("h"))
+    seen = materialise(seen.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("other")))
+    sure = seen.where("h = other").select("id", "h.hash", "h.raw")
+    unsure = seen.where("h <> other").select("id")
+    if unsure.isEmpty():
+        return sure
+    rest = prepared(rows.join(unsure, "id", "left_semi"), normalized)
+    return sure.union(rest.select("id", content_hash(F.col("content")), F.xxhash64("raw")))
+
 
+def group_stats(ids: DataFrame) -> DataFrame:
+    """``hash, rep, n, normalized_match`` for each content of ``ids`` (as identified): its smallest id, how many have it,
+    and whether their raw texts differ."""
+    return ids.groupBy("hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"), (F.min("raw") != F.max("raw")).alias("normalized_match"))
 
-def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """``hash, id, rep, n, normalized_match``: the members of each group of two or more."""
-    groups = group_stats(rows).where("n > 1")
-    return rows.select("id", content_hash(F.col("content")).alias("hash")).join(groups, "hash")
 
+def duplicate_groups(ids: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``hash, id, rep, n, normalized_match``: the members of each group of two or more. A content of more than
+    ``hot_rows`` records isn't brought together."""
+    groups = group_stats(ids).where("n > 1")
+    members = ids.select("hash", "id")
+    if ids.count() <= hot_rows:
+        return members.join(groups, "hash")
+    groups = materialise(groups)
+    found = lookup(members, groups.select("*", F.col("n").alias("size")), "hash", hot_rows)
+    return found.select("hash", "id", "rep", F.col("size").alias("n"), "normalized_match")
 
-def unique_records(rows: DataFrame) -> DataFrame:
-    """``id, content``: of each content the record of the smallest id."""
-    return rows.join(group_stats(rows).select(F.col("rep").alias("id")), "id", "left_semi").select("id", "content")
 
+def unique_records(records: DataFrame, ids: DataFrame, normalized: bool = False) -> DataFrame:
+    """``id, content``: of each content the record of the smallest id; ``ids`` as identified from ``records``."""
+    firsts = group_stats(ids).select(F.col("rep").alias("id"))
+    return prepared(_known(records).join(firsts, "id", "left_semi"), normalized).select("id", "content")

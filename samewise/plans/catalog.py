@@ -42,12 +42,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # --- what the queries start from --------------------------------------------------------------------------------------
 
 
+def _source(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "records").select("id", "content")
+
+
 def _records(spark: SparkSession, folder: str, normalized: bool = False) -> DataFrame:
-    return E.prepared(table(spark, folder, "records"), normalized)
+    return E.prepared(_source(spark, folder), normalized)
+
+
+def _ids(spark: SparkSession, folder: str, normalized: bool = False) -> DataFrame:
+    return E.identified(_source(spark, folder), normalized)
+
+
+def _docs_source(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "docs").select("id", F.col("text").alias("content"))
 
 
 def _docs(spark: SparkSession, folder: str, normalized: bool = False) -> DataFrame:
-    return E.prepared(table(spark, folder, "docs").select("id", F.col("text").alias("content")), normalized)
+    return E.prepared(_docs_source(spark, folder), normalized)
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,8 +67,9 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("id", F.col("content").alias("text"))
 
 
-def _unique(spark: SparkSession, folder: str, of=_records) -> DataFrame:
-    return materialise(E.unique_records(of(spark, folder, True)))
+def _unique(spark: SparkSession, folder: str, of=_source) -> DataFrame:
+    records = of(spark, folder)
+    return materialise(E.unique_records(records, E.identified(records, True), True))
 
 
 def _left(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,28 +134,27 @@ _WITH_CLUSTERS = f"{_WITH_EDGES}, {_REACH}"
 
 @query(f"WITH {_sql_records()} SELECT id, sha256(raw) AS hash FROM rec")
 def exact_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return E.hashed(_records(spark, folder))
+    return _ids(spark, folder).select("id", "hash")
 
 
 @query(f"WITH {_sql_records()}, g AS (SELECT raw, min(id) AS rep, count(*) AS n FROM rec GROUP BY raw HAVING count(*) > 1) SELECT sha256(rec.raw) AS hash, id, rep, n FROM rec JOIN g ON rec.raw = g.raw")
 def exact_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return E.duplicate_groups(_records(spark, folder)).select("hash", "id", "rep", "n")
+    return E.duplicate_groups(_ids(spark, folder)).select("hash", "id", "rep", "n")
 
 
 @query(f"WITH {_sql_records()} SELECT min(id) AS id, sha256(raw) AS hash FROM rec GROUP BY raw")
 def exact_representatives(spark: SparkSession, folder: str) -> DataFrame:
-    return E.hashed(E.unique_records(_records(spark, folder)))
+    return E.group_stats(_ids(spark, folder)).select(F.col("rep").alias("id"), "hash")
 
 
 @query(f"WITH {_sql_records()} SELECT count(*) AS records, count(DISTINCT raw) AS contents, count(DISTINCT content) AS normalized_contents FROM norm")
 def exact_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _records(spark, folder, True).select("id", F.sha2("raw", 256).alias("raw"), F.sha2("content", 256).alias("content"))
-    return rows.agg(F.count("*").alias("records"), F.countDistinct("raw").alias("contents"), F.countDistinct("content").alias("normalized_contents"))
+    return _ids(spark, folder, True).agg(F.count("*").alias("records"), F.countDistinct("hash", "raw").alias("contents"), F.countDistinct("hash").alias("normalized_contents"))
 
 
 @query(f"WITH {_sql_records()}, g AS (SELECT content, min(id) AS rep, count(*) AS n, count(DISTINCT raw) > 1 AS m FROM norm GROUP BY content HAVING count(*) > 1) SELECT sha256(norm.content) AS hash, id, rep, n, m AS normalized_match FROM norm JOIN g ON norm.content = g.content")
 def normalized_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return E.duplicate_groups(_records(spark, folder, True)).select("hash", "id", "rep", "n", "normalized_match")
+    return E.duplicate_groups(_ids(spark, folder, True)).select("hash", "id", "rep", "n", "normalized_match")
 
 
 @query(f"WITH {_sql_records()} SELECT id, sha256(content) AS hash, content <> raw AS changed FROM norm")
@@ -156,13 +168,13 @@ def _group_sql(source: str, key: str) -> str:
 
 @query(_group_sql("documents", "doc_id"))
 def exact_groups_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = E.prepared(as_records(table(spark, folder, "documents"), "doc_id", "text"))
+    rows = E.identified(as_records(table(spark, folder, "documents"), "doc_id", "text"))
     return E.duplicate_groups(rows).select("hash", "id", "rep", "n")
 
 
 @query(_group_sql("benchmark", "item_id"))
 def exact_groups_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    rows = E.prepared(as_records(table(spark, folder, "benchmark"), "item_id", "text"))
+    rows = E.identified(as_records(table(spark, folder, "benchmark"), "item_id", "text"))
     return E.duplicate_groups(rows).select("hash", "id", "rep", "n")
 
 
@@ -185,7 +197,7 @@ _DOC_PAIRS = f"WITH {_sql_records('docs', 'text')}, {_sql_lines('uniq')}, {_sql_
 
 @query(f"{_DOC_PAIRS} SELECT subset, superset, len(full_) - len(sub) AS extra_lines FROM pairs")
 def containment_pairs_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return C.containment_pairs(_unique(spark, folder, _docs)).select("subset", "superset", F.size("extra").cast("long").alias("extra_lines"))
+    return C.containment_pairs(_unique(spark, folder, _docs_source)).select("subset", "superset", F.size("extra").cast("long").alias("extra_lines"))
 
 
 @query(f"WITH {_sql_records()}, {_sql_lines('uniq')}, {_sql_pairs('a.nb > 0 AND ')} SELECT subset, superset FROM pairs")
@@ -580,7 +592,7 @@ def audit_missing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _normal_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return E.duplicate_groups(_records(spark, folder, True)).select("hash", "id")
+    return E.duplicate_groups(_ids(spark, folder, True)).select("hash", "id")
 
 
 @query(f"WITH {_sql_records()}, g AS (SELECT content, min(id) AS id, min(raw) AS lo, max(raw) AS hi FROM norm GROUP BY content HAVING count(*) > 1) SELECT 'exact_duplicate_group' AS type, id AS a, sha256(content) AS b FROM g WHERE lo <> hi OR lo <> content")
@@ -602,7 +614,7 @@ def audit_exact(spark: SparkSession, folder: str) -> DataFrame:
 )
 def audit_completeness(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of raw contents, held against normalised ones: duplicates that the former miss."""
-    claims = E.duplicate_groups(_records(spark, folder)).select("hash", "id")
+    claims = E.duplicate_groups(_ids(spark, folder)).select("hash", "id")
     again = _records(spark, folder).select("id", A.normalized_again(F.col("raw")).alias("content"))
     return A.audit_completeness(claims, again).select("type", "a")
 
@@ -617,7 +629,7 @@ def audit_completeness(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT p.subset, 'contained', min(u.x) FROM pairs p JOIN up u ON u.start = p.superset WHERE u.x NOT IN (SELECT subset FROM pairs) GROUP BY p.subset"
 )
 def action_plan(spark: SparkSession, folder: str) -> DataFrame:
-    groups = E.duplicate_groups(_records(spark, folder, True)).select("id", "rep")
+    groups = E.duplicate_groups(_ids(spark, folder, True)).select("id", "rep")
     pairs = materialise(C.containment_pairs(_unique(spark, folder)))
     return U.actions(groups, pairs, C.final_supersets(pairs))
 

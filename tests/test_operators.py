@@ -22,15 +22,24 @@ def records(spark, data):
 
 
 def test_exact(spark):
-    df = E.prepared(records(spark, [("a", "same"), ("b", "same"), ("c", "other"), ("c", "other"), (None, "x"), ("n", None)]))
-    assert rows(E.duplicate_groups(df), "id", "rep", "n") == [("a", "a", 2), ("b", "a", 2)]
-    assert rows(E.unique_records(df), "id") == [("a",), ("c",)]
+    df = records(spark, [("a", "same"), ("b", "same"), ("c", "other"), ("c", "other"), (None, "x"), ("n", None)])
+    ids = E.identified(df)
+    for hot in (1, 100):  # kept apart, or not
+        assert rows(E.duplicate_groups(ids, hot), "id", "rep", "n") == [("a", "a", 2), ("b", "a", 2)]
+    assert rows(E.unique_records(df, ids), "id", "content") == [("a", "same"), ("c", "other")]
+
+
+def test_an_id_with_two_texts_has_the_smaller(spark):
+    df = records(spark, [("a", "z"), ("a", "b"), ("b", "b"), ("c", "z")])
+    ids = E.identified(df)
+    assert rows(E.duplicate_groups(ids), "id", "rep") == [("a", "a"), ("b", "a")]
+    assert rows(E.unique_records(df, ids), "id", "content") == [("a", "b"), ("c", "z")]
 
 
 def test_normalised_groups_are_flagged(spark):
     data = [("a", "x\ny"), ("b", "x \r\ny"), ("c", "z"), ("d", "z")]
-    assert rows(E.duplicate_groups(E.prepared(records(spark, data))), "id") == [("c",), ("d",)]
-    assert rows(E.duplicate_groups(E.prepared(records(spark, data), True)), "id", "normalized_match") == [("a", True), ("b", True), ("c", False), ("d", False)]
+    assert rows(E.duplicate_groups(E.identified(records(spark, data))), "id") == [("c",), ("d",)]
+    assert rows(E.duplicate_groups(E.identified(records(spark, data), True)), "id", "normalized_match") == [("a", True), ("b", True), ("c", False), ("d", False)]
 
 
 def subsequence(a, b):
