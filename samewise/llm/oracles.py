@@ -10,19 +10,36 @@ _RE2_SPACE = "[\\t-\\r \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\
 
 _RECORDS = "rec AS (SELECT id, min(content) AS c FROM records WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id)"
 
-_P1 = f"""
-WITH {_RECORDS},
+_SETS = f"""{_RECORDS},
 w AS (SELECT id, regexp_extract_all(lower(c), '[\\p{{L}}\\p{{N}}]+') AS w FROM rec),
 e AS (
   SELECT DISTINCT 'records' AS src, id, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)
   UNION
   SELECT DISTINCT 'docs', id, x FROM (SELECT id, unnest(atoms) AS x FROM docs WHERE id IS NOT NULL) WHERE x IS NOT NULL),
-n AS (SELECT src, id, count(*) AS n FROM e GROUP BY src, id),
+n AS (SELECT src, id, count(*) AS n FROM e GROUP BY src, id)"""
+
+_P1 = f"""
+WITH {_SETS},
 p AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM e a JOIN e b ON a.src = b.src AND a.x = b.x AND a.id < b.id GROUP BY ALL)
 SELECT p.src, id_a, id_b FROM p JOIN n x ON p.src = x.src AND id_a = x.id JOIN n y ON p.src = y.src AND id_b = y.id WHERE c * 5 >= (x.n + y.n - c) * 3
 """
 
 
+_P1_GROUPS = f"""
+WITH RECURSIVE {_SETS},
+k AS (SELECT src, id, sha256(string_agg(x, chr(1) ORDER BY x)) AS key FROM e GROUP BY src, id),
+m AS (SELECT src, id, min(id) OVER (PARTITION BY src, key) AS class_id FROM k),
+r AS (SELECT e.* FROM e JOIN m ON e.src = m.src AND e.id = m.id WHERE m.id = m.class_id),
+p AS (SELECT a.src, a.id AS a, b.id AS b, count(*) AS c FROM r a JOIN r b ON a.src = b.src AND a.x = b.x AND a.id < b.id GROUP BY ALL),
+l AS (SELECT p.src, a, b FROM p JOIN n x ON p.src = x.src AND a = x.id JOIN n y ON p.src = y.src AND b = y.id WHERE c * 5 >= (x.n + y.n - c) * 3),
+near AS (SELECT src, a, b FROM l UNION ALL SELECT src, b, a FROM l),
+reach AS (SELECT src, class_id AS a, class_id AS b FROM m UNION SELECT reach.src, reach.a, near.b FROM reach JOIN near ON reach.src = near.src AND reach.b = near.a),
+g AS (SELECT src, a, min(b) AS group_id FROM reach GROUP BY src, a),
+d AS (SELECT src, a, count(*) AS links FROM near GROUP BY src, a)
+SELECT m.src, m.id, m.class_id, g.group_id, coalesce(links, 0) AS links FROM m JOIN g ON m.src = g.src AND m.class_id = g.a LEFT JOIN d ON m.src = d.src AND m.class_id = d.a
+"""
+
+
 def _spelled(x: str) -> str:
     trimmed = f"regexp_replace({x}, '^{_RE2_SPACE}+|{_RE2_SPACE}+$', '', 'g')"
     return f"regexp_replace(replace({trimmed}, '\\', '/'), '^(\\./)+', '')"
@@ -62,6 +79,7 @@ SELECT id, t.term FROM t JOIN m ON t.term = m.term, k WHERE n * ln(k / m) >= 1.7
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_groups": _P1_GROUPS,
         "p2_found": _P2,
         "p2_shared_words": f"SELECT id, CAST(sum(end_word - start_word) AS BIGINT) AS shared_words, count(*) AS stretches FROM ({_P2}) GROUP BY id",
         "p3_found": f"{_P3} SELECT x AS id, min(y) AS group_id FROM reach GROUP BY x",

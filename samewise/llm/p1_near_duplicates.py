@@ -15,9 +15,9 @@ rarest, two sets of similarity s or more share one of the first n - ceil(s * n)
 48 bits within a text and 32 bits between texts.
 
 Defined results: null ids, contents and lists, null elements, empty sets and records under 20 words give no pairs;
-repeated rows of an id count once; texts are taken whole; other columns are ignored; empty tables give no rows. All
-pairs within a class and between two linked ones are given, whatever their size; only of a content with more than
-``expand`` exact copies each copy is paired with the first of them alone, which stands for them in all other pairs.
+repeated rows of an id count once; texts are taken whole; other columns are ignored; empty tables give no rows.
+``near_pairs`` gives all pairs within a class and between two linked ones, whatever their size, so its rows are quadratic in
+the copies of a set; ``near_groups`` has one row for each id, with its class, its group and its class's links.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import HOT_ROWS as CLASS_ROWS
+from ..session import lookup, materialise
 from . import _text as T
 from .p3_groups import hash_to_min
 
@@ -38,7 +39,8 @@ SIMILARITY = 0.6
 WORDS, SHINGLE = 20, 3
 BUCKET = 200
 BITS = 512
-EXPAND = 300
+MEMBERS = 256  # ids of one class that travel together
+PART_ROWS = 2000  # classes with one element that meet in one task
 HOT_ROWS = 50_000  # classes with one A half beyond which it is left to the prefix filter
 
 
@@ -87,7 +89,7 @@ def bitmaps(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 _ROWS = {
     "signed": "src string, id string, h1 long, h2 long, size int, a array<int>, b array<int>, bits array<long>",
-    "named": "src string, id string, text long, h1 long, h2 long",
+    "named": "src string, id string, h1 long, h2 long",
     "sets": "h1 long, h2 long, elements array<int>",
 }
 DOCS_AT_ONCE = 10_000
@@ -115,7 +117,7 @@ def _set_rows(src: str, rows: str):
                     short = T.mix(elements, 81).astype(np.uint32).view(np.int32)
                     yield pa.RecordBatch.from_arrays([*hashes, T.list_array(short, np.append(starts, bounds[-1]), pa.int32())], ["h1", "h2", "elements"])
                 elif rows == "named":
-                    yield pa.RecordBatch.from_arrays([*named[:2], batch.column(2).take(at), *hashes], ["src", "id", "text", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays(named, ["src", "id", "h1", "h2"])
                 else:
                     kinds = (pa.int32(), pa.int32(), pa.int64())
                     parts = (*halves(elements, starts), bitmaps(elements, starts))
@@ -128,9 +130,8 @@ def _set_rows(src: str, rows: str):
 
 def _scan(records: DataFrame, docs: DataFrame, rows: str) -> DataFrame:
     out = []
-    for src, df, value, length in (("records", records, "content", F.length), ("docs", docs, "atoms", F.size)):
-        text = [F.xxhash64(value, length(value)).alias("text")] if rows == "named" else []  # equal for exact copies
-        df = df.select("id", value, *text).where(f"id is not null and {value} is not null")
+    for src, df, value in (("records", records, "content"), ("docs", docs, "atoms")):
+        df = df.select("id", value).where(f"id is not null and {value} is not null")
         out.append(df.mapInArrow(_set_rows(src, rows), _ROWS[rows]))
     return out[0].union(out[1])
 
@@ -200,23 +201,26 @@ def _bucket_pairs(similarity: float, bucket: int):
     return run
 
 
-def _prefix_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """All candidate pairs among ``classes`` by the prefix filter."""
+def _prefix_pairs(classes: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """All candidate pairs among ``classes`` by the prefix filter. Classes with one element meet in parts of ``most``."""
     each = classes.join(sets, ["h1", "h2"]).select("src", "cid", "size", F.explode("elements").alias("e"))
     rarity = each.groupBy("src", "e").agg(F.count("*").alias("df"))
     ordered = each.join(rarity, ["src", "e"]).groupBy("src", "cid", "size").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
     length = F.greatest(F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1, F.lit(1)).cast("int")
-    prefix = ordered.select("src", "cid", "size", F.explode(F.slice("es", F.lit(1), length)).alias("p")).select("src", "cid", "size", F.col("p.e").alias("e"))
-    other = prefix.select("src", "e", F.col("cid").alias("b"), F.col("size").alias("size_b"))
-    near = (F.col("size") >= similarity * F.col("size_b") - 1e-9) & (F.col("size_b") >= similarity * F.col("size") - 1e-9)
-    return prefix.join(other, ["src", "e"]).where((F.col("cid") < F.col("b")) & near).select(F.col("cid").alias("a"), "b").distinct()
+    prefix = ordered.select("src", "cid", "size", F.explode(F.slice("es", F.lit(1), length)).alias("p")).select("src", "cid", "size", "p.e", F.ceil(F.col("p.df") / most).alias("parts"))
+    prefix = prefix.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    one = prefix.select("src", "e", F.col("cid").alias("x"), F.col("size").alias("size_x"), F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"))
+    two = prefix.select("src", "e", F.col("cid").alias("y"), F.col("size").alias("size_y"), F.col("part").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("part"))).alias("i"))
+    near = (F.col("size_x") >= similarity * F.col("size_y") - 1e-9) & (F.col("size_y") >= similarity * F.col("size_x") - 1e-9)
+    met = one.join(two, ["src", "e", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets ``cid, src, h1, h2, rep, size``, and the verified links between them ``a, b, similarity``."""
     signed = _scan(records, docs, "signed")
     kept = ("size", "a", "b", "bits")
-    classes = signed.groupBy("src", "h1", "h2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in kept))
+    classes = signed.groupBy("src", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in kept))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
     rows = classes.select("cid", "size", "b", "src", F.posexplode("a").alias("i", "x")).select(F.xxhash64("src", "i", "x").alias("half"), "cid", "size", "b")
     # an A half of very many classes fills no table: all pairs that could share it are found by the prefix filter
@@ -234,7 +238,7 @@ def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILA
     light = classes.select("cid", "src", "h1", "h2", "size", "bits")
     sets = _scan(records, docs, "sets").groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
     if not crowded.isEmpty():
-        candidates = candidates.union(_prefix_pairs(light.join(crowded.distinct(), "cid", "left_semi"), sets, similarity)).distinct()
+        candidates = candidates.union(_prefix_pairs(light.join(crowded.distinct(), "cid", "left_semi"), sets, similarity, part_rows)).distinct()
     for side in ("a", "b"):
         named = light.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("h1", "h2", "size", "bits")))
         candidates = candidates.join(named, side)
@@ -249,27 +253,38 @@ def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILA
     return classes.drop("a", "b", "bits"), links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
 
 
-def class_members(records: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``src, id, cid, text`` for each id that has a set; text is a hash of the whole content."""
-    named = _scan(records, docs, "named").groupBy("src", "id", "h1", "h2").agg(F.min("text").alias("text"))
-    return named.join(classes.select("src", "h1", "h2", "cid"), ["src", "h1", "h2"]).select("src", "id", "cid", "text")
+def class_members(records: DataFrame, docs: DataFrame, classes: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
+    """``src, id`` and the columns of its class for each id that has a set, once. A class of more than ``class_rows`` rows
+    isn't brought together."""
+    named = _scan(records, docs, "named").distinct()
+    return lookup(named, classes, ["src", "h1", "h2"], class_rows)
 
 
-def near_pairs(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, expand: int = EXPAND, bucket: int = BUCKET, hot_rows: int = HOT_ROWS) -> DataFrame:
+def all_pairs(members: DataFrame, links: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """``src, id_a, id_b`` for all pairs of ``members`` (src, cid, n, id; n: at least the members of its class) within a
+    class and of two linked ones (a, b), each once.
+
+    Members travel in parts of some ``most`` ids, so no task holds a whole class; pairs are written out part by part."""
+    parts = members.withColumn("parts", F.ceil(F.col("n") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = materialise(parts.groupBy("src", "cid", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("parts").alias("parts")))
+    inner = parts.where("size(ids) > 1").select("src", "ids", F.posexplode("ids").alias("k", "x"))
+    inner = inner.select("src", "x", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("y"))
+    sizes = parts.groupBy("cid").agg(F.first("parts").alias("parts"))
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(k)
+    met = links.select("a", "b").join(sizes.select(F.col("cid").alias("a"), numbers("i")), "a").join(sizes.select(F.col("cid").alias("b"), numbers("j")), "b")
+    large = parts.where("part > 0").select(F.col("cid").alias("a"), F.col("part").alias("i"), F.col("cid").alias("b"), F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("j"))
+    cells = met.select("a", "i", "b", "j").union(large)
+    x = parts.select("src", F.col("cid").alias("a"), F.col("part").alias("i"), F.col("ids").alias("xs"))
+    y = parts.select(F.col("cid").alias("b"), F.col("part").alias("j"), F.col("ids").alias("ys"))
+    outer = cells.join(x, ["a", "i"]).join(y, ["b", "j"]).select("src", F.explode("xs").alias("x"), "ys").select("src", "x", F.explode("ys").alias("y"))
+    return inner.select("src", "x", "y").union(outer).select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def near_pairs(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, members: int = MEMBERS, class_rows: int = CLASS_ROWS) -> DataFrame:
     """``src, id_a, id_b`` for pairs of records (id, content) and of docs (id, atoms) of that similarity or more."""
     classes, links = near_classes(records, docs, similarity, bucket, hot_rows)
-    members = materialise(class_members(records, docs, classes))
-    speak, star = members, None
-    copied = materialise(members.groupBy("cid", "text").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where(F.col("n") > expand).drop("n"))
-    if not copied.isEmpty():
-        marked = members.join(copied, ["cid", "text"], "left")
-        speak = marked.where("rep is null or id = rep")
-        star = marked.where("id > rep").select("src", F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    within = speak.select("src", "cid", F.col("id").alias("id_a")).join(speak.select("cid", F.col("id").alias("id_b")), "cid").where("id_a < id_b").select("src", "id_a", "id_b")
-    x, y = speak.select("src", F.col("cid").alias("a"), F.col("id").alias("x")), speak.select(F.col("cid").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(x, "a").join(y, "b").select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    found = across.union(within)
-    return found if star is None else found.union(star)
+    known = class_members(records, docs, classes.select("src", "h1", "h2", "n", F.col("n").alias("of"), "cid"), class_rows)
+    return all_pairs(known.select("src", "cid", F.col("of").alias("n"), "id"), links, members)
 
 
 def near_groups(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -282,5 +297,5 @@ def near_groups(records: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("links"))
     found = classes.join(groups, "cid").join(degree, "cid", "left")
     first = found.groupBy("group").agg(F.min("rep").alias("group_id"))
-    found = found.join(first, "group").select("src", "h1", "h2", F.col("rep").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return _scan(records, docs, "named").drop("text").distinct().join(found, ["src", "h1", "h2"]).select("src", "id", "class_id", "group_id", "links")
+    found = found.join(first, "group").select("src", "h1", "h2", "n", F.col("rep").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return class_members(records, docs, materialise(found)).select("src", "id", "class_id", "group_id", "links")

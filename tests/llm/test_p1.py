@@ -62,11 +62,26 @@ def test_pairs_as_by_brute_force(spark, bucket, hot_rows):
     assert set(found) == brute(records, docs)
 
 
-def test_large_class_is_a_star(spark):
-    records = [(f"c{k:03}", "same words " + " ".join(f"w{j}" for j in range(30))) for k in range(40)]
+@pytest.mark.parametrize("members,class_rows", [(256, 100_000), (7, 10)])
+def test_a_large_class_gives_all_pairs(spark, members, class_rows):
+    """301 copies, and a near class: whether members travel in one part or in many, and the class is hot or not."""
+    body = [f"w{j}" for j in range(30)]
+    records = [(f"c{k:03}", "same words " + " ".join(body) + "." * (k % 3)) for k in range(301)]
+    records += [(f"n{k}", "same words " + " ".join([*body[:-1], "other"])) for k in range(20)]
     r, d = frames(spark, records, [])
-    found = rows(P.near_pairs(r, d, expand=10), "id_a", "id_b")
-    assert found == [("c000", f"c{k:03}") for k in range(1, 40)]
+    found = rows(P.near_pairs(r, d, members=members, class_rows=class_rows), "src", "id_a", "id_b")
+    assert len(found) == len(set(found)) == 321 * 320 // 2
+    assert set(found) == brute(records, [])
+
+
+def test_hot_elements_meet_in_parts(spark):
+    records, docs = texts(6), [(f"x{k:02}", [f"a{j}" for j in range(k % 4, 9 + k % 4)] + [f"own{k}"]) for k in range(40)]
+    r, d = frames(spark, records, docs)
+    classes, links = P.near_classes(r, d, bucket=1, hot_rows=1, part_rows=3)
+    reps = {x["cid"]: (x["src"], x["rep"]) for x in classes.collect()}
+    found = {(reps[x["a"]][0], *sorted((reps[x["a"]][1], reps[x["b"]][1]))) for x in links.collect()}
+    kept = {x[1] for x in reps.values()}
+    assert found == {p for p in brute(records, docs) if p[1] in kept and p[2] in kept}
 
 
 def test_empty_tables(spark):
@@ -110,15 +125,3 @@ def test_recall_of_the_tables(spark):
     found = set(rows(P.near_pairs(r, d), "id_a", "id_b"))
     assert found <= truth and len(found) >= 0.99 * len(truth)
     assert r.where(F.col("id").isNull()).count() == 0
-
-
-def test_only_exact_copies_are_a_star(spark):
-    """A class of one set but many texts, with a near class and copies of one text: all pairs between different texts."""
-    body = [f"w{j}" for j in range(40)]
-    records = [(f"c{k:02}", " ".join(body) + "." * k) for k in range(12)] + [(f"n{k}", " ".join([*body[:-1], "other"]) + "!" * k) for k in range(2)]
-    copies = [(f"z{k:02}", records[3][1]) for k in range(8)]  # with c03, nine of one text
-    docs = [(f"d{k}", ["a", "b", "c", "d"] + ["a"] * k) for k in range(7)]
-    r, d = frames(spark, records + copies, docs)
-    found = rows(P.near_pairs(r, d, expand=5), "src", "id_a", "id_b")
-    assert len(found) == len(set(found))
-    assert set(found) == brute(records, docs) | {("records", "c03", i) for i, _ in copies}
