@@ -47,6 +47,11 @@ def release(*done: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """``table``, which is materialised, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], most: int = HOT_ROWS) -> DataFrame:
     """The inner join of ``rows`` with ``table``, which is materialised and has one row for each key and in ``n`` how many of
     the rows have it. Rows of a key that more than ``most`` of them have stay where they are: those keys, at most one in
