@@ -25,8 +25,8 @@ def brute(pairs):
     return {(x, find(x)) for x in parent}
 
 
-def groups(spark, pairs):
-    return set(rows(P.pair_groups(spark.createDataFrame([(*p, 1, 2) for p in pairs], S)), "id", "group_id"))
+def groups(spark, pairs, hot_rows=100_000):
+    return set(rows(P.pair_groups(spark.createDataFrame([(*p, 1, 2) for p in pairs], S), hot_rows), "id", "group_id"))
 
 
 def test_as_by_union_find(spark):
@@ -41,7 +41,7 @@ def test_as_by_union_find(spark):
 def test_long_chain_and_star(spark):
     """A chain takes several rounds; a star has one vertex that half of all rows hold."""
     pairs = [(f"c{k:03}", f"c{k + 1:03}", None) for k in range(200)] + [("hub", f"s{k:03}", None) for k in range(300)]
-    assert groups(spark, pairs) == brute(pairs)
+    assert groups(spark, pairs) == groups(spark, pairs, 20) == brute(pairs)
 
 
 def test_empty_table(spark):
