@@ -62,3 +62,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], most: int =
         return rows.join(table.drop("n"), keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col("n") <= most).drop("n"), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def once_by(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with one row for each key, where rows of one key are alike: only those of keys that occur more than once are
+    shuffled, while there are at most BROADCAST_ROWS such keys."""
+    repeated = materialise(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    if repeated.isEmpty():
+        return rows
+    repeated = small(repeated)
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))

@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from samewise.session import lookup, materialise, release
+from samewise.session import lookup, materialise, once_by, release
 from tests.conftest import rows
 
 
@@ -21,3 +21,8 @@ def test_release_deletes_what_was_written(spark):
     assert os.path.isdir(path)
     release(df)
     assert not os.path.isdir(path)
+
+
+def test_once_by(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1), ("c", 3), ("a", 1)], "k string, v long")
+    assert rows(once_by(df, "k"), "k", "v") == rows(once_by(df.dropDuplicates(["k"]), "k"), "k", "v") == [("a", 1), ("b", 2), ("c", 3)]
