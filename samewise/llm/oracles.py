@@ -75,6 +75,17 @@ k AS (SELECT count(*) AS k FROM rec)
 SELECT id, t.term FROM t JOIN m ON t.term = m.term, k WHERE n * ln(k / m) >= 1.7 * ln(k)
 """
 
+_P5_TERMS = f"""
+WITH {_RECORDS},
+t AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(c), '[\\p{{L}}\\p{{N}}]{{2,}}')) AS term FROM rec) GROUP BY id, term),
+m AS (SELECT term, sum(n) * 9.0 / (SELECT sum(n) FROM t) AS r FROM t GROUP BY term),
+o AS (SELECT id, t.term, n, r, row_number() OVER w AS k, sum(n) OVER w / (1 + sum(r) OVER w) AS level FROM t JOIN m ON t.term = m.term WINDOW w AS (PARTITION BY id ORDER BY n / r DESC, t.term ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT id, arg_max(level, k) AS x FROM o WHERE n > level * r GROUP BY id),
+p AS (SELECT o.id, term, greatest(n / x - r, 0) AS p FROM o JOIN x ON o.id = x.id),
+q AS (SELECT id, term, p / sum(p) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY p DESC, term) AS rank FROM p)
+SELECT id, term, rank, round(p, 6) AS p FROM q WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -85,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"{_P3} SELECT x AS id, min(y) AS group_id FROM reach GROUP BY x",
         "p3_group_sizes": f"{_P3}, g AS (SELECT x, min(y) AS group_id FROM reach GROUP BY x) SELECT group_id, count(*) AS members FROM g GROUP BY group_id",
         "p5_found": _P5,
+        "p5_terms": _P5_TERMS,
     }

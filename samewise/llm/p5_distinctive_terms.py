@@ -10,9 +10,12 @@ These rounds approach the greatest likelihood, slowly. It is concave in p, so it
 with r_t = (1 - w) / w * P(t | collection) it is p_t = max(0, n_t / x - r_t), x being such that the p_t add up to 1. The terms
 of p above 0 are the first ones by n_t / r_t, as many as leave n_t / r_t above x.
 
-The converged p_t ranks the terms of a record. No term is pruned, so every term keeps its rank and an exact check may
-follow. Background probabilities of frequent terms (held by at least one in ``1/frequent_share`` records, so at most
-records' mean number of terms times ``1/frequent_share`` of them) are broadcast; those of all other terms are joined.
+The converged p_t ranks the terms of a record, and decides which of them are looked at as outstanding: a term above 0 has
+n_t = x * (p_t + r_t), one of p 0 has at most that, so n_t * ln(N / m_t) can reach a floor only if
+p_t >= floor / (x * ln(N / m_t)) - r_t. Terms below that bound are dropped, the others are checked exactly.
+
+Background probabilities of the ``frequent`` terms that most records hold are broadcast; those of all other terms are joined,
+by terms of more than ``hot_rows`` records as a broadcast too (see session.lookup).
 
 Terms are words of letters and digits, lower-cased, of two characters or more. Defined results: null ids and contents
 are left out; a content without terms gives no rows but counts as a record; repeated rows of an id count once; texts
@@ -27,13 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import HOT_ROWS, lookup, materialise, once_by
 from . import _text as T
 
-FREQUENT_SHARE = 1 / 1000
+FREQUENT = 20_000  # terms broadcast to every worker
 WEIGHT = 0.1  # of the record's own distribution
 ROUNDS = 20_000  # of expectation-maximisation that come close to the maximum; for comparison only
 _TERM = re.compile(r"[^\W_]{2,}")
@@ -69,8 +72,9 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def maximise(counts: np.ndarray, background: np.ndarray, bounds: np.ndarray, weight: float = WEIGHT) -> np.ndarray:
-    """The converged probability of each term of each record; a record's terms lie between two bounds, none is empty."""
+def maximise(counts: np.ndarray, background: np.ndarray, bounds: np.ndarray, weight: float = WEIGHT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The converged probability p of each term of each record, and its record's x and its own r; a record's terms lie
+    between two bounds, none is empty."""
     n, starts, sizes = counts.astype(float), bounds[:-1], np.diff(bounds)
     spread = lambda x: np.repeat(x, sizes)
     rest = (1 - weight) / weight * background
@@ -80,11 +84,19 @@ def maximise(counts: np.ndarray, background: np.ndarray, bounds: np.ndarray, wei
     m, r = n[order], rest[order]
     level = up_to(m) / (1 + up_to(r))  # x, if the terms up to here are those above 0
     last = np.maximum.reduceat(np.where(m > level * r, np.arange(len(m)), -1), starts)
-    p = np.maximum(n / spread(level[last]) - rest, 0.0)
-    return p / spread(np.add.reduceat(p, starts))
+    x = spread(level[last])
+    p = np.maximum(n / x - rest, 0.0)
+    return p / spread(np.add.reduceat(p, starts)), x, rest
+
+
+def reachable(p: np.ndarray, x: np.ndarray, rest: np.ndarray, rarity: np.ndarray, floor: float) -> np.ndarray:
+    """Which terms the converged p leaves the chance that n * rarity is ``floor`` or more; never drops one that has it."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = np.where(rarity > 0, floor / (x * rarity) - rest, -np.inf if floor <= 0 else np.inf)
+    return p * (1 + 1e-9) + 1e-12 >= least
 
 
-def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, least_score: float | None = None) -> DataFrame:
+def term_scores(records: DataFrame, frequent: int = FREQUENT, least_score: float | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``id, term, n, m, records, p, rank`` for every term of every record of ``records`` (id, content).
 
     n: how often the record has the term; m: how many records hold it; records: how many there are; p: the converged
@@ -92,15 +104,13 @@ def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, leas
     n * ln(records / m) is at least that times ln(records) are given; their p and rank are those among all terms.
     """
     spark = records.sparkSession
-    texts = records.select("id", "content").where("id is not null and content is not null").dropDuplicates(["id"])
+    texts = once_by(records.select("id", "content").where("id is not null and content is not null"), "id")
     held = texts.select("content").mapInArrow(_sum_rows, "term string, m long, c long").groupBy("term").agg(F.sum("m").alias("m"), F.sum("c").alias("c"))
     held = materialise(held)  # a row for each term
     total = next((r["m"] for r in held.where("term = ''").collect()), 0)
-    least = max(1.0, total * frequent_share)
-    # the frequent terms, at most (mean number of terms) / frequent_share, and one row for all others together
-    some = held.where("term <> ''").groupBy(F.when(F.col("m") >= least, F.col("term")).alias("term")).agg(F.sum("m").alias("m"), F.sum("c").alias("c")).collect()
-    length = sum(r["c"] for r in some)
-    known = spark.sparkContext.broadcast({r["term"]: (r["m"], r["c"]) for r in some if r["term"] is not None})
+    held = held.where("term <> ''")
+    length = held.agg(F.sum("c")).first()[0]
+    known = spark.sparkContext.broadcast({r["term"]: (r["m"], r["c"]) for r in held.orderBy(F.desc("m"), "term").limit(frequent).collect()})
 
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value.keys()
@@ -114,10 +124,8 @@ def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, leas
                     counts.append(found[t])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["id", "term", "n"])
 
-    # fewer than ``least`` rows of one term, so its partition of the window is bounded
-    rare = texts.mapInArrow(unknown, "id string, term string, n int")
-    term = Window.partitionBy("term")
-    rare = rare.select("id", "term", F.count("*").over(term).alias("m"), F.sum("n").over(term).alias("c"))
+    rare = texts.mapInArrow(unknown, "id string, term string, n int").select("id", "term")
+    rare = lookup(rare, held.select("term", "m", "c", F.col("m").alias("n")), "term", hot_rows)
     joined = rare.groupBy("id").agg(F.collect_list(F.struct("term", "m", "c")).alias("rare"))
     both = texts.join(joined, "id", "left").select("id", "content", F.col("rare.term").alias("rt"), F.col("rare.m").alias("rm"), F.col("rare.c").alias("rc"))
     floor = -np.inf if least_score is None else least_score * np.log(max(total, 1))
@@ -140,10 +148,11 @@ def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, leas
                 bounds = np.cumsum([0, *map(len, lists)])
                 n, m, c = np.fromiter((x for y in ns for x in y), np.int64, len(flat)), np.array(m, np.int64), np.array(c, np.float64)
                 full = np.flatnonzero(np.diff(bounds))
-                p = maximise(n, c / max(length, 1), np.append(bounds[:-1][full], bounds[-1])) if len(flat) else np.zeros(0)
+                p, x, rest = maximise(n, c / max(length, 1), np.append(bounds[:-1][full], bounds[-1])) if len(flat) else [np.zeros(0)] * 3
                 of = T.owners(bounds)
-                score = n * np.log(total / np.maximum(m, 1))
-                keep = np.flatnonzero(score >= floor)
+                rarity = np.log(total / np.maximum(m, 1))
+                keep = np.flatnonzero(reachable(p, x, rest, rarity, floor))
+                keep = keep[n[keep] * rarity[keep] >= floor]
                 if least_score is None:
                     order = sorted(range(len(flat)), key=lambda k: (of[k], -p[k], flat[k]))
                     rank = np.empty(len(flat), np.int64)
@@ -162,5 +171,5 @@ def term_scores(records: DataFrame, frequent_share: float = FREQUENT_SHARE, leas
 def outstanding_terms(records: DataFrame, least_score: float = 1.7) -> DataFrame:
     """``id, term, p, rank`` of the terms whose n * ln(records / m) is at least ``least_score`` * ln(records).
 
-    The rows come ranked out of the model; the score is the exact check of each."""
+    The converged probabilities leave few terms; the score is the exact check of those."""
     return term_scores(records, least_score=least_score).select("id", "term", "p", "rank")

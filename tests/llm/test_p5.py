@@ -30,14 +30,14 @@ def counts(records):
     return {i: Counter(re.findall(r"[^\W_]{2,}", c.lower())) for i, c in records if i is not None and c is not None}
 
 
-@pytest.mark.parametrize("share", [1 / 1000, 0.2, 2.0])
-def test_outstanding_terms(spark, share):
-    """Whether all terms are broadcast, some, or none."""
+@pytest.mark.parametrize("frequent,hot_rows", [(1000, 100_000), (10, 100_000), (0, 100_000), (0, 5)])
+def test_outstanding_terms(spark, frequent, hot_rows):
+    """Whether all terms are broadcast, some, or none, and hot ones looked up."""
     records = corpus()
     held = Counter(t for c in counts(records).values() for t in c)
     n = len(counts(records))
     truth = {(i, t) for i, c in counts(records).items() for t, k in c.items() if k * math.log(n / held[t]) >= 1.7 * math.log(n)}
-    found = P.term_scores(frame(spark, records + records[:7]), share, 1.7)
+    found = P.term_scores(frame(spark, records + records[:7]), frequent, 1.7, hot_rows)
     assert set(rows(found, "id", "term")) == truth and truth
 
 
@@ -49,7 +49,7 @@ def test_model_as_one_by_one(spark):
         total.update(c)
         held.update(c.keys())
     size = sum(total.values())
-    got = {(r["id"], r["term"]): r for r in P.term_scores(frame(spark, records), 0.3).collect()}
+    got = {(r["id"], r["term"]): r for r in P.term_scores(frame(spark, records), 12).collect()}
     assert set(got) == {(i, t) for i, c in per.items() for t in c}
     for i, c in per.items():
         p = {t: n / sum(c.values()) for t, n in c.items()}
@@ -63,7 +63,7 @@ def test_model_as_one_by_one(spark):
 
 
 def test_mass_moves_to_what_is_rare():
-    p = P.maximise(np.array([5, 5]), np.array([0.2, 0.0001]), np.array([0, 2]))
+    p, _, _ = P.maximise(np.array([5, 5]), np.array([0.2, 0.0001]), np.array([0, 2]))
     assert p[1] > 0.95 and abs(p.sum() - 1) < 1e-12
 
 
@@ -78,7 +78,7 @@ def test_converged_as_by_a_long_run():
     sizes = rng.integers(1, 60, 40)
     bounds = np.cumsum([0, *sizes])
     n, background = rng.integers(1, 9, bounds[-1]), rng.pareto(1.0, bounds[-1]) / 2000 + 1e-6
-    got = P.maximise(n, background, bounds)
+    got, _, _ = P.maximise(n, background, bounds)
     rest = (1 - P.WEIGHT) / P.WEIGHT * background
     for a, z in zip(bounds, bounds[1:], strict=False):
         p = n[a:z] / n[a:z].sum()
@@ -89,3 +89,20 @@ def test_converged_as_by_a_long_run():
         # no probability can be moved with gain
         slope = n[a:z] / (rest[a:z] + got[a:z])
         assert slope[got[a:z] > 0].min() >= slope.max() * (1 - 1e-9)
+
+
+def test_the_bound_on_p_drops_most_terms_and_no_outstanding_one():
+    rng = np.random.default_rng(5)
+    dropped = 0
+    for _ in range(200):
+        k = int(rng.integers(1, 60))
+        n, m = rng.integers(1, 30, k), rng.integers(1, 5000, k)
+        c = m + rng.integers(0, 4000, k)
+        p, x, rest = P.maximise(n, c / 300_000, np.array([0, k]))
+        rarity, floor = np.log(5000 / m), 1.7 * math.log(5000)
+        kept = P.reachable(p, x, rest, rarity, floor)
+        assert not (~kept & (n * rarity >= floor)).any()
+        dropped += (~kept).mean() / 200
+    assert dropped > 0.5
+    one = P.reachable(np.array([1.0]), np.array([2.0]), np.array([0.1]), np.array([0.0]), 0.0)  # a single record
+    assert one.all()
