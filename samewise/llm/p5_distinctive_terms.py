@@ -113,18 +113,17 @@ def term_scores(records: DataFrame, frequent: int = FREQUENT, least_score: float
     known = spark.sparkContext.broadcast({r["term"]: (r["m"], r["c"]) for r in held.orderBy(F.desc("m"), "term").limit(frequent).collect()})
 
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value.keys()
+        table = known.value
         for batch in batches:
-            ids, terms, counts = [], [], []
+            ids, terms = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = count_terms(text)
-                for t in found.keys() - table:
-                    ids.append(i)
-                    terms.append(t)
-                    counts.append(found[t])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["id", "term", "n"])
+                rare = [t for t in found if t not in table]  # a difference of views would walk through the table
+                ids += [i] * len(rare)
+                terms += rare
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string())], ["id", "term"])
 
-    rare = texts.mapInArrow(unknown, "id string, term string, n int").select("id", "term")
+    rare = texts.mapInArrow(unknown, "id string, term string")
     rare = lookup(rare, held.select("term", "m", "c", F.col("m").alias("n")), "term", hot_rows)
     joined = rare.groupBy("id").agg(F.collect_list(F.struct("term", "m", "c")).alias("rare"))
     both = texts.join(joined, "id", "left").select("id", "content", F.col("rare.term").alias("rt"), F.col("rare.m").alias("rm"), F.col("rare.c").alias("rc"))
