@@ -5,6 +5,9 @@ folded to lower case) into rolling polynomial hashes; no canonical string is mad
 then compared with two pointers that skip and fold as they go. A content that consists of fields only is hashed as the
 sum over its fields, so their order and notation do not count.
 
+Texts move only to be compared: hashes are counted first, and of the texts only those go on whose hash is in a bitmap of the
+hashes that several rows have (FILTER_BITS at most, so a bounded broadcast; more sets make it less selective, never wrong).
+
 Defined results: null keys and contents, and contents without any word, are left out; repeated rows of an id count
 once; texts of any length are hashed and compared whole; other columns of the input are ignored; an empty table gives
 no rows.
@@ -22,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import HOT_ROWS, lookup, materialise, small
 from . import _text as T
 
-#: A set is hot, and split over several tasks, above this share of all rows; so there are at most 1/share of them.
-HOT_SHARE = 1 / 500
+SET_ROWS = 2000  # rows of a set that are compared in one task; a larger set is split
+FILTER_BITS = 1 << 27  # 16 MB
 PIECE = 4096  # characters each pointer advances by in the comparison
 _FIELD = re.compile(r"\s*([^\s:=]+)(?::|\s*=)(?:\s+(.*))?", re.S)
 _LINES = re.compile(r"\r\n|\r|\n")
@@ -132,64 +135,125 @@ def same_words(a: str, b: str) -> bool:
         x, y = x[k:], y[k:]
 
 
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What the two pointers stop at: the folded word characters of the texts, the first of each word marked, and where
+    those of each text begin."""
+    data, begins = T.code_points(texts)
+    folded = fold_table()[data]
+    kept = folded != 0
+    first = kept & ~np.concatenate(([False], kept[:-1]))
+    at = np.flatnonzero(kept)
+    return folded[at] | first[at].astype(np.uint32) << 31, np.searchsorted(at, begins)
+
+
+def _sayings(texts: list[str]) -> list[tuple | None]:
+    """For texts of fields only, the symbols of their fields in an order of their own; None for all others."""
+    split = [fields(t) for t in texts]
+    flat = [x for f in split if f for kv in f for x in kv]
+    marks, bounds = symbols(flat)
+    parts = iter([marks[a:z].tobytes() for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+    return [tuple(sorted((next(parts), next(parts)) for _ in f)) if f else None for f in split]
+
+
 def same(a: str, b: str) -> bool:
     """Whether two texts say the same: the fields if both have only fields, else the words in order."""
     if a == b:
         return True
-    f, g = fields(a), fields(b)
-    if f is None or g is None:
-        return f is None and g is None and same_words(a, b)
-    return len(f) == len(g) and _matched(f, g)
-
-
-def _matched(f: list[tuple[str, str]], g: list[tuple[str, str]]) -> bool:
-    by: dict[tuple[int, int], list[tuple[str, str]]] = {}
-    key = lambda xs: zip(*(h.tolist() for h in stream_hashes([f"{k}\n{v}" for k, v in xs])[:2]), strict=True)
-    for h, kv in zip(key(g), g, strict=True):
-        by.setdefault(h, []).append(kv)
-    for h, (k, v) in zip(key(f), f, strict=True):
-        rest = by.get(h, [])
-        hit = next((i for i, (k2, v2) in enumerate(rest) if same_words(k, k2) and same_words(v, v2)), None)
-        if hit is None:
-            return False
-        del rest[hit]
-    return True
+    f, g = _sayings([a, b])
+    return f == g if f or g else same_words(a, b)
 
 
-def _hash_rows(with_text: bool):
+def same_as_first(texts: list[str], first: np.ndarray) -> np.ndarray:
+    """Whether each text says the same as the one numbered ``first`` for it: all texts at once."""
+    sayings = _sayings(texts)
+    marks, bounds = symbols(texts)
+    size = np.diff(bounds)
+    own = np.arange(len(texts))
+    by_fields = np.array([s is not None for s in sayings], bool)
+    out = ~by_fields & ~by_fields[first] & (size == size[first])
+    walk = np.flatnonzero(out & (first != own) & (size > 0))
+    if len(walk):
+        n = size[walk]
+        begin = np.cumsum(n) - n
+        here = np.arange(int(n.sum())) - np.repeat(begin - bounds[walk], n)
+        out[walk] = np.logical_and.reduceat(marks[here] == marks[here - np.repeat(bounds[walk] - bounds[first[walk]], n)], begin)
+    both = np.flatnonzero(by_fields & by_fields[first])
+    out[both] = [sayings[k] == sayings[f] for k, f in zip(both.tolist(), first[both].tolist(), strict=True)]
+    return out
+
+
+_LIGHT = ["src", "id", "h1", "h2"]
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for i, j in T.blocks(texts):
+            one, two, n = hashes(texts[i:j])
+            keep = np.flatnonzero(n)
+            at = pa.array(keep + i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64))], _LIGHT)
+
+
+def _filtered_rows(bitmap):
+    """Rows with their texts whose first hash is in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for batch in batches:
-            src, ids, texts = (c.to_pylist() for c in batch.columns)
+            texts = batch.column(2).to_pylist()
             for i, j in T.blocks(texts):
                 one, two, n = hashes(texts[i:j])
-                keep = np.flatnonzero(n)
-                rows = [pa.array([x[k + i] for k in keep.tolist()], pa.string()) for x in ((src, ids, texts) if with_text else (src, ids))]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64))], ["src", "id", *(["text"] * with_text), "h1", "h2"])
+                place = (one & np.uint64(64 * len(bits) - 1)).astype(np.int64)
+                keep = np.flatnonzero((n > 0) & ((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
+                at = pa.array(keep + i)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:3]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64))], ["src", "id", "text", "h1", "h2"])
 
     return run
 
 
+def _bitmap(sets: DataFrame) -> np.ndarray:
+    """A bit for each set's first hash, modulo its size: sixteen times the number of sets, FILTER_BITS at most. Its words are
+    put together by an aggregation."""
+    size = min(FILTER_BITS, max(1 << 10, 1 << (16 * sets.count() - 1).bit_length()))
+    place = F.col("h1").bitwiseAND(F.lit(size - 1))
+    words = sets.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h1 & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by (src, h1, h2, salt, id): each is compared with the first text of each class met so far under
-    its hashes; there is one class unless hashes collide. Gives each id once with its class's first, smallest, id; the
-    text too for the first row of a class whose set is split over several tasks."""
+    """Rows ordered by (src, h1, h2, salt, id): each is compared with the first text of its hashes, a block at once; what
+    differs from it, as only colliding hashes do, with the firsts of further classes. Gives each id once with its class's
+    first, smallest, id; the text too for the first row of a class whose set is split over several tasks."""
     at, firsts, last = None, [], None
     for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        out = []
-        for src, i, text, h1, h2, salt, split in rows:
-            if (src, h1, h2, salt) != at:
-                at, firsts, last = (src, h1, h2, salt), [], None
-            if i == last:
-                continue
-            last = i
-            hit = next((f for f in firsts if same(f[1], text)), None)
-            if hit is None:
-                firsts.append(hit := (i, text))
-            out.append((src, i, h1, h2, hit[0], text if split and hit[0] == i else None))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["src", "id", "h1", "h2", "first", "text"])
+        columns = [c.to_pylist() for c in batch.columns]
+        for i, j in T.blocks(columns[2]):
+            src, ids, texts, h1, h2, salt, split = (c[i:j] for c in columns)
+            keys = list(zip(src, h1, h2, salt, strict=True))
+            held = [firsts[0][1]] if firsts and keys[0] == at else []  # the open set's first text
+            number, first = -1, []
+            for k, key in enumerate(keys):
+                if key != (keys[k - 1] if k else at if held else None):
+                    number = k + len(held)
+                first.append(max(number, 0))
+            hit = same_as_first(held + texts, np.array([0] * len(held) + first))[len(held) :]
+            out = []
+            for k, key in enumerate(keys):
+                if key != at:
+                    at, firsts, last = key, [], None
+                if ids[k] == last:
+                    continue
+                last = ids[k]
+                of = firsts[0] if firsts and hit[k] else next((f for f in firsts if same(f[1], texts[k])), None)
+                if of is None:
+                    firsts.append(of := (ids[k], texts[k]))
+                out.append((src[k], ids[k], h1[k], h2[k], of[0], texts[k] if split[k] and of[0] == ids[k] else None))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["src", "id", "h1", "h2", "first", "text"])
 
 
 _SET = ["src", "h1", "h2"]
@@ -202,27 +266,31 @@ def _verify(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify_rows, "src string, id string, h1 long, h2 long, first string, text string")
 
 
-def format_duplicates(texts: DataFrame, hot_share: float = HOT_SHARE, hot_rows: int = 1000) -> DataFrame:
+def format_duplicates(texts: DataFrame, set_rows: int = SET_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Members of the sets of two or more rows of ``texts`` (src, id, text) that say the same.
 
     Gives ``src, keep_id, id, copies``: keep_id is the set's smallest id, copies the number of its ids. A set of more
-    than ``hot_share`` of the rows (and of ``hot_rows``) is split over several tasks.
+    than ``set_rows`` rows is split over several tasks, whose first texts are compared once more.
     """
-    least = max(texts.select("src").count() * hot_share, float(hot_rows))  # reads no text
     texts = texts.select("src", "id", "text").where("id is not null and text is not null")
-    light = texts.mapInArrow(_hash_rows(False), "src string, id string, h1 long, h2 long")
-    hot = light.groupBy(_SET).agg(F.count("*").alias("n")).where(F.col("n") > least)
-    hot = materialise(hot.select(*_SET, F.ceil(F.col("n") / least).cast("int").alias("salts")))  # at most 1/hot_share rows
-    rows = texts.mapInArrow(_hash_rows(True), "src string, id string, text string, h1 long, h2 long")
-    rows = rows.join(F.broadcast(hot), _SET, "left").withColumn("split", F.col("salts").isNotNull())
+    light = texts.mapInArrow(_hash_rows, "src string, id string, h1 long, h2 long")
+    sets = materialise(light.groupBy(_SET).agg(F.count("*").alias("n")).where("n > 1"))
+    if sets.isEmpty():
+        return texts.select("src", F.col("id").alias("keep_id"), "id", F.lit(1).cast("long").alias("copies")).where("false")
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(sets))
+    rows = texts.mapInArrow(_filtered_rows(bitmap), "src string, id string, text string, h1 long, h2 long")
+    large = sets.where(F.col("n") > set_rows).select(*_SET, F.ceil(F.col("n") / set_rows).cast("int").alias("salts"))
+    some = not large.isEmpty()
+    rows = rows.join(small(large), _SET, "left") if some else rows.withColumn("salts", F.lit(None).cast("int"))
+    rows = rows.withColumn("split", F.col("salts").isNotNull())
     rows = rows.withColumn("salt", F.when(F.col("split"), F.pmod(F.xxhash64("id"), F.col("salts"))).otherwise(F.lit(0)).cast("int"))
     found = _verify(rows)
-    if not hot.isEmpty():
-        # the first texts of the parts, a few for each hot set, are compared once more
+    if some:
+        # the first texts of the parts, one for each part unless hashes collide
         found = materialise(found)
         parts = found.where("text is not null").withColumns({"salt": F.lit(0), "split": F.lit(False)})
         whole = _verify(parts).select("src", F.col("id").alias("first"), F.col("first").alias("whole"))
-        found = found.join(F.broadcast(whole), ["src", "first"], "left").withColumn("first", F.coalesce("whole", "first"))
+        found = found.join(small(materialise(whole)), ["src", "first"], "left").withColumn("first", F.coalesce("whole", "first"))
     member = materialise(found.select("src", F.col("first").alias("keep_id"), "id"))
-    sets = member.groupBy("src", "keep_id").agg(F.count("*").alias("copies")).where("copies > 1")
-    return member.join(sets, ["src", "keep_id"]).select("src", "keep_id", "id", "copies")
+    counted = materialise(member.groupBy("src", "keep_id").agg(F.count("*").alias("copies")).where("copies > 1").withColumn("n", F.col("copies")))
+    return lookup(member, counted, ["src", "keep_id"], hot_rows).select("src", "keep_id", "id", "copies")

@@ -27,7 +27,7 @@ TRUTH = {
 }
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_share": 0.0, "hot_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"set_rows": 1}, {"set_rows": 2, "hot_rows": 1}])
 def test_cases(spark, options):
     """Also when every set is hot and split over tasks."""
     assert found(spark, CASES, **options) == TRUTH
@@ -37,7 +37,7 @@ def test_hot_set(spark):
     rng = random.Random(1)
     fold = lambda: "".join(rng.choice([c.upper(), c]) for c in "one two three four") + rng.choice(["", ".", "\n", " !"])
     texts = [("r", f"h{k:03}", fold()) for k in range(300)] + [("r", f"o{k}", f"own {k}") for k in range(300)]
-    assert found(spark, texts, hot_rows=50) == {("r", "h000", f"h{k:03}", 300) for k in range(300)}
+    assert found(spark, texts, set_rows=50) == {("r", "h000", f"h{k:03}", 300) for k in range(300)}
 
 
 def test_colliding_hashes_are_told_apart(spark, monkeypatch):
@@ -52,6 +52,22 @@ def _batch(rows_):
     return pa.RecordBatch.from_arrays([pa.array(["r"] * n), pa.array([i for i, _ in rows_]), pa.array([t for _, t in rows_]), *[pa.array([7] * n)] * 3, pa.array([False] * n)], ["src", "id", "text", "h1", "h2", "salt", "split"])
 
 
+def test_sets_go_on_over_blocks(monkeypatch):
+    """A block of one text each: the first text of a set is still what the others are compared with."""
+    whole = [r for b in P._verify_rows(iter([_batch([(f"i{k}", t) for k, t in enumerate(["x y", "X-y", "x z", "k: 1\nm: 2", "M: 2\nk = 1", "x_Z"])])])) for r in b.to_pylist()]
+    monkeypatch.setattr(P.T, "BLOCK", 1)
+    parts = [r for b in P._verify_rows(iter([_batch([(f"i{k}", t) for k, t in enumerate(["x y", "X-y", "x z", "k: 1\nm: 2", "M: 2\nk = 1", "x_Z"])])])) for r in b.to_pylist()]
+    assert whole == parts and [r["first"] for r in whole] == ["i0", "i0", "i2", "i3", "i3", "i2"]
+
+
+def test_the_bitmap_never_loses_a_set(spark):
+    rng = random.Random(2)
+    hs = [rng.randrange(-(2**63), 2**63) for _ in range(3000)]
+    bits = P._bitmap(spark.createDataFrame([(h,) for h in hs], "h1 long"))
+    places = [h & (64 * len(bits) - 1) for h in hs]
+    assert all(int(bits[x >> 6]) >> (x & 63) & 1 for x in places) and sum(int(b).bit_count() for b in bits) <= len(hs)
+
+
 def test_two_pointers_as_words():
     import re
 
