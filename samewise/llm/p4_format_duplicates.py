@@ -6,7 +6,7 @@ then compared with two pointers that skip and fold as they go. A content that co
 sum over its fields, so their order and notation do not count.
 
 Texts move only to be compared: hashes are counted first, and of the texts only those go on whose hash is in a bitmap of the
-hashes that several rows have (FILTER_BITS at most, so a bounded broadcast; more sets make it less selective, never wrong).
+hashes that several rows have (see _bitmap: its size is bounded).
 
 Defined results: null keys and contents, and contents without any word, are left out; repeated rows of an id count
 once; texts of any length are hashed and compared whole; other columns of the input are ignored; an empty table gives
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from ..session import HOT_ROWS, lookup, materialise, small
 from . import _text as T
+from ._bitmap import bitmap, passes
 
 SET_ROWS = 2000  # rows of a set that are compared in one task; a larger set is split
-FILTER_BITS = 1 << 27  # 16 MB
 PIECE = 4096  # characters each pointer advances by in the comparison
 _FIELD = re.compile(r"\s*([^\s:=]+)(?::|\s*=)(?:\s+(.*))?", re.S)
 _LINES = re.compile(r"\r\n|\r|\n")
@@ -195,34 +195,22 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64))], _LIGHT)
 
 
-def _filtered_rows(bitmap):
+def _filtered_rows(shared):
     """Rows with their texts whose first hash is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits = shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for i, j in T.blocks(texts):
                 one, two, n = hashes(texts[i:j])
-                place = (one & np.uint64(64 * len(bits) - 1)).astype(np.int64)
-                keep = np.flatnonzero((n > 0) & ((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
+                keep = np.flatnonzero((n > 0) & passes(bits, one))
                 at = pa.array(keep + i)
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:3]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64))], ["src", "id", "text", "h1", "h2"])
 
     return run
 
 
-def _bitmap(sets: DataFrame) -> np.ndarray:
-    """A bit for each set's first hash, modulo its size: sixteen times the number of sets, FILTER_BITS at most. Its words are
-    put together by an aggregation."""
-    size = min(FILTER_BITS, max(1 << 10, 1 << (16 * sets.count() - 1).bit_length()))
-    place = F.col("h1").bitwiseAND(F.lit(size - 1))
-    words = sets.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h1 & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(size // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ordered by (src, h1, h2, salt, id): each is compared with the first text of its hashes, a block at once; what
     differs from it, as only colliding hashes do, with the firsts of further classes. Gives each id once with its class's
@@ -277,8 +265,8 @@ def format_duplicates(texts: DataFrame, set_rows: int = SET_ROWS, hot_rows: int
     sets = materialise(light.groupBy(_SET).agg(F.count("*").alias("n")).where("n > 1"))
     if sets.isEmpty():
         return texts.select("src", F.col("id").alias("keep_id"), "id", F.lit(1).cast("long").alias("copies")).where("false")
-    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(sets))
-    rows = texts.mapInArrow(_filtered_rows(bitmap), "src string, id string, text string, h1 long, h2 long")
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(sets, "h1"))
+    rows = texts.mapInArrow(_filtered_rows(shared), "src string, id string, text string, h1 long, h2 long")
     large = sets.where(F.col("n") > set_rows).select(*_SET, F.ceil(F.col("n") / set_rows).cast("int").alias("salts"))
     some = not large.isEmpty()
     rows = rows.join(small(large), _SET, "left") if some else rows.withColumn("salts", F.lit(None).cast("int"))

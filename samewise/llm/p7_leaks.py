@@ -3,8 +3,9 @@
 Method: greedy string tiling. Items and documents that share a run of ``least`` words (a seed, found by its
 Karp-Rabin hash) are joined; for each such pair the longest matches that do not overlap are marked again and again, from
 the longest down to ``least`` words; matches are runs of windows with equal Karp-Rabin hashes, and what is left of a
-match that others cut is a match again. The tiles may stand in any
-order, so reordered passages count, and the share of the item's words that tiles cover tells how much of it leaked.
+match that others cut is a match again. The tiles may stand in any order; the share of the item's words that tiles
+cover tells how much of it leaked, and pairs below ``coverage`` are left out. With short tiles and a coverage passages come
+out whose parts were put in another order, which hold no long run.
 
 Words are of letters and digits, after compatibility decomposition, without accents, lower-cased. Items whose words
 are the same are worked on once and reported each. The windows of the items are broadcast while there are at most
@@ -27,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import HOT_ROWS, lookup, materialise, small
 from . import _text as T
+from ._bitmap import bitmap, passes
 
 LEAST = 12
 BROADCAST_WINDOWS = 1 << 21  # 16 MB of hashes
@@ -146,22 +148,22 @@ def _leak_batch(rows: list[tuple[int, int, tuple[int, int, float]]]) -> pa.Recor
     )
 
 
-def _tile_pairs(least: int):
+def _tile_pairs(least: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, texts, items, others = (c.to_pylist() for c in batch.columns)
             out = []
             for d, t, i, o in zip(docs, texts, items, others, strict=True):
                 b = plain_words([o])[0]
-                if found := tiles(plain_words([t])[0], b, least):
-                    out.append((d, i, _coverage(found, len(b))))
+                if (found := tiles(plain_words([t])[0], b, least)) and (covered := _coverage(found, len(b)))[2] >= coverage:
+                    out.append((d, i, covered))
             yield _leak_batch(out)
 
     return run
 
 
-def _hash_words(least: int, all_words: bool):
-    """Rows (key, h): of each text the hash of all its words, or of each of its windows."""
+def _hash_words(least: int, all_words: bool, shared=None):
+    """Rows (key, h): of each text the hash of all its words, or of each of its windows that passes the bitmap shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,14 +176,18 @@ def _hash_words(least: int, all_words: bool):
                 else:
                     out, at = T.windows(h, bounds, least)
                     of = T.owners(bounds)[at]
+                    if shared is not None:
+                        maybe = passes(shared.value, out)
+                        out, of = out[maybe], of[maybe]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][of]), pa.array(out.view(np.int64))], ["key", "h"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, broadcast_windows: int = BROADCAST_WINDOWS, coverage: float = 0.0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``doc_id, item_id, longest, tiles, coverage`` for each document (doc_id, text) that holds ``least`` words in a row
-    of an item (item_id, text): the longest tile, the number of tiles, and the share of the item's words they cover."""
+    of an item (item_id, text): the longest tile, the number of tiles, and the share of the item's words they cover,
+    which is ``coverage`` or more."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
@@ -191,9 +197,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, broadcast_
     distinct = items.join(named.where("item_id = item"), "item_id").groupBy("item").agg(F.min("text").alias("text"))
     windows = distinct.select(F.col("item").alias("key"), "text").mapInArrow(_hash_words(least, False), "key long, h long")
     if windows.count() <= broadcast_windows:
-        small = distinct.orderBy("item").toPandas()
-        h, bounds = plain_words(small["text"].tolist())
-        shared = spark.sparkContext.broadcast((small["item"].to_numpy(np.int64), h, bounds))
+        few = distinct.orderBy("item").toPandas()
+        h, bounds = plain_words(few["text"].tolist())
+        shared = spark.sparkContext.broadcast((few["item"].to_numpy(np.int64), h, bounds))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, words, bounds = shared.value
@@ -222,7 +228,8 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, broadcast_
                         matches.setdefault(pair, []).append(tuple(m))
                     for pair, ms in matches.items():
                         d, k = divmod(pair, len(sizes))
-                        of_text.setdefault(fresh[i + d], []).append((int(names[k]), _coverage(mark(ms, least), int(sizes[k]))))
+                        if (covered := _coverage(mark(ms, least), int(sizes[k])))[2] >= coverage:
+                            of_text.setdefault(fresh[i + d], []).append((int(names[k]), covered))
                 out += [(k, *x) for k, t in zip(keys, texts, strict=True) for x in of_text.get(t, ())]
                 if len(known) > KEPT_TEXTS:
                     known.clear()
@@ -231,9 +238,15 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = LEAST, broadcast_
 
         found = docs.mapInArrow(scan, _LEAK)
     else:
-        seen = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(_hash_words(least, False), "key long, h long")
-        pairs = seen.withColumnRenamed("key", "doc_id").join(windows.withColumnRenamed("key", "item").distinct(), "h").select("doc_id", "item").distinct()
-        found = pairs.join(docs.distinct(), "doc_id").join(distinct.withColumnRenamed("text", "other"), "item")
-        found = found.select("doc_id", "text", "item", "other").mapInArrow(_tile_pairs(least), _LEAK)
+        # only windows that some item may have leave their task, and only texts with such windows are read again
+        windows = materialise(windows.groupBy("h").agg(F.collect_set("key").alias("items")))
+        shared = spark.sparkContext.broadcast(bitmap(windows, "h"))
+        seen = docs.select(F.col("doc_id").alias("key"), "text").mapInArrow(_hash_words(least, False, shared), "key long, h long")
+        seen = materialise(seen.withColumnRenamed("key", "doc_id").distinct())
+        known = materialise(windows.join(seen.groupBy("h").agg(F.count("*").alias("n")), "h"))
+        pairs = materialise(lookup(seen, known, "h", hot_rows).select("doc_id", F.explode("items").alias("item")).distinct())
+        texts = docs.join(small(materialise(pairs.select("doc_id").distinct())), "doc_id", "left_semi").distinct()
+        found = pairs.join(texts, "doc_id").join(distinct.withColumnRenamed("text", "other"), "item")
+        found = found.select("doc_id", "text", "item", "other").mapInArrow(_tile_pairs(least, coverage), _LEAK)
     found = found.groupBy("doc_id", "item").agg(F.max("longest").alias("longest"), F.max("tiles").alias("tiles"), F.max("coverage").alias("coverage"))
     return found.join(named, "item").select("doc_id", "item_id", "longest", "tiles", "coverage")

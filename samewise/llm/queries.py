@@ -92,6 +92,12 @@ def p7_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def p7_reordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of which tiles of five words or more, in any order, cover at least half of an item."""
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least=5, coverage=0.5)
+    return found.select("doc_id", "item_id", "tiles", F.round("coverage", 6).alias("coverage"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return mentions(table(spark, folder, "documents"))
 
@@ -101,4 +107,4 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_words, p2_passages, p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_shared_words, p2_passages, p3_found, p3_group_sizes, p4_found, p4_copies, p5_found, p5_terms, p6_ids, p7_found, p7_coverage, p7_reordered, p8_found, p8_redacted)}

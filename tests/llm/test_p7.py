@@ -33,9 +33,9 @@ def data():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [1 << 21, 0])
-def test_as_by_brute_force(spark, limit):
-    """Whether the items are broadcast or joined."""
+@pytest.mark.parametrize("limit,hot_rows", [(1 << 21, 9), (0, 100_000), (0, 1)])
+def test_as_by_brute_force(spark, limit, hot_rows):
+    """Whether the items are broadcast or joined, and windows are hot."""
     docs, items = data()
     truth = set()
     seen = {}
@@ -51,7 +51,7 @@ def test_as_by_brute_force(spark, limit):
                 truth |= {(d, i) for i in seen.get(tuple(w[j : j + 12]), ())}
     a = spark.createDataFrame([(*x, 1, 2) for x in docs + docs[:5]], D)
     b = spark.createDataFrame([(*x, 3) for x in items + items[:5]], I)
-    found = rows(P.leaks(a, b, broadcast_windows=limit), "doc_id", "item_id")
+    found = rows(P.leaks(a, b, broadcast_windows=limit, hot_rows=hot_rows), "doc_id", "item_id")
     assert len(found) == len(set(found)) and set(found) == truth and truth
 
 
@@ -63,6 +63,18 @@ def test_reordered_passage_is_covered(spark):
     assert (r["longest"], r["tiles"], r["coverage"]) == (20, 3, 1.0)
 
 
+@pytest.mark.parametrize("limit", [1 << 21, 0])
+def test_coverage_finds_what_holds_no_long_run(spark, limit):
+    """Sentences of eight words in another order cover the item, though no run of twelve words is left; one of them alone doesn't."""
+    item = [f"w{k}" for k in range(48)]
+    parts = [item[k : k + 8] for k in range(0, 48, 8)]
+    docs = [(1, " x ".join(" ".join(p) for p in reversed(parts)), 0, 0), (2, " ".join(parts[2]) + " and nothing else", 0, 0), (3, " ".join(item), 0, 0)]
+    a, b = spark.createDataFrame(docs, D), spark.createDataFrame([(7, " ".join(item), 0)], I)
+    assert rows(P.leaks(a, b, broadcast_windows=limit), "doc_id") == [(3,)]
+    assert rows(P.leaks(a, b, least=5, coverage=0.5, broadcast_windows=limit), "doc_id", "tiles", "coverage") == [(1, 6, 1.0), (3, 1, 1.0)]
+    assert len(rows(P.leaks(a, b, least=5, broadcast_windows=limit), "doc_id")) == 3
+
+
 def test_tiles_don_t_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
