@@ -4,9 +4,10 @@ Pairs are found by a prefix filter: terms are ordered from the rarest, and of ea
 prefix is kept beyond which the rest has a norm below the threshold. By the Cauchy-Schwarz inequality two vectors of at
 least that cosine share a term of both prefixes.
 
-Of a pair that shares prefix terms the product over these is known. What else they share comes, in the order, after the
-end of the shorter prefix, so it adds at most the norm of that vector's rest times the norm of the other's rest after
-the last shared prefix term. Pairs that can't reach the threshold so are dropped; the others are scored on whole vectors.
+What two vectors share comes, in the order, from their first shared term on. So for a pair of that cosine the product of
+the two weights of that term, plus the product of the norms of what follows it on either side, reaches the threshold: a
+condition of the join itself, which leaves few pairs to be shuffled. Those are scored on whole vectors. Vectors with a
+term of very many meet in parts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .components import components
 
 THRESHOLD = 0.65
 SLACK = 1e-9
+PART_ROWS = 5000  # vectors with one term that meet in one task
 
 
 class Embedder:
@@ -46,7 +48,7 @@ def norms(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def cosine_edges(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def cosine_edges(vectors: DataFrame, threshold: float = THRESHOLD, part_rows: int = PART_ROWS) -> DataFrame:
     """``a, b, score`` (a < b) of the pairs of ``vectors`` (id, term, w, df) of at least that cosine."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive: pairs that share no term aren't seen")
@@ -54,14 +56,14 @@ def cosine_edges(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     unit = vectors.join(lengths, "id").select("n", F.xxhash64("term").alias("t"), "df", (F.col("w") / F.col("norm")).alias("w"))
     from_common = Window.partitionBy("n").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = unit.withColumn("square", F.sum(F.col("w") * F.col("w")).over(from_common))
-    prefix = ranked.where(F.col("square") >= threshold * threshold - SLACK).withColumn("rest", F.sqrt(F.greatest(F.col("square") - F.col("w") * F.col("w"), F.lit(0.0))))
-    prefix = prefix.withColumn("end", F.min("rest").over(Window.partitionBy("n"))).select("t", "n", "w", "rest", "end")
-    left, right = (prefix.select("t", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "w", "rest", "end"))) for side in "ab")
-    met = left.join(right, "t").where("n_a < n_b").groupBy("n_a", "n_b").agg(
-        F.sum(F.col("w_a") * F.col("w_b")).alias("known"), *(F.min(c).alias(c) for c in ("rest_a", "rest_b", "end_a", "end_b"))
-    )
-    most = F.col("known") + F.greatest(F.col("end_a") * F.col("rest_b"), F.col("end_b") * F.col("rest_a"))
-    pairs = met.where(most >= threshold - SLACK).select("n_a", "n_b")
+    prefix = ranked.where(F.col("square") >= threshold * threshold - SLACK)
+    prefix = prefix.select("t", "n", "w", F.sqrt(F.greatest(F.col("square") - F.col("w") * F.col("w"), F.lit(0.0))).alias("rest"), F.ceil(F.greatest(F.col("df"), F.lit(1)) / part_rows).cast("int").alias("parts"))
+    prefix = prefix.withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int"))
+    one = prefix.select("t", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("n", "w", "rest")))
+    two = prefix.select("t", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), *(F.col(c).alias(f"{c}_b") for c in ("n", "w", "rest")))
+    near = F.col("w_a") * F.col("w_b") + F.col("rest_a") * F.col("rest_b") >= threshold - SLACK
+    met = one.join(two, ["t", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("n_a") < F.col("n_b"))) & near)
+    pairs = met.select(F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b")).distinct()
     whole = unit.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("v")).join(lengths.select("n", "id"), "n")
     for side in "ab":
         pairs = pairs.join(whole.select(F.col("n").alias(f"n_{side}"), F.col("v").alias(f"v_{side}"), F.col("id").alias(f"id_{side}")), f"n_{side}")
