@@ -7,13 +7,14 @@ the greedy pass. Guards are part of the join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import materialise
+from ..session import lookup, materialise
 
 MIN_LINES, MAX_RATIO = 5, 20.0
+PART_ROWS = 5000  # holders of one line that meet in one task
 
 
 def with_lines(records: DataFrame) -> DataFrame:
@@ -21,16 +22,41 @@ def with_lines(records: DataFrame) -> DataFrame:
     return records.select("id", X.lines(F.col("content")).alias("ls")).withColumn("nb", X.nonblank(F.col("ls")))
 
 
-def candidates(split: DataFrame, min_lines: int = MIN_LINES, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """``subset, superset``: pairs that may be contained, from ``split`` (id, ls, nb) of records of distinct contents."""
-    each = split.select("id", "nb", F.size("ls").alias("n"), F.explode(F.array_distinct(F.transform("ls", lambda x: F.xxhash64(x)))).alias("h"))
-    held = each.groupBy("h").agg(F.count("*").alias("df"))
-    probe = each.where(F.col("nb") >= min_lines).join(held, "h").groupBy("id", "nb", "n").agg(F.min(F.struct("df", "h")).alias("rare"))
-    probe = probe.where("rare.df > 1").select(F.col("id").alias("subset"), F.col("nb").alias("sub_nb"), F.col("n").alias("sub_n"), F.col("rare.h").alias("h"))
+def candidates(split: DataFrame, min_lines: int = MIN_LINES, max_ratio: float = MAX_RATIO, part_rows: int = PART_ROWS) -> DataFrame:
+    """``subset, superset``: pairs that may be contained, from ``split`` (id, ls, nb) of records of distinct contents.
+
+    The holders of a line that more than ``part_rows`` records have meet the records it is the rarest line of in parts."""
+    each = split.select("id", "nb", F.size("ls").alias("n_lines"), F.explode(F.array_distinct(F.transform("ls", lambda x: F.xxhash64(x)))).alias("h"))
+    held = materialise(each.groupBy("h").agg(F.count("*").alias("n")))
+    each = lookup(each, held.withColumn("df", F.col("n")), "h")
+    probe = each.where(F.col("nb") >= min_lines).groupBy("id", "nb", "n_lines").agg(F.min(F.struct("df", "h")).alias("rare"))
+    parts = lambda df: F.ceil(df / part_rows).cast("int")
+    probe = probe.where("rare.df > 1").select(
+        F.col("id").alias("subset"), F.col("nb").alias("sub_nb"), F.col("n_lines").alias("sub_n"), F.col("rare.h").alias("h"), F.explode(F.sequence(F.lit(0), parts(F.col("rare.df")) - 1)).alias("part")
+    )
+    each = each.withColumn("part", F.pmod(F.xxhash64("id"), parts(F.col("df"))).cast("int"))
     # a subset without any nonblank line times an infinite ratio is no bound: it never fits
     most = F.col("sub_nb") * F.lit(float(max_ratio))
-    fits = (F.col("subset") != F.col("id")) & (F.col("sub_nb") <= F.col("nb")) & ~F.isnan(most) & (F.col("nb") <= most) & (F.col("sub_n") <= F.col("n"))
-    return probe.join(each, "h").where(fits).select("subset", F.col("id").alias("superset"))
+    fits = (F.col("subset") != F.col("id")) & (F.col("sub_nb") <= F.col("nb")) & ~F.isnan(most) & (F.col("nb") <= most) & (F.col("sub_n") <= F.col("n_lines"))
+    return probe.join(each, ["h", "part"]).where(fits).select("subset", F.col("id").alias("superset"))
+
+
+def classified(a: Column, b: Column, min_lines: int = 0, max_ratio: float = float("inf")) -> Column:
+    """How two texts are related: identical, a_subset_of_b, b_subset_of_a or neither. The smaller one must have ``min_lines``
+    nonblank lines or more, the larger one at most ``max_ratio`` times as many; null if a text is null."""
+
+    def judged(s: Column) -> Column:
+        la, lb, na, nb = s["la"], s["lb"], s["na"], s["nb"]
+
+        def fits(small: Column, large: Column) -> Column:
+            wide = F.lit(True) if max_ratio == float("inf") else large <= small * F.lit(float(max_ratio))
+            return (small <= large) & (small >= min_lines) & wide & ((small > 0) if max_ratio == float("inf") else F.lit(True))
+
+        return F.when(fits(na, nb) & X.is_subsequence(la, lb), "a_subset_of_b").when(fits(nb, na) & X.is_subsequence(lb, la), "b_subset_of_a").otherwise("neither")
+
+    la, lb = X.lines(a), X.lines(b)
+    counted = F.struct(la.alias("la"), lb.alias("lb"), X.nonblank(la).alias("na"), X.nonblank(lb).alias("nb"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("string")).when(a == b, "identical").otherwise(X.let(counted, judged))
 
 
 def containment_pairs(records: DataFrame, min_lines: int = MIN_LINES, max_ratio: float = MAX_RATIO) -> DataFrame:

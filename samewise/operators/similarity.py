@@ -64,12 +64,32 @@ def cosine_edges(vectors: DataFrame, threshold: float = THRESHOLD, part_rows: in
     near = F.col("w_a") * F.col("w_b") + F.col("rest_a") * F.col("rest_b") >= threshold - SLACK
     met = one.join(two, ["t", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("n_a") < F.col("n_b"))) & near)
     pairs = met.select(F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b")).distinct()
+    found = _scored(pairs, unit, lengths)
+    return found.where(F.col("score") >= threshold)
+
+
+def _scored(pairs: DataFrame, unit: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``a, b, score`` of ``pairs`` (n_a, n_b) by whole vectors."""
     whole = unit.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("t", "w"))).alias("v")).join(lengths.select("n", "id"), "n")
     for side in "ab":
         pairs = pairs.join(whole.select(F.col("n").alias(f"n_{side}"), F.col("v").alias(f"v_{side}"), F.col("id").alias(f"id_{side}")), f"n_{side}")
     common = F.array_intersect(F.map_keys("v_a"), F.map_keys("v_b"))
     score = F.aggregate(common, F.lit(0.0), lambda s, t: s + F.element_at("v_a", t) * F.element_at("v_b", t))
-    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), score.alias("score"))
+
+
+def member_scores(vectors: DataFrame, members: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``component, a, b, score`` of all pairs within each cluster of ``members`` (component, id), below the threshold too, so as
+    many rows as that makes: quadratic in a cluster. Members of a large cluster meet in parts. Pairs without a common
+    term have a score of 0."""
+    lengths = materialise(norms(vectors).withColumn("n", F.monotonically_increasing_id()))
+    unit = vectors.join(lengths, "id").select("n", F.xxhash64("term").alias("t"), (F.col("w") / F.col("norm")).alias("w"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    each = members.join(lengths.select("id", "n"), "id").join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int"))
+    one = each.select("component", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.col("n").alias("n_a"))
+    two = each.select("component", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"), F.col("n").alias("n_b"))
+    met = one.join(two, ["component", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("n_a") < F.col("n_b")))
+    return _scored(met.select("n_a", "n_b"), unit, lengths).join(members.withColumnRenamed("id", "a"), "a").select("component", "a", "b", "score")
 
 
 def top_pairs(edges: DataFrame, n: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ are no records. Queries on containment, similarity and the pipeline compare norm
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,6 +206,7 @@ def containment_guards_off(spark: SparkSession, folder: str) -> DataFrame:
     return C.containment_pairs(_unique(spark, folder), 0, float("inf")).select("subset", "superset")
 
 
+_IN = "list_reduce({1}, lambda i, v: CASE WHEN {0}[i + 1] = v THEN i + 1 ELSE i END, 0) = len({0})"
 _STEP = (
     "{'i': CASE WHEN s.i < len(sub) AND sub[s.i + 1] = v.out[1].text THEN s.i + 1 ELSE s.i END, 'at': s.at + 1, "
     "'out': CASE WHEN s.i < len(sub) AND sub[s.i + 1] = v.out[1].text THEN s.out ELSE list_append(s.out, {'line': s.at, 'text': v.out[1].text}) END}"
@@ -233,6 +235,33 @@ def containment_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return _left(spark, folder).select("id")
 
 
+_CLAIMED = (
+    f"WITH {_sql_records()}, cl AS (SELECT DISTINCT subset AS i, superset AS j FROM containment_pairs WHERE subset IS NOT NULL AND superset IS NOT NULL), "
+    f"k AS (SELECT i, j, a.raw AS p, b.raw AS q, string_split(a.raw, {_LF}) AS x, string_split(b.raw, {_LF}) AS y FROM cl JOIN rec a ON i = a.id JOIN rec b ON j = b.id), "
+    "m AS (SELECT *, len(list_filter(x, lambda v: v <> '')) AS nx, len(list_filter(y, lambda v: v <> '')) AS ny FROM k)"
+)
+
+
+def _class_sql(least: int, ratio: str) -> str:
+    fits = f"{{0}} <= {{1}} AND {{0}} >= {least} AND {ratio}"
+    return (
+        f"{_CLAIMED} SELECT i, j, CASE WHEN p = q THEN 'identical' WHEN {fits.format('nx', 'ny')} AND {_IN.format('x', 'y')} THEN 'a_subset_of_b' "
+        f"WHEN {fits.format('ny', 'nx')} AND {_IN.format('y', 'x')} THEN 'b_subset_of_a' ELSE 'neither' END AS cls FROM m"
+    )
+
+
+def _claimed_texts(spark: SparkSession, folder: str) -> DataFrame:
+    records = _records(spark, folder).select("id", "content")
+    pairs = table(spark, folder, "containment_pairs").select(F.col("subset").alias("i"), F.col("superset").alias("j")).dropna().distinct()
+    return pairs.join(records.select(F.col("id").alias("i"), F.col("content").alias("p")), "i").join(records.select(F.col("id").alias("j"), F.col("content").alias("q")), "j")
+
+
+@query(_class_sql(5, "{1} <= {0} * 20"))
+def pair_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reported pair of known records, classified anew with the guards of the pipeline."""
+    return _claimed_texts(spark, folder).select("i", "j", C.classified(F.col("p"), F.col("q"), C.MIN_LINES, C.MAX_RATIO).alias("cls"))
+
+
 # --- similarity -------------------------------------------------------------------------------------------------------
 
 
@@ -286,6 +315,18 @@ def cluster_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     return edges.join(S.clusters(edges).withColumnRenamed("id", "a"), "a").select("component", "a", "b", F.round("score", 4).alias("score"))
 
 
+@query(
+    f"{_WITH_CLUSTERS}, dot AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM vec x JOIN vec y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id) "
+    "SELECT p.component, p.id AS a, q.id AS b, round(coalesce(dot / (x.norm * y.norm), 0), 4) AS score FROM mem p JOIN mem q ON p.component = q.component AND p.id < q.id JOIN nrm x ON p.id = x.id JOIN nrm y ON q.id = y.id LEFT JOIN dot ON dot.a = p.id AND dot.b = q.id"
+)
+def cluster_member_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of each cluster's members, whether linked or not."""
+    left = _left(spark, folder)
+    vectors = materialise(S.Embedder(left).transform(left))
+    found = S.member_scores(vectors, materialise(S.clusters(S.cosine_edges(vectors))))
+    return found.select("component", "a", "b", F.round("score", 4).alias("score"))
+
+
 @query(
     f"{_WITH_CLUSTERS}, n AS (SELECT (SELECT count(*) FROM norm) AS n, (SELECT count(*) FROM uniq) AS u, (SELECT count(*) FROM surv) AS s, (SELECT count(*) FROM mem) AS m, (SELECT count(DISTINCT component) FROM mem) AS c) "
     "SELECT 'load' AS stage, 0::BIGINT AS records_in, n AS records_out, 0::BIGINT AS comparisons FROM n UNION ALL SELECT 'exact_hash', n, u, 0 FROM n "
@@ -501,25 +542,107 @@ def truth_classes(spark: SparkSession, folder: str) -> DataFrame:
     return _truth(spark, folder)
 
 
-_SCORED = "sc AS (SELECT cls, coalesce(mv.v, 'separate') AS v, CASE cls WHEN 'identical' THEN true WHEN 'subset' THEN coalesce(mv.subset = truth.subset, false) ELSE false END AS safe, type IS NOT NULL AS typed, coalesce(type = cls, false) AS right_ FROM truth LEFT JOIN mv ON truth.a = mv.a AND truth.b = mv.b)"
-
-
-@query(
-    f"{_MULTI_SQL}, {_TRUTH_JUDGED}, {_SCORED} SELECT count(*) AS pairs, count(*) FILTER (v = 'collapse' AND NOT safe) AS unsafe_merges, count(*) FILTER (cls IN ('identical', 'subset')) AS collapse_required, count(*) FILTER (cls IN ('identical', 'subset') AND v = 'collapse' AND safe) AS collapsed_safely, "
+_SCORED = "scored AS (SELECT truth.a, truth.b, cls, coalesce(mv.v, 'separate') AS v, CASE cls WHEN 'identical' THEN true WHEN 'subset' THEN coalesce(mv.subset = truth.subset, false) ELSE false END AS safe, type IS NOT NULL AS typed, coalesce(type = cls, false) AS right_ FROM truth LEFT JOIN mv ON truth.a = mv.a AND truth.b = mv.b)"
+_COUNTS = (
+    "count(*) FILTER (v = 'collapse' AND NOT safe) AS unsafe_merges, count(*) FILTER (cls IN ('identical', 'subset')) AS collapse_required, count(*) FILTER (cls IN ('identical', 'subset') AND v = 'collapse' AND safe) AS collapsed_safely, "
     "count(*) FILTER (cls IN ('reorder', 'additive', 'conflict')) AS needs_review, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review') AS surfaced, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'collapse') AS hidden_by_collapse, count(*) FILTER (cls IN ('unrelated', 'trivial') AND v = 'review') AS false_review, "
-    "count(*) FILTER (v = 'review') AS review_band, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review' AND typed) AS typed_count, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review' AND right_) AS typed_correct FROM sc"
+    "count(*) FILTER (v = 'review') AS review_band, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review' AND typed) AS typed_count, count(*) FILTER (cls IN ('reorder', 'additive', 'conflict') AND v = 'review' AND right_) AS typed_correct"
 )
+
+
+def _score_sql(verdicts: str) -> str:
+    """Counts of the verdicts ``mv`` that the CTEs end in."""
+    return f"{verdicts}, {_TRUTH_JUDGED}, {_SCORED} SELECT (SELECT count(*) * (count(*) - 1) // 2 FROM da) AS pairs, {_COUNTS} FROM scored"
+
+
+def _score(spark: SparkSession, folder: str, verdicts: DataFrame) -> DataFrame:
+    return B.score(_truth(spark, folder, verdicts), verdicts, table(spark, folder, "docs").select("id", "atoms"))
+
+
+@query(_score_sql(_MULTI_SQL))
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
-    verdicts = materialise(B.multi_verdicts(_texts(spark, folder)))
-    return B.score(_truth(spark, folder, verdicts), verdicts)
+    return _score(spark, folder, materialise(B.multi_verdicts(_texts(spark, folder))))
 
 
-@query(f"{_MULTI_SQL}, {_TRUTH_JUDGED}, {_SCORED} SELECT cls, count(*) FILTER (v = 'collapse') AS collapse, count(*) FILTER (v = 'review') AS review, count(*) FILTER (v = 'separate') AS separate FROM sc GROUP BY cls")
+@query(f"{_MULTI_SQL}, {_TRUTH_JUDGED}, {_SCORED} SELECT cls, count(*) FILTER (v = 'collapse') AS collapse, count(*) FILTER (v = 'review') AS review, count(*) FILTER (v = 'separate') AS separate FROM scored GROUP BY cls")
 def score_matrix(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = materialise(B.multi_verdicts(_texts(spark, folder)))
     return B.score_matrix(_truth(spark, folder, verdicts), verdicts)
 
 
+def _family(c: str) -> str:
+    return f"regexp_extract({c}, '^([a-z]+[0-9]+)-', 1)"
+
+
+_FAMILY_SQL = f"{_MULTI_SQL}, {_TRUTH_JUDGED}, {_SCORED}, fam AS (SELECT {_family('a')} AS family, count(*) AS pairs, {_COUNTS} FROM scored WHERE {_family('a')} = {_family('b')} GROUP BY 1)"
+_SUMS = "pairs unsafe_merges collapse_required collapsed_safely needs_review surfaced hidden_by_collapse false_review review_band typed_count typed_correct".split()
+
+
+@query(f"{_FAMILY_SQL} SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _SUMS)} FROM fam")
+def score_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of each family of docs apart, merged: as if each were a run of its own."""
+    verdicts = materialise(B.multi_verdicts(_texts(spark, folder)))
+    truths = materialise(_truth(spark, folder, verdicts))
+    family = lambda c: F.regexp_extract(c, "^([a-z]+[0-9]+)-", 1)
+    same = truths.where(family("a") == family("b"))
+    return B.merged(B.score(same, verdicts))
+
+
+def _pipeline_sql(normalized: bool) -> str:
+    """CTEs ending in ``mv``: the pipeline over docs as verdicts on pairs."""
+    records = _sql_records("docs", "text")
+    if not normalized:
+        records = f"{records.split(', norm AS')[0]}, norm AS (SELECT id, raw, raw AS content FROM rec), uniq AS (SELECT min(id) AS id, content FROM norm GROUP BY content)"
+    return (
+        f"WITH RECURSIVE {records}, {_sql_lines('uniq')}, {_sql_pairs()}, surv AS (SELECT id, content FROM uniq WHERE id NOT IN (SELECT subset FROM pairs)), {_sql_vectors('surv')}, {_EDGES}, {_REACH}, "
+        "cls AS (SELECT n.id, u.id AS rep FROM norm n JOIN uniq u ON n.content = u.content), "
+        "v0 AS (SELECT x.id AS x, y.id AS y, 'collapse' AS v, NULL AS subset, 1 AS o FROM cls x JOIN cls y ON x.rep = y.rep AND x.id < y.id "
+        "UNION ALL SELECT x.id, y.id, 'collapse', x.id, 2 FROM pairs p JOIN cls x ON x.rep = p.subset JOIN cls y ON y.rep = p.superset "
+        "UNION ALL SELECT x.id, y.id, 'review', NULL, 3 FROM mem p JOIN mem q ON p.component = q.component AND p.id < q.id JOIN cls x ON x.rep = p.id JOIN cls y ON y.rep = q.id), "
+        "mv AS (SELECT least(x, y) AS a, greatest(x, y) AS b, v, subset, CAST(NULL AS VARCHAR) AS type FROM v0 QUALIFY row_number() OVER (PARTITION BY least(x, y), greatest(x, y) ORDER BY o) = 1)"
+    )
+
+
+def _shipped(spark: SparkSession, folder: str, normalized: bool) -> DataFrame:
+    return P.pair_verdicts(P.run_files(_docs_source(spark, folder), normalized))
+
+
+@query(f"{_pipeline_sql(False)} SELECT a, b, v, subset FROM mv")
+def pipeline_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """The files pipeline over docs as verdicts on pairs, copies standing in for their representatives."""
+    return _shipped(spark, folder, False).select("a", "b", "v", "subset")
+
+
+@query(f"{_pipeline_sql(True)} SELECT a, b, v, subset FROM mv")
+def pipeline_verdicts_normalized(spark: SparkSession, folder: str) -> DataFrame:
+    return _shipped(spark, folder, True).select("a", "b", "v", "subset")
+
+
+def _block_sql(name: str) -> str:
+    own = f"cc AS (SELECT DISTINCT p.id AS a, q.id AS b FROM (SELECT DISTINCT id, unnest({name}) AS u FROM seg) p JOIN (SELECT DISTINCT id, unnest({name}) AS u FROM seg) q ON p.u = q.u AND p.id < q.id)"
+    return f"WITH {_SEG}, {own}, {_sql_classified(name, 'cc', 60, 'bv')}, mv AS (SELECT a, b, v, subset, type FROM bv WHERE v <> 'separate')"
+
+
+_SHINGLE_SQL = (
+    f"{_SHINGLES}, mv AS (SELECT a, b, CASE WHEN c_ab >= 0.95 OR c_ba >= 0.95 THEN 'collapse' WHEN jaccard >= 0.5 THEN 'review' ELSE 'separate' END AS v, "
+    "CASE WHEN c_ab >= 0.95 AND c_ba >= 0.95 THEN NULL WHEN c_ab >= 0.95 THEN a WHEN c_ba >= 0.95 THEN b END AS subset, CAST(NULL AS VARCHAR) AS type FROM sc)"
+)
+_TOOLS: dict[str, tuple[str, Query]] = {
+    "shipped": (_pipeline_sql(False), lambda spark, folder: _shipped(spark, folder, False)),
+    "shipped_normalized": (_pipeline_sql(True), lambda spark, folder: _shipped(spark, folder, True)),
+    "similarity_decides": (_SHINGLE_SQL, lambda spark, folder: B.shingle_verdicts(B.shingle_containment(_texts(spark, folder)))),
+    **{f"block_{k}": (_block_sql(k), lambda spark, folder, k=k: B.block_verdicts(_texts(spark, folder), k, 60).drop("shared")) for k in X.STRATEGIES},
+    "multi_segmentation": (_MULTI_SQL, lambda spark, folder: B.multi_verdicts(_texts(spark, folder))),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS tool, * FROM ({_score_sql(sql)})" for name, (sql, _) in _TOOLS.items()))
+def tool_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven ways to judge pairs of docs, each scored against the truth that atoms give."""
+    found = [_score(spark, folder, materialise(run(spark, folder))).select(F.lit(name).alias("tool"), "*") for name, (_, run) in _TOOLS.items()]
+    return reduce(DataFrame.union, found)
+
+
 # --- audit of the reported pairs, and of groups that are claimed of other contents -------------------------------------
 
 _PATH = "regexp_replace(replace(regexp_replace({0}, '^[\\t-\\r \\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\t-\\r \\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g'), '\\', '/'), '^(\\./)+', '')"
