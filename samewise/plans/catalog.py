@@ -415,6 +415,18 @@ def merge3_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return M.merge_table(triples, ["path", "a", "b"]).select("path", "a", "b", "clean", F.sha2("merged", 256).alias("merged_hash"))
 
 
+@query(
+    f"WITH {_ENTRIES_SQL}, base AS (SELECT path, min(content) AS o FROM ent WHERE branch LIKE '%-base%' GROUP BY path), live AS (SELECT * FROM ent WHERE status <> 'deleted') "
+    "SELECT x.path, x.branch AS a, y.branch AS b, true AS clean, sha256(CASE WHEN x.content = o THEN y.content ELSE x.content END) AS merged_hash FROM live x JOIN live y ON x.path = y.path AND x.branch < y.branch JOIN base ON x.path = base.path WHERE x.content = o OR y.content = o OR x.content = y.content"
+)
+def merge3_one_sided(spark: SparkSession, folder: str) -> DataFrame:
+    """The merges of which only one side changed anything, or both changed it alike."""
+    entries = _entries(spark, folder)
+    triples = G.entry_pairs(entries).join(_bases(entries), ["path", "a", "b"]).select("path", "a", "b", "base_content", "a_content", "b_content")
+    kept = triples.where("a_content = base_content or b_content = base_content or a_content = b_content")
+    return M.merge_table(kept, ["path", "a", "b"]).select("path", "a", "b", "clean", F.sha2("merged", 256).alias("merged_hash"))
+
+
 # --- units, blocks, truth ---------------------------------------------------------------------------------------------
 
 
@@ -724,11 +736,29 @@ def audit_tampered(spark: SparkSession, folder: str) -> DataFrame:
     return A.audit_groups(_normal_groups(spark, folder), _records(spark, folder).select("id", "content"))
 
 
-@query(f"WITH {_sql_records()} SELECT type, a, b FROM (SELECT 'none' AS type, id AS a, id AS b FROM norm) WHERE false")
+@query(f"WITH {_sql_records()} SELECT sha256(content) AS hash, count(*) AS members, true AS holds FROM norm GROUP BY content HAVING count(*) > 1")
 def audit_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """The engine's own groups, audited with normalisation written anew: no failures."""
+    """The engine's own groups, each with whether it holds when audited with normalisation written anew."""
     again = _records(spark, folder).select("id", A.normalized_again(F.col("raw")).alias("content"))
-    return A.audit_groups(_normal_groups(spark, folder), again)
+    claims = materialise(_normal_groups(spark, folder))
+    failed = A.audit_groups(claims, again).select(F.col("b").alias("hash")).distinct().withColumn("failed", F.lit(True))
+    return claims.groupBy("hash").agg(F.count("*").alias("members")).join(failed, "hash", "left").select("hash", "members", F.col("failed").isNull().alias("holds"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS query, type, count(*) AS failures FROM ({_SQL[name]}) GROUP BY type" for name in ("audit_containment", "audit_missing", "audit_tampered")))
+def audit_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """How many failures of each type audits find, in the reported pairs and in tampered groups."""
+    found = [_audited_pairs(spark, folder).where(f"type = '{t}'").select(F.lit(n).alias("query"), "type") for n, t in (("audit_containment", "containment_pair"), ("audit_missing", "missing_record"))]
+    return reduce(DataFrame.union, [*found, audit_tampered(spark, folder).select(F.lit("audit_tampered"), "type")]).groupBy("query", "type").agg(F.count("*").alias("failures"))
+
+
+@query(
+    f"WITH {_sql_records()}, {_CLAIMS} SELECT (SELECT count(*) FROM (SELECT content FROM norm GROUP BY content HAVING count(*) > 1)) + (SELECT count(*) FROM cl) + (SELECT coalesce(sum(len(fs)), 0) FROM cl) + (SELECT count(*) FROM rec) AS claims"
+)
+def audit_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """How many claims an audit of the groups and the reported pairs re-derives."""
+    n = A.claims_checked(_normal_groups(spark, folder), _claims(spark, folder), _records(spark, folder))
+    return spark.range(1).select(F.lit(n).cast("long").alias("claims"))
 
 
 @query(
@@ -800,8 +830,11 @@ def passes_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import source_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

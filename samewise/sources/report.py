@@ -29,6 +29,15 @@ def write_sections(sections: Mapping[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def write_csv(table: DataFrame, folder: str) -> None:
+    """A table as CSV files with a header, one for each partition; quotes are doubled, and null and empty are told apart."""
+    table.write.mode("overwrite").csv(folder, header=True, escape='"', emptyValue='""', nullValue="")
+
+
+def read_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.csv(folder, schema=schema, header=True, escape='"', emptyValue="", multiLine=True)
+
+
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool, bool]:
     """Claimed groups (hash, id), claimed pairs (subset, superset, extra, final_supersets), whether contents were
     normalised, and whether the report lists its files."""
