@@ -34,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     files.add_argument("--min-subset-lines", type=int, default=5)
     files.add_argument("--max-size-ratio", type=float, default=20.0)
     files.add_argument("--out", default="samewise-files-report.json")
+    files.add_argument("--sections", help="write the report as tables into this folder, not as one document")
     branches.add_argument("--repo", required=True)
     for name in ("--base", "--branches", "--exclude"):
         branches.add_argument(name)
@@ -60,14 +61,20 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _files(spark: SparkSession, a: argparse.Namespace) -> int:
-    from .plans.files_plan import report, run_files
+    from .plans.files_plan import funnel, report, run_files, sections
     from .sources.files import load_records
-    from .sources.report import write_report
+    from .sources.report import write_report, write_sections
 
     cap = None if a.max_files == "false" else int(a.max_files)
     ignore = set(names) if (names := _names(a.ignore_dirs)) else None
     records = load_records(spark, a.dir, ignore=ignore, respect_gitignore=not a.no_gitignore, max_files=cap)
-    r = report(run_files(records, a.normalize, a.threshold, a.min_subset_lines, a.max_size_ratio))
+    result = run_files(records, a.normalize, a.threshold, a.min_subset_lines, a.max_size_ratio)
+    if a.sections:  # nothing but the funnel comes to the driver
+        write_sections(sections(result), a.sections)
+        print("Funnel: " + " -> ".join(f"{s['stage']}({s['records_out']})" for s in funnel(result).collect()))
+        print(f"Report as tables: {a.sections}")
+        return 0
+    r = report(result)
     print(f"{r['totalFiles']} files, {len(r['exactDuplicateGroups'])} groups of exact duplicates ({r['totalFiles'] - r['afterExactDedupe']} redundant copies), {len(r['containmentPairs'])} containment pairs; {r['afterContainment']} files remain.")
     print(f"{len(r['similarityClusters'])} similarity clusters among those (threshold {a.threshold}).")
     print("Timing: " + ", ".join(f"{k[:-3]} {v} ms" for k, v in r["timings"].items()))

@@ -639,20 +639,28 @@ _SHINGLE_SQL = (
     f"{_SHINGLES}, mv AS (SELECT a, b, CASE WHEN c_ab >= 0.95 OR c_ba >= 0.95 THEN 'collapse' WHEN jaccard >= 0.5 THEN 'review' ELSE 'separate' END AS v, "
     "CASE WHEN c_ab >= 0.95 AND c_ba >= 0.95 THEN NULL WHEN c_ab >= 0.95 THEN a WHEN c_ba >= 0.95 THEN b END AS subset, CAST(NULL AS VARCHAR) AS type FROM sc)"
 )
-_TOOLS: dict[str, tuple[str, Query]] = {
-    "shipped": (_pipeline_sql(False), lambda spark, folder: _shipped(spark, folder, False)),
-    "shipped_normalized": (_pipeline_sql(True), lambda spark, folder: _shipped(spark, folder, True)),
-    "similarity_decides": (_SHINGLE_SQL, lambda spark, folder: B.shingle_verdicts(B.shingle_containment(_texts(spark, folder)))),
-    **{f"block_{k}": (_block_sql(k), lambda spark, folder, k=k: B.block_verdicts(_texts(spark, folder), k, 60).drop("shared")) for k in X.STRATEGIES},
-    "multi_segmentation": (_MULTI_SQL, lambda spark, folder: B.multi_verdicts(_texts(spark, folder))),
-}
+_TOOL_SQL = {
+    "shipped": _pipeline_sql(False), "shipped_normalized": _pipeline_sql(True), "similarity_decides": _SHINGLE_SQL,
+    **{f"block_{k}": _block_sql(k) for k in X.STRATEGIES}, "multi_segmentation": _MULTI_SQL,
+}
 
 
-@query(" UNION ALL ".join(f"SELECT '{name}' AS tool, * FROM ({_score_sql(sql)})" for name, (sql, _) in _TOOLS.items()))
+def tools(records: DataFrame, texts: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """Seven ways to judge pairs of documents, given as ``records`` (id, content) and ``texts`` (id, text), by name."""
+    return {
+        "shipped": lambda: P.pair_verdicts(P.run_files(records, False)),
+        "shipped_normalized": lambda: P.pair_verdicts(P.run_files(records, True)),
+        "similarity_decides": lambda: B.shingle_verdicts(B.shingle_containment(texts)),
+        **{f"block_{k}": lambda k=k: B.block_verdicts(texts, k, 60).drop("shared") for k in X.STRATEGIES},
+        "multi_segmentation": lambda: B.multi_verdicts(texts),
+    }
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS tool, * FROM ({_score_sql(sql)})" for name, sql in _TOOL_SQL.items()))
 def tool_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Seven ways to judge pairs of docs, each scored against the truth that atoms give."""
-    found = [_score(spark, folder, materialise(run(spark, folder))).select(F.lit(name).alias("tool"), "*") for name, (_, run) in _TOOLS.items()]
-    return reduce(DataFrame.union, found)
+    runs = tools(_docs_source(spark, folder), _texts(spark, folder))
+    return reduce(DataFrame.union, [_score(spark, folder, materialise(run())).select(F.lit(name).alias("tool"), "*") for name, run in runs.items()])
 
 
 # --- audit of the reported pairs, and of groups that are claimed of other contents -------------------------------------

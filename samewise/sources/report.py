@@ -30,12 +30,12 @@ def write_sections(sections: Mapping[str, DataFrame], folder: str) -> None:
 
 
 def write_csv(table: DataFrame, folder: str) -> None:
-    """A table as CSV files with a header, one for each partition; quotes are doubled, and null and empty are told apart."""
-    table.write.mode("overwrite").csv(folder, header=True, escape='"', emptyValue='""', nullValue="")
+    """A table as CSV files with a header, one for each partition; quotes are doubled, and a null is written as \\N."""
+    table.write.mode("overwrite").csv(folder, header=True, escape='"', nullValue="\\N")
 
 
 def read_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.read.csv(folder, schema=schema, header=True, escape='"', emptyValue="", multiLine=True)
+    return spark.read.csv(folder, schema=schema, header=True, escape='"', nullValue="\\N", multiLine=True)
 
 
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, bool, bool]:

@@ -66,6 +66,12 @@ def test_files_pipeline_and_audit_by_command_line(spark, corpus, capsys):
     assert "exact_duplicate_group" in capsys.readouterr().out
 
 
+def test_files_report_as_tables(spark, corpus, tmp_path, capsys):
+    out = str(tmp_path / "tables")
+    assert cli.main(["files", "--dir", str(corpus), "--sections", out], spark) == 0
+    assert "load(8)" in capsys.readouterr().out and spark.read.parquet(f"{out}/files.parquet").count() == 8
+
+
 def test_scan_and_passes(spark, corpus, capsys):
     assert cli.main(["scan", "--dir", str(corpus)], spark) == 0
     assert "8 files" in capsys.readouterr().out
@@ -129,7 +135,7 @@ def test_git_pipeline(spark, tmp_path):
     assert r["summary"] == {"redundant": 0, "auto_mergeable": 1, "needs_variant": 1} and len(r["branchesScanned"]) == 2
 
 
-CHEAP = ["exact_groups", "containment_pairs", "containment_extra_lines", "cosine_edges", "similarity_clusters", "pipeline_funnel", "branch_pair_containment", "segments_sentence", "block_verdicts", "multi_segment_verdicts", "truth_classes", "score_summary", "audit_missing", "audit_completeness"]
+CHEAP = ["exact_groups", "containment_pairs", "containment_extra_lines", "cosine_edges", "similarity_clusters", "pipeline_funnel", "branch_pair_containment", "segments_sentence", "block_verdicts", "multi_segment_verdicts", "truth_classes", "score_summary", "audit_missing", "audit_completeness", "audit_exact", "audit_claims", "pair_classes", "cluster_member_scores", "pipeline_verdicts", "score_merged", "merge3_one_sided", "files_loaded", "files_ignored", "csv_groups", "git_entries", "git_files"]
 
 
 @pytest.mark.parametrize("name", CHEAP)
