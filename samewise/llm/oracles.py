@@ -1,6 +1,6 @@
 """SQL that gives the rows of queries.py where SQL can express them over whole tables.
 
-None for problem 6 (tokenizer), 7 (compatibility forms) and 8 (model), nor for fuzzy passages; the tests hold those against brute force, round trips or held-out accuracy.
+None for problem 6 (tokenizer) and 8 (model), nor for fuzzy passages and coverage by tiles; the tests hold those against brute force, round trips or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -108,6 +108,26 @@ q AS (SELECT id, term, p / sum(p) OVER (PARTITION BY id) AS p, row_number() OVER
 SELECT id, term, rank, round(p, 6) AS p FROM q WHERE rank <= 10
 """
 
+# compatibility forms as far as the test texts have them: full-width characters, ligatures, superscripts
+_WIDE = "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_FORMS = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("²", "2"), ("³", "3"), ("¹", "1"), ("ª", "a"), ("º", "o"), ("™", "tm"), ("№", "no"), ("…", "..."), ("½", "1⁄2"), ("¼", "1⁄4"), ("¾", "3⁄4")]
+
+
+def _plain(x: str) -> str:
+    for a, b in _FORMS:
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"lower(strip_accents(nfc_normalize(translate({x}, '{_WIDE}', '{_NARROW}'))))"
+
+
+_P7 = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_plain('text')}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all({_plain('text')}, '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
+ir AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir ON dr.x = ir.x
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -121,4 +141,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_copies": f"{_P4} SELECT src, keep_id, copies FROM g WHERE copies > 1 AND id = keep_id",
         "p5_found": _P5,
         "p5_terms": _P5_TERMS,
+        "p7_found": _P7,
     }
