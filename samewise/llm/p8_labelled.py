@@ -84,13 +84,13 @@ _COPULAS = {"en": "is was stays seems becomes remains looks".split(), "de": "ist
 _DEGREES = {"en": ["", "", "very ", "too ", "quite ", "almost ", "still "], "de": ["", "", "sehr ", "zu ", "fast ", "noch ", "etwas ", "meist "], "fr": ["", "", "très ", "trop ", "presque ", "encore "], "es": ["", "", "muy ", "demasiado ", "casi ", "todavía "]}
 _NOUN_ENDS = "ung ung heit keit nis schaft er e el ion tät ment ar ling tum".split()
 _WHEN = {
-    "en": "yesterday|today|last week|last night|on Monday|on Friday|this morning|again|twice|in March|earlier|before lunch|at noon|over the weekend".split("|"),
+    "en": "yesterday|today|last week|on Monday|on Friday|this morning|again|twice|in March|earlier|before lunch|at noon|over the weekend".split("|"),
     "de": "gestern|heute|letzte Woche|am Montag|am Freitag|heute früh|wieder|zweimal|im März|vorher|mittags|am Wochenende".split("|"),
     "fr": "hier|aujourd'hui|la semaine dernière|lundi|vendredi|ce matin|encore|deux fois|en mars|avant midi|ce week-end".split("|"),
     "es": "ayer|hoy|la semana pasada|el lunes|el viernes|esta mañana|otra vez|dos veces|en marzo|antes de comer|anoche".split("|"),
 }
 _VERBLAST = "fragen anrufen informieren bitten einladen vertreten erreichen schreiben grüßen kontaktieren ansprechen sprechen klären abstimmen übergeben schicken".split()
-_PASSIVE = "reviewed checked written changed sent signed split merged approved moved drafted closed opened tested read fixed noted dropped updated prepared seen".split()
+_PASSIVE = "reviewed checked written changed sent signed merged approved moved drafted closed opened tested read fixed noted dropped updated prepared seen".split()
 _WORDS = {k: tuple(w.split() if isinstance(w, str) else w for w in v) for k, v in _WORDS.items()}
 
 #: What stands before a person, by language; ~ for what may follow: any prose.
