@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import HOT_ROWS as CLASS_ROWS
-from ..session import lookup, materialise
+from ..session import lookup, materialise, release
 from . import _text as T
 from .p3_groups import hash_to_min
 
@@ -250,7 +250,10 @@ def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILA
         own = sets.select(F.col("h1").alias(f"h1_{side}"), F.col("h2").alias(f"h2_{side}"), F.col("elements").alias(f"e_{side}"))
         candidates = candidates.join(own, [f"h1_{side}", f"h2_{side}"])
     links = candidates.select("a", "b", F.size(F.array_intersect("e_a", "e_b")).alias("common"), "both").where(enough(F.col("common")))
-    return classes.drop("a", "b", "bits"), links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+    links = materialise(links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity")))
+    light = materialise(classes.drop("a", "b", "bits"))
+    release(classes, found)
+    return light, links
 
 
 def class_members(records: DataFrame, docs: DataFrame, classes: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
@@ -291,7 +294,6 @@ def near_groups(records: DataFrame, docs: DataFrame, similarity: float = SIMILAR
     """``src, id, class_id, group_id, links`` for each id that has a set: its class's and its group's smallest id, and
     the number of other classes its class is linked with."""
     classes, links = near_classes(records, docs, similarity)
-    links = materialise(links)
     linked = links.select("a", "b").union(classes.select("cid", "cid"))
     groups = hash_to_min(linked).withColumnsRenamed({"v": "cid"})
     degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("links"))

@@ -96,12 +96,13 @@ def reachable(p: np.ndarray, x: np.ndarray, rest: np.ndarray, rarity: np.ndarray
     return p * (1 + 1e-9) + 1e-12 >= least
 
 
-def term_scores(records: DataFrame, frequent: int = FREQUENT, least_score: float | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def term_scores(records: DataFrame, frequent: int = FREQUENT, least_score: float | None = None, hot_rows: int = HOT_ROWS, top: int | None = None) -> DataFrame:
     """``id, term, n, m, records, p, rank`` for every term of every record of ``records`` (id, content).
 
     n: how often the record has the term; m: how many records hold it; records: how many there are; p: the converged
     probability; rank: by p within the record, from 1. With ``least_score`` only rows of which
-    n * ln(records / m) is at least that times ln(records) are given; their p and rank are those among all terms.
+    n * ln(records / m) is at least that times ln(records) are given, with ``top`` only those ranked so far; their p and
+    rank are those among all terms.
     """
     spark = records.sparkSession
     texts = once_by(records.select("id", "content").where("id is not null and content is not null"), "id")
@@ -153,9 +154,11 @@ def term_scores(records: DataFrame, frequent: int = FREQUENT, least_score: float
                 keep = np.flatnonzero(reachable(p, x, rest, rarity, floor))
                 keep = keep[n[keep] * rarity[keep] >= floor]
                 if least_score is None:
-                    order = sorted(range(len(flat)), key=lambda k: (of[k], -p[k], flat[k]))
+                    by_term = np.array(sorted(range(len(flat)), key=flat.__getitem__), np.int64)
+                    order = by_term[np.lexsort((-p[by_term], of[by_term]))]  # stable, so equal p stay in the order of terms
                     rank = np.empty(len(flat), np.int64)
                     rank[order] = np.arange(len(flat)) - bounds[of] + 1
+                    keep = keep if top is None else keep[rank[keep] <= top]
                     rank = rank[keep]
                 else:
                     rank = np.array([1 + sum(p[j] > p[k] or p[j] == p[k] and flat[j] < flat[k] for j in range(bounds[of[k]], bounds[of[k] + 1])) for k in keep.tolist()], np.int64)

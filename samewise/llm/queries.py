@@ -76,7 +76,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     """The ten terms that the model ranks first for each record."""
-    return term_scores(table(spark, folder, "records")).where("rank <= 10").select("id", "term", "rank", F.round("p", 6).alias("p"))
+    return term_scores(table(spark, folder, "records"), top=10).select("id", "term", "rank", F.round("p", 6).alias("p"))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

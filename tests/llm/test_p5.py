@@ -62,6 +62,12 @@ def test_model_as_one_by_one(spark):
             assert abs(r["p"] - p[t]) < 1e-9 and (r["n"], r["m"], r["records"], r["rank"]) == (c[t], held[t], len(per), k)
 
 
+def test_the_first_ranks_alone(spark):
+    df = frame(spark, corpus(3, 20))
+    cols = ("id", "term", "rank")
+    assert rows(P.term_scores(df, top=3), *cols) == rows(P.term_scores(df).where("rank <= 3"), *cols)
+
+
 def test_mass_moves_to_what_is_rare():
     p, _, _ = P.maximise(np.array([5, 5]), np.array([0.2, 0.0001]), np.array([0, 2]))
     assert p[1] > 0.95 and abs(p.sum() - 1) < 1e-12
