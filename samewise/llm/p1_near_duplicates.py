@@ -216,8 +216,9 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, similarity: float, most:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets ``cid, src, h1, h2, rep, size``, and the verified links between them ``a, b, similarity``."""
+def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, part_rows: int = PART_ROWS, settle: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets ``cid, src, h1, h2, n, rep, size``, and the verified links between them ``a, b, similarity``.
+    With ``settle`` both are materialised, and what led to them is deleted: for what reads them more than once."""
     signed = _scan(records, docs, "signed")
     kept = ("size", "a", "b", "bits")
     classes = signed.groupBy("src", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in kept))
@@ -250,8 +251,10 @@ def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILA
         own = sets.select(F.col("h1").alias(f"h1_{side}"), F.col("h2").alias(f"h2_{side}"), F.col("elements").alias(f"e_{side}"))
         candidates = candidates.join(own, [f"h1_{side}", f"h2_{side}"])
     links = candidates.select("a", "b", F.size(F.array_intersect("e_a", "e_b")).alias("common"), "both").where(enough(F.col("common")))
-    links = materialise(links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity")))
-    light = materialise(classes.drop("a", "b", "bits"))
+    links = links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+    if not settle:
+        return classes.drop("a", "b", "bits"), links
+    links, light = materialise(links), materialise(classes.drop("a", "b", "bits"))
     release(classes, found)
     return light, links
 
@@ -293,7 +296,7 @@ def near_pairs(records: DataFrame, docs: DataFrame, similarity: float = SIMILARI
 def near_groups(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``src, id, class_id, group_id, links`` for each id that has a set: its class's and its group's smallest id, and
     the number of other classes its class is linked with."""
-    classes, links = near_classes(records, docs, similarity)
+    classes, links = near_classes(records, docs, similarity, settle=True)
     linked = links.select("a", "b").union(classes.select("cid", "cid"))
     groups = hash_to_min(linked).withColumnsRenamed({"v": "cid"})
     degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("links"))
