@@ -79,6 +79,13 @@ def test_classified(spark):
     assert {r["k"]: r["free"] for r in got.collect()}[4] == "a_subset_of_b"
 
 
+def test_holders_of_a_hot_line_meet_in_parts(spark):
+    data = [(f"r{k:02}", "\n".join(f"line {j}" for j in range(3 + k % 9))) for k in range(9)] + [("x", "other\nlines\nhere")]
+    split = C.with_lines(spark.createDataFrame(data, "id string, content string"))
+    want = rows(C.candidates(split, 1), "subset", "superset")
+    assert rows(C.candidates(split, 1, part_rows=2), "subset", "superset") == want and len(want) == 36
+
+
 def test_pipeline_as_pair_verdicts(spark):
     body = "\n".join(f"line {k} of the text" for k in range(8))
     near = "alpha beta gamma delta epsilon zeta eta theta"
