@@ -1,18 +1,17 @@
 """Problem 1: near-duplicate records and docs.
 
-Method: tensored banding. A set is reduced to minima of hash functions (minhash), in two small collections: halves A of
-two minima each and halves B of one. Each pair (A_i, B_j) is the key of one table, so A * B tables of three minima need
-2A + B minima to be computed, not 3AB. Rows meet by their A half, so a set sends A rows that carry its B halves, not
-A * B keys. Sets that share a key are candidates; candidates whose bitmaps of elements differ in too many bits for the
-similarity are dropped (each such bit is an element of one set only), and all others are verified on the sets.
-
-A pair of similarity s is found with probability (1 - (1 - s^2)^A) * (1 - (1 - s)^B); with A = 14 and B = 8 that is
-0.9976 at 0.6, 0.9998 at 0.7 and above 0.99999 from 0.8.
-
-Equal sets are one class and enter the tables once. A table key with more than ``bucket`` classes isn't expanded into
-pairs; its classes go through a prefix filter instead, which misses nothing: with the elements of a set ordered from the
-rarest, two sets of similarity s or more share one of the first n - ceil(s * n) + 1. Elements are taken as hashes of
-48 bits within a text and 32 bits between texts.
+Method: an exact prefix filter. With the elements of all sets in one order and n of them in a set, two sets of similarity
+s or more have one in common of the larger one's first n - ceil(s * n) + 1 and the smaller one's first
+n - ceil(2s / (1 + s) * n) + 1. The order is from the rarest, by counts of hashes in SKETCH counters; any order is exact,
+so counters that several elements share cost time and lose nothing. Of each set only those first elements are shuffled,
+packed, with a bitmap of the whole set beside them once for each partition. Sets that meet in an element are candidates
+unless their bitmaps differ in too many bits for the similarity (each such bit is an element of one set only); all
+candidates are verified on the sets. An element that only one row has meets nothing and isn't sent.
+
+Equal sets are one class, which a hash of 64 bits stands for, and are compared once. An element that more than ``bucket``
+classes send isn't expanded into pairs; its classes go through a prefix filter of their own, by exact counts among
+themselves, in which the classes of an element meet in parts. Elements are taken as hashes of 48 bits within a text, 40
+bits in the order and 32 bits between texts.
 
 Defined results: null ids, contents and lists, null elements, empty sets and records under 20 words give no pairs;
 repeated rows of an id count once; texts are taken whole; other columns are ignored; empty tables give no rows.
@@ -22,7 +21,9 @@ the copies of a set; ``near_groups`` has one row for each id, with its class, it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import HOT_ROWS as CLASS_ROWS
-from ..session import lookup, materialise, release
+from ..session import lookup, materialise
 from . import _text as T
+from ._bitmap import bitmap, passes
 from .p3_groups import hash_to_min
 
-A, B = 14, 8
 SIMILARITY = 0.6
 WORDS, SHINGLE = 20, 3
-BUCKET = 200
+BUCKET = 5000  # classes with one element that meet in one task, as long as they aren't many more
 BITS = 512
+SKETCH, CHUNKS = 1 << 22, 16  # counters of the order, and in how many parts they are added up
+PREFIX_ROWS = 5_000_000  # elements in one partition, about
+FLUSH_ROWS = 2_000_000
 MEMBERS = 256  # ids of one class that travel together
 PART_ROWS = 2000  # classes with one element that meet in one task
-HOT_ROWS = 50_000  # classes with one A half beyond which it is left to the prefix filter
+HOT_ROWS = 50_000  # rows with one element beyond which it isn't sent to a partition
 
 
 def shingle_sets(texts: list[str], least_words: int = WORDS, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +71,6 @@ def atom_sets(lists: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray]:
     return _as_sets(hashes, np.repeat(np.arange(len(lists)), sizes), len(lists))
 
 
-def halves(elements: np.ndarray, starts: np.ndarray, a: int = A, b: int = B) -> tuple[np.ndarray, np.ndarray]:
-    """The A halves and the B halves of each set, each in 32 bits; no set is empty."""
-    minima = []
-    with np.errstate(over="ignore"):
-        scrambled = T.mix(elements, 51)
-        for k in range(2 * a + b):
-            minima.append(np.minimum.reduceat(scrambled * np.uint64(T.WORD_BASE * (2 * k + 1) ** 3 & 0xFFFFFFFFFFFFFFFF | 1) + np.uint64(k * T.BASE & 0xFFFFFFFFFFFFFFFF), starts))
-        pairs = [T.mix(minima[2 * k] + T.mix(minima[2 * k + 1], k), 60 + k) for k in range(a)]
-        singles = [T.mix(m, 90 + k) for k, m in enumerate(minima[2 * a :])]
-        return tuple(np.stack(x, 1).astype(np.uint32).view(np.int32) for x in (pairs, singles))
-
-
 def bitmaps(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """BITS bits for each set, of which each element sets one."""
     of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(elements))))
@@ -88,122 +80,211 @@ def bitmaps(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 _ROWS = {
-    "signed": "src string, id string, h1 long, h2 long, size int, a array<int>, b array<int>, bits array<long>",
-    "named": "src string, id string, h1 long, h2 long",
-    "sets": "h1 long, h2 long, elements array<int>",
+    "named": "src string, id string, cid long, h2 long, size int, chunk int, counts binary",
+    "prefix": "p int, classes binary, elements binary, crowded binary",
+    "sets": "cid long, elements array<int>",
 }
 DOCS_AT_ONCE = 10_000
+_ENTRY = np.dtype([("cid", np.int64), ("size", np.int32), ("bits", np.uint64, BITS // 64)])
+_ROW = np.dtype([("e", np.uint32), ("of", np.uint32)])  # of: the class's place, and in the last bit whether it is of the shorter prefix
+
+
+def _class_hashes(elements: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    return [np.add.reduceat(T.mix(elements, k), starts).view(np.int64) for k in (71, 72)]
+
+
+def _sets(src: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, elements, starts and sizes of the sets that aren't empty, a block at a time."""
+    for batch in batches:
+        ids, values = batch.column(0), batch.column(1).to_pylist()
+        ranges = T.blocks(values) if src == "records" else ((i, min(i + DOCS_AT_ONCE, len(values))) for i in range(0, len(values), DOCS_AT_ONCE))
+        for i, j in ranges:
+            elements, bounds = (shingle_sets if src == "records" else atom_sets)(values[i:j])
+            full = np.flatnonzero(np.diff(bounds))
+            if len(full):
+                yield ids.take(pa.array(full + i)), elements, bounds[full], np.diff(bounds)[full]
 
 
-def _class_hashes(elements: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.add.reduceat(T.mix(elements, k), starts).view(np.int64)) for k in (71, 72)]
+def _ordered(src: str, elements: np.ndarray) -> np.ndarray:
+    """Hashes of 40 bits, other ones for records than for docs; the last bits are the counter's."""
+    return T.mix(elements, 53 if src == "records" else 54) >> np.uint64(24)
 
 
-def _set_rows(src: str, rows: str):
+def _named_rows(src: str):
+    """A row for each set, and the counts of the elements, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, values = batch.column(0), batch.column(1).to_pylist()
-            ranges = T.blocks(values) if src == "records" else ((i, min(i + DOCS_AT_ONCE, len(values))) for i in range(0, len(values), DOCS_AT_ONCE))
-            for i, j in ranges:
-                elements, bounds = (shingle_sets if src == "records" else atom_sets)(values[i:j])
-                full = np.flatnonzero(np.diff(bounds))
-                if not len(full):
-                    continue
-                starts = bounds[full]
-                hashes = _class_hashes(elements, starts)
-                at = pa.array(full + i)
-                named = [pa.array([src] * len(full)), ids.take(at), *hashes]
-                if rows == "sets":
-                    short = T.mix(elements, 81).astype(np.uint32).view(np.int32)
-                    yield pa.RecordBatch.from_arrays([*hashes, T.list_array(short, np.append(starts, bounds[-1]), pa.int32())], ["h1", "h2", "elements"])
-                elif rows == "named":
-                    yield pa.RecordBatch.from_arrays(named, ["src", "id", "h1", "h2"])
-                else:
-                    kinds = (pa.int32(), pa.int32(), pa.int64())
-                    parts = (*halves(elements, starts), bitmaps(elements, starts))
-                    lists = [T.list_array(x.ravel(), np.arange(len(full) + 1) * x.shape[1], k) for x, k in zip(parts, kinds, strict=True)]
-                    size = pa.array(np.diff(bounds)[full].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([*named, size, *lists], ["src", "id", "h1", "h2", "size", "a", "b", "bits"])
+        counts = np.zeros(SKETCH, np.uint32)
+        for ids, elements, starts, sizes in _sets(src, batches):
+            counts += np.bincount((_ordered(src, elements) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            none = [pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())]
+            columns = [pa.array([src] * len(ids)), ids, *map(pa.array, _class_hashes(elements, starts)), pa.array(sizes.astype(np.int32)), *none]
+            yield pa.RecordBatch.from_arrays(columns, ["src", "id", "cid", "h2", "size", "chunk", "counts"])
+        if counts.any():
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, CHUNKS)]
+            none = [pa.nulls(CHUNKS, k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], ["src", "id", "cid", "h2", "size", "chunk", "counts"])
 
     return run
 
 
-def _scan(records: DataFrame, docs: DataFrame, rows: str) -> DataFrame:
+def _level(count: np.ndarray | int) -> np.ndarray:
+    """Counts in steps of some 9 %, in a byte; 0 for one or none."""
+    return np.minimum(8 * np.log2(np.maximum(count, 1)), 255).astype(np.uint8)
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    added: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            added[chunk] = added.get(chunk, 0) + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(added), pa.int32()), pa.array([_level(x).tobytes() for x in added.values()], pa.binary())], ["chunk", "levels"])
+
+
+def _set_rows(src: str, wanted: Callable[[], np.ndarray] | None = None):
+    """Sets by class; only those that may be in the bitmap ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, elements, starts, sizes in _sets(src, batches):
+            cid = _class_hashes(elements, starts)[0]
+            keep = np.ones(len(cid), bool) if wanted is None else passes(wanted(), cid.view(np.uint64))
+            short = T.mix(elements[np.repeat(keep, sizes)], 81).astype(np.uint32).view(np.int32)
+            bounds = np.concatenate(([0], np.cumsum(sizes[keep])))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), T.list_array(short, bounds, pa.int32())], ["cid", "elements"])
+
+    return run
+
+
+def _prefix_rows(src: str, levels: Callable[[], np.ndarray], parts: int, similarity: float, hot_rows: int):
+    """The first elements of each set in the order, by partition: entries of the classes, rows, and classes that have an
+    element of more than ``hot_rows`` rows among them, which isn't sent."""
+    hot = _level(hot_rows)
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        base = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+        entries = np.concatenate([x[0] for x in held])
+        e, of, index = (np.concatenate(x) for x in zip(*((x[1], x[2] + b, x[3]) for x, b in zip(held, base, strict=True)), strict=True))
+        crowded = np.unique(np.concatenate([x[4] for x in held]))
+        first = np.zeros(len(entries), bool)
+        first[np.unique(entries["cid"], return_index=True)[1]] = True
+        once = first[of]
+        e, of, index = e[once], of[once], index[once]
+        part = (e * np.uint64(parts)) >> np.uint64(40)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        for p in range(parts):
+            at = order[cuts[p] : cuts[p + 1]]
+            mine = crowded[crowded.view(np.uint64) % np.uint64(parts) == p]
+            if len(at) or len(mine):
+                own, place = np.unique(of[at], return_inverse=True)
+                rows = np.empty(len(at), _ROW)
+                rows["e"], rows["of"] = e[at].astype(np.uint32), (place.astype(np.uint32) << np.uint32(1)) | index[at]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (entries[own], rows, mine))], ["p", "classes", "elements", "crowded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = [], 0
+        for _, elements, starts, sizes in _sets(src, batches):
+            of = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            hashed = _ordered(src, elements)
+            at = levels()[(hashed & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
+            ranked = np.sort((of << np.uint64(48)) | (at << np.uint64(40)) | hashed)
+            place = np.arange(len(ranked)) - np.repeat(starts - starts[0], sizes)
+            longer = sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int64) + 1
+            shorter = sizes - np.ceil(sizes * (2 * similarity / (1 + similarity)) - 1e-9).astype(np.int64) + 1
+            level = (ranked >> np.uint64(40)).astype(np.uint8)
+            sent = (place < np.repeat(longer, sizes)) & (level > 0)
+            ranked, of, level, index = ranked[sent], of[sent].astype(np.int64), level[sent], (place < np.repeat(shorter, sizes))[sent]
+            entries = np.empty(len(sizes), _ENTRY)
+            entries["cid"], entries["size"], entries["bits"] = _class_hashes(elements, starts)[0], sizes, bitmaps(elements, starts - starts[0]).view(np.uint64)
+            cold = level <= hot
+            held.append((entries, ranked[cold] & np.uint64((1 << 40) - 1), of[cold], index[cold], entries["cid"][np.unique(of[~cold])]))
+            kept += len(of)
+            if kept > FLUSH_ROWS:
+                yield from packed(held)
+                held, kept = [], 0
+        if held:
+            yield from packed(held)
+
+    return run
+
+
+def _scan(records: DataFrame, docs: DataFrame, rows: str, make: Callable) -> DataFrame:
     out = []
     for src, df, value in (("records", records, "content"), ("docs", docs, "atoms")):
         df = df.select("id", value).where(f"id is not null and {value} is not null")
-        out.append(df.mapInArrow(_set_rows(src, rows), _ROWS[rows]))
+        out.append(df.mapInArrow(make(src), _ROWS[rows]))
     return out[0].union(out[1])
 
 
-def _bucket_pairs(similarity: float, bucket: int):
-    """Rows (half, cid, size, b) ordered by half: pairs of classes that share an A half and a B half, each once per some
-    2 million; for keys of more than ``bucket`` classes rows (cid, -1) instead."""
+def _met(similarity: float, bucket: int):
+    """Pairs of classes that meet in an element and may be similar, each once in a partition (or in some 2 million), and
+    (class, null) for those that have an element of more than ``bucket`` classes."""
 
-    def of_table(key: np.ndarray, cid: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(first, len(key)))
-        full = np.repeat(count > bucket, count)
-        yield cid[full], np.full(int(full.sum()), -1)
-        several = np.repeat(count > 1, count) & ~full
-        key, cid, size = key[several], cid[several], size[several]
+    def some(e: np.ndarray, of: np.ndarray, index: np.ndarray, size: np.ndarray, entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = 1
-        while step < len(key):
-            at = np.flatnonzero(key[step:] == key[:-step])
+        bits = entries["bits"]
+        while step < len(e):
+            at = np.flatnonzero((e[step:] == e[:-step]) & index[:-step])
             if not len(at):
                 break
-            x, y = cid[at], cid[at + step]
-            near = np.minimum(size[at], size[at + step]) >= similarity * np.maximum(size[at], size[at + step]) - 1e-9
+            at = at[size[at] >= similarity * size[at + step] - 1e-9]
+            x, y, both = of[at], of[at + step], size[at] + size[at + step]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            near = (both - differ) / 2 * (1 + similarity) >= both * similarity - 1e-9
             yield np.minimum(x, y)[near], np.maximum(x, y)[near]
             step += 1
 
-    def pairs(half: np.ndarray, cid: np.ndarray, size: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        same = half[1:] == half[:-1]
-        several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        half, cid, size, b = half[several].view(np.uint64), cid[several], size[several], b[several].view(np.uint32)
-        out = []
-        for j in range(b.shape[1]):
-            key = T.mix(half ^ (b[:, j].astype(np.uint64) << np.uint64(20)), j)
-            order = np.argsort(key)
-            out += of_table(key[order], cid[order], size[order])
-        return out
-
-    def batch_of(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def batch_of(parts: list[tuple[np.ndarray, np.ndarray]], cid: np.ndarray) -> pa.RecordBatch:
         a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+        both = np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
+        x, y = cid[(both >> np.uint64(32)).astype(np.int64)], cid[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, kept = None, [], 0
+        tables, rows, crowded, known = [np.empty(0, _ENTRY)], [np.empty(0, _ROW)], [np.empty(0, np.int64)], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy() for c in batch.columns[:3]]
-            now.append(batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1))
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))
-            held = [x[last:] for x in now]
-            if last:
-                found = pairs(*(x[:last] for x in now))
-                parts += found
-                kept += sum(len(a) for a, _ in found)
-            if kept > 1 << 21:
-                yield batch_of(parts)
-                parts, kept = [], 0
-        if held is not None:
-            parts += pairs(*held)
+            for _, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table, own = np.frombuffer(blobs[0], _ENTRY), np.frombuffer(blobs[1], _ROW).copy()
+                own["of"] += np.uint32(2 * known)
+                known += len(table)
+                tables.append(table)
+                rows.append(own)
+                crowded.append(np.frombuffer(blobs[2], np.int64))
+        entries, rows, crowded = (np.concatenate(x) for x in (tables, rows, crowded))
+        del tables
+        first = np.zeros(len(entries), bool)
+        first[np.unique(entries["cid"], return_index=True)[1]] = True
+        rows = rows[first[rows["of"] >> 1]]  # a class's rows are alike wherever it was scanned
+        cid, sizes = entries["cid"].copy(), entries["size"].astype(np.int64)
+        rows = rows[np.lexsort((sizes[rows["of"] >> 1], rows["e"]))]
+        starts = np.flatnonzero(np.concatenate(([True], rows["e"][1:] != rows["e"][:-1]))) if len(rows) else np.zeros(0, np.int64)
+        count = np.diff(np.append(starts, len(rows)))
+        full = np.repeat(count > bucket, count)
+        crowded = np.unique(np.concatenate((crowded, cid[rows["of"][full] >> 1])))
+        yield pa.RecordBatch.from_arrays([pa.array(crowded), pa.nulls(len(crowded), pa.int64())], ["a", "b"])
+        rows = rows[np.repeat(count > 1, count) & ~full]
+        cuts = np.flatnonzero(np.concatenate(([True], rows["e"][1:] != rows["e"][:-1]))) if len(rows) else np.zeros(0, np.int64)
+        parts, kept, i = [], 0, 0
+        while i < len(rows):
+            j = min(i + (1 << 20), len(rows))
+            j = int(cuts[k]) if (k := int(np.searchsorted(cuts, j))) < len(cuts) else len(rows)
+            of = (rows["of"][i:j] >> 1).astype(np.int64)
+            for pair in some(rows["e"][i:j].copy(), of, (rows["of"][i:j] & 1).astype(bool), sizes[of], entries):
+                parts.append(pair)
+                kept += len(pair[0])
+                if kept > 1 << 21:
+                    yield batch_of(parts, cid)
+                    parts, kept = [], 0
+            i = j
         if parts:
-            yield batch_of(parts)
+            yield batch_of(parts, cid)
 
     return run
 
 
 def _prefix_pairs(classes: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
     """All candidate pairs among ``classes`` by the prefix filter. Classes with one element meet in parts of ``most``."""
-    each = classes.join(sets, ["h1", "h2"]).select("src", "cid", "size", F.explode("elements").alias("e"))
+    each = classes.join(sets, "cid").select("src", "cid", "size", F.explode("elements").alias("e"))
     rarity = each.groupBy("src", "e").agg(F.count("*").alias("df"))
     ordered = each.join(rarity, ["src", "e"]).groupBy("src", "cid", "size").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
     length = F.greatest(F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1, F.lit(1)).cast("int")
@@ -216,54 +297,44 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, similarity: float, most:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, part_rows: int = PART_ROWS, settle: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets ``cid, src, h1, h2, n, rep, size``, and the verified links between them ``a, b, similarity``.
-    With ``settle`` both are materialised, and what led to them is deleted: for what reads them more than once."""
-    signed = _scan(records, docs, "signed")
-    kept = ("size", "a", "b", "bits")
-    classes = signed.groupBy("src", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in kept))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
-    rows = classes.select("cid", "size", "b", "src", F.posexplode("a").alias("i", "x")).select(F.xxhash64("src", "i", "x").alias("half"), "cid", "size", "b")
-    # an A half of very many classes fills no table: all pairs that could share it are found by the prefix filter
-    hot = materialise(rows.groupBy("half").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).drop("n"))
-    crowded = None
-    if not hot.isEmpty():
-        rows = rows.join(hot.withColumn("hot", F.lit(True)), "half", "left")
-        crowded = rows.where("hot").select("cid")
-        rows = rows.where("hot is null").drop("hot")
-    found = rows.repartition("half").sortWithinPartitions("half").mapInArrow(_bucket_pairs(similarity, bucket), "a long, b long")
-    found = materialise(found.distinct())
-    full = found.where("b = -1").select(F.col("a").alias("cid"))
-    crowded = full if crowded is None else crowded.union(full)
-    candidates = found.where("b <> -1")
-    light = classes.select("cid", "src", "h1", "h2", "size", "bits")
-    sets = _scan(records, docs, "sets").groupBy("h1", "h2").agg(F.first("elements").alias("elements"))
+def _near(records: DataFrame, docs: DataFrame, similarity: float, bucket: int, hot_rows: int, part_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows ``src, id, cid`` of all sets, materialised, the classes and the links of near_classes."""
+    spark = records.sparkSession
+    named = materialise(_scan(records, docs, "named", _named_rows))
+    counts = named.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_levels, "chunk int, levels binary").collect()
+    named = named.where("chunk is null")
+    levels = np.zeros(SKETCH, np.uint8)
+    for x in counts:
+        levels[x["chunk"] * (SKETCH // CHUNKS) :][: SKETCH // CHUNKS] = np.frombuffer(x["levels"], np.uint8)
+    shared = spark.sparkContext.broadcast(levels)
+    elements = named.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(2 * spark.sparkContext.defaultParallelism, math.ceil((1 - similarity) * elements / PREFIX_ROWS))
+    prefixes = _scan(records, docs, "prefix", lambda src: _prefix_rows(src, lambda: shared.value, parts, similarity, hot_rows))
+    found = materialise(prefixes.repartitionById(parts, "p").mapInArrow(_met(similarity, bucket), "a long, b long").distinct())
+    classes = named.groupBy("src", "cid", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"))
+    crowded = found.where("b is null").select(F.col("a").alias("cid"))
+    candidates = found.where("b is not null")
+    meets = spark.sparkContext.broadcast(bitmap(materialise(found.select(F.explode(F.array("a", "b")).alias("cid")).where("cid is not null").distinct()), "cid"))
+    sets = _scan(records, docs, "sets", lambda src: _set_rows(src, lambda: meets.value)).groupBy("cid").agg(F.first("elements").alias("elements"))
     if not crowded.isEmpty():
+        light = materialise(classes.select("cid", "src", "size"))
         candidates = candidates.union(_prefix_pairs(light.join(crowded.distinct(), "cid", "left_semi"), sets, similarity, part_rows)).distinct()
     for side in ("a", "b"):
-        named = light.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("h1", "h2", "size", "bits")))
-        candidates = candidates.join(named, side)
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
-    enough = lambda common: common * (1 + similarity) >= F.col("both") * similarity - 1e-9
-    candidates = candidates.withColumn("both", F.col("size_a") + F.col("size_b")).where(enough((F.col("both") - differ) / 2))
-    candidates = candidates.select("a", "b", "both", *(f"{h}_{side}" for side in "ab" for h in ("h1", "h2")))
-    for side in ("a", "b"):
-        own = sets.select(F.col("h1").alias(f"h1_{side}"), F.col("h2").alias(f"h2_{side}"), F.col("elements").alias(f"e_{side}"))
-        candidates = candidates.join(own, [f"h1_{side}", f"h2_{side}"])
-    links = candidates.select("a", "b", F.size(F.array_intersect("e_a", "e_b")).alias("common"), "both").where(enough(F.col("common")))
-    links = links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
-    if not settle:
-        return classes.drop("a", "b", "bits"), links
-    links, light = materialise(links), materialise(classes.drop("a", "b", "bits"))
-    release(classes, found)
-    return light, links
+        candidates = candidates.join(sets.select(F.col("cid").alias(side), F.col("elements").alias(f"e_{side}")), side)
+    common, both = F.size(F.array_intersect("e_a", "e_b")).alias("common"), (F.size("e_a") + F.size("e_b")).alias("both")
+    links = candidates.select("a", "b", common, both).where(F.col("common") * (1 + similarity) >= F.col("both") * similarity - 1e-9)
+    return named.select("src", "id", "cid"), classes, links.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
+
+
+def near_classes(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets ``cid, src, h2, n, rep, size``, and the verified links between them ``a, b, similarity``."""
+    return _near(records, docs, similarity, bucket, hot_rows, part_rows)[1:]
 
 
-def class_members(records: DataFrame, docs: DataFrame, classes: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
-    """``src, id`` and the columns of its class for each id that has a set, once. A class of more than ``class_rows`` rows
-    isn't brought together."""
-    named = _scan(records, docs, "named").distinct()
-    return lookup(named, classes, ["src", "h1", "h2"], class_rows)
+def class_members(named: DataFrame, classes: DataFrame, class_rows: int = CLASS_ROWS) -> DataFrame:
+    """``src, id`` and the columns of its class for each id that has a set (named: src, id, cid), once. A class of more than
+    ``class_rows`` rows isn't brought together."""
+    return lookup(named.distinct(), classes, ["src", "cid"], class_rows)
 
 
 def all_pairs(members: DataFrame, links: DataFrame, most: int = MEMBERS) -> DataFrame:
@@ -288,19 +359,20 @@ def all_pairs(members: DataFrame, links: DataFrame, most: int = MEMBERS) -> Data
 
 def near_pairs(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, members: int = MEMBERS, class_rows: int = CLASS_ROWS) -> DataFrame:
     """``src, id_a, id_b`` for pairs of records (id, content) and of docs (id, atoms) of that similarity or more."""
-    classes, links = near_classes(records, docs, similarity, bucket, hot_rows)
-    known = class_members(records, docs, classes.select("src", "h1", "h2", "n", F.col("n").alias("of"), "cid"), class_rows)
+    named, classes, links = _near(records, docs, similarity, bucket, hot_rows, PART_ROWS)
+    known = class_members(named, classes.select("src", "cid", "n", F.col("n").alias("of")), class_rows)
     return all_pairs(known.select("src", "cid", F.col("of").alias("n"), "id"), links, members)
 
 
 def near_groups(records: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``src, id, class_id, group_id, links`` for each id that has a set: its class's and its group's smallest id, and
     the number of other classes its class is linked with."""
-    classes, links = near_classes(records, docs, similarity, settle=True)
+    named, classes, links = _near(records, docs, similarity, BUCKET, HOT_ROWS, PART_ROWS)
+    classes, links = materialise(classes), materialise(links)
     linked = links.select("a", "b").union(classes.select("cid", "cid"))
     groups = hash_to_min(linked).withColumnsRenamed({"v": "cid"})
     degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("links"))
     found = classes.join(groups, "cid").join(degree, "cid", "left")
     first = found.groupBy("group").agg(F.min("rep").alias("group_id"))
-    found = found.join(first, "group").select("src", "h1", "h2", "n", F.col("rep").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return class_members(records, docs, materialise(found)).select("src", "id", "class_id", "group_id", "links")
+    found = found.join(first, "group").select("src", "cid", "n", F.col("rep").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return class_members(named, materialise(found)).select("src", "id", "class_id", "group_id", "links")

@@ -125,3 +125,42 @@ def test_recall_of_the_tables(spark):
     found = set(rows(P.near_pairs(r, d), "id_a", "id_b"))
     assert found <= truth and len(found) >= 0.99 * len(truth)
     assert r.where(F.col("id").isNull()).count() == 0
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """3,000 pairs of docs that have 6 of 10 atoms in common, just enough."""
+    docs = [(f"{side}{k}", [f"{k}-{j}" for j in atoms]) for k in range(3000) for side, atoms in (("x", range(8)), ("y", range(2, 10)))]
+    r, d = frames(spark, [], docs)
+    assert rows(P.near_pairs(r, d), "id_a", "id_b") == sorted((f"x{k}", f"y{k}") for k in range(3000))
+
+
+def test_classes_in_several_flushes(spark, monkeypatch):
+    """Sets are packed anew after each block, and elements of a partition are compared in pieces."""
+    monkeypatch.setattr(P.T, "BLOCK", 300)
+    records = texts(8)
+    r, d = frames(spark, records + [(f"s-{i}", c) for i, c in records], [])
+    sets = {"src": "records", "levels": lambda: np.full(P.SKETCH, 8, np.uint8), "parts": 3, "similarity": 0.6, "hot_rows": 1 << 20}
+    monkeypatch.setattr(P, "FLUSH_ROWS", 50)
+    packed = [b for b in P._prefix_rows(**sets)(iter(_batches(r)))]
+    assert len(packed) > 3
+    pairs = set()
+    for p in range(3):
+        for b in P._met(0.6, 1000)(iter([b for b in packed if b.column(0)[0].as_py() == p])):
+            pairs |= {x for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x[1] is not None}
+    named = {}
+    for b in P._named_rows("records")(iter(_batches(r))):
+        for i, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            named[c] = min(i, named.get(c, i)) if i else None
+    found = {tuple(sorted((named[a], named[b]))) for a, b in pairs}
+    first = {}
+    for i, c in records:
+        first[frozenset(shingles(c))] = min(i, first.get(frozenset(shingles(c)), i))
+    kept = set(first.values())
+    assert {p[1:] for p in brute(records, []) if p[1] in kept and p[2] in kept} <= found
+
+
+def _batches(df):
+    import pyarrow as pa
+
+    got = df.select("id", "content").collect()
+    return [pa.RecordBatch.from_arrays([pa.array([x[k] for x in got]) for k in (0, 1)], ["id", "content"])]
