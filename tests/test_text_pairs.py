@@ -7,6 +7,7 @@ import pytest
 from samewise.operators import containment as C
 from samewise.operators import exact as E
 from samewise.operators import text_pairs as T
+from samewise.operators.components import components
 from tests.conftest import rows
 from tests.test_operators import tfidf
 
@@ -93,3 +94,18 @@ def test_unique_records_stay_where_they_are(spark):
     found = E.unique_records(df, E.identified(df))
     assert rows(found, "id", "content") == [("a", "x"), ("c", "y"), ("d", "v")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [id") == 1
+
+
+def test_components_of_few_edges_take_one_task(spark):
+    """All rounds of joins were run whatever the number of edges."""
+    rng = random.Random(5)
+    edges = [(f"v{rng.randrange(60):02}", f"v{rng.randrange(60):02}") for _ in range(45)] + [("same", "same")] + [(f"chain{k:02}", f"chain{k + 1:02}") for k in range(30)]
+    df = spark.createDataFrame(edges, "a string, b string").repartition(4)
+    label = {v: v for e in edges for v in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    want = sorted(label.items())
+    assert rows(components(df), "id", "component") == rows(components(df, one_task=0), "id", "component") == want
+    assert "Join" not in components(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert components(df.limit(0)).count() == 0
