@@ -1,4 +1,5 @@
 import random
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,54 @@ def test_merged_scores_are_sums(spark):
     two = B.merged(one.union(one)).first().asDict()
     assert two == {k: 2 * n for k, n in one.first().asDict().items()} and two["collapsed_safely"] == 2
     assert E.group_stats(E.identified(spark.createDataFrame([], "id string, content string"))).count() == 0
+
+
+def test_branches_are_read_without_a_process_for_each(spark, tmp_path, monkeypatch):
+    """As git tells branch by branch and pair by pair: plain, stacked, merged, empty and unrelated branches, renames, deletions."""
+
+    def git(*args):
+        subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *args], cwd=tmp_path, check=True, capture_output=True)
+
+    def commit(name, text):
+        (tmp_path / name).write_text(text)
+        git("add", "-A")
+        git("commit", "-qm", name)
+
+    body = "\n".join(f"line {k}" for k in range(30)) + "\n"
+    git("init", "-q", "-b", "main")
+    commit("f.md", body)
+    commit("g h.md", body * 2)
+    for name, start in (("one", "main~1"), ("two", "main"), ("stacked", "two"), ("merged", "two"), ("moved", "main"), ("gone", "main"), ("empty", "main~1")):
+        git("checkout", "-q", "-b", name, start)
+        if name == "merged":
+            git("merge", "-q", "one", "-m", "m", "-X", "ours")
+        elif name == "moved":
+            git("mv", "f.md", "é.md")
+            git("commit", "-qm", "moved")
+        elif name == "gone":
+            git("rm", "-q", "f.md")
+            git("commit", "-qm", "gone")
+        elif name != "empty":
+            commit("f.md", body + name + "\n")
+            commit("new.md", f"\n{name} \n")
+    git("checkout", "-q", "--orphan", "apart")
+    commit("f.md", "apart")
+    git("checkout", "-q", "main")
+    commit("later.md", "x")
+    for name in ("main", "one", "two", "stacked", "merged", "moved", "gone", "empty", "apart"):
+        git("update-ref", f"refs/remotes/origin/{name}", name)
+    repo, names, asked = str(tmp_path), [f"origin/{n}" for n in ("one", "two", "stacked", "merged", "moved", "gone", "empty", "apart")], []
+    whole = V.git
+    want = {(p, b, status, former, fork) for b in names if whole(repo, "merge-base", "origin/main", b) for fork, found in [V.changes(repo, "origin/main", b)] for p, status, former in found}
+    monkeypatch.setattr(V, "git", lambda *a: asked.append(a[1]) or whole(*a))
+    scan = V.scan_branches(spark, repo, base="origin/main", fetch=False)
+    assert asked.count("merge-base") == 1  # of the merged one; before, of each
+    entries = scan.entries.collect()
+    assert scan.skipped == ["origin/apart"] and {(e["path"], e["branch"], e["status"], e["renamed_from"], e["fork_point"]) for e in entries} == want
+    for e in entries:
+        ref = f"{e['branch']}:{e['path']}"
+        assert (e["blob"], e["content"]) == ((None, None) if e["status"] == "deleted" else (whole(repo, "rev-parse", ref), whole(repo, "show", ref)))
+    bases = scan.bases.collect()
+    assert len(bases) > 8
+    for x in bases:
+        assert x["base_content"] == whole(repo, "show", f"{whole(repo, 'merge-base', x['a'], x['b'])}:{x['path']}")
