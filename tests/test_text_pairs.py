@@ -6,6 +6,7 @@ import pytest
 
 from samewise.operators import containment as C
 from samewise.operators import exact as E
+from samewise.operators import similarity as S
 from samewise.operators import text_pairs as T
 from samewise.operators.components import components
 from tests.conftest import rows
@@ -109,3 +110,16 @@ def test_components_of_few_edges_take_one_task(spark):
     assert rows(components(df), "id", "component") == rows(components(df, one_task=0), "id", "component") == want
     assert "Join" not in components(df)._jdf.queryExecution().optimizedPlan().toString()
     assert components(df.limit(0)).count() == 0
+
+
+def test_member_scores_from_packed_texts(spark):
+    """The vectors' rows were shuffled, and whole vectors once for each pair."""
+    data = corpus(7, 70)
+    df = spark.createDataFrame(data, "id string, content string").repartition(3)
+    members = spark.createDataFrame([(f"c{k % 4}", f"r{k:02}") for k in range(70) if k % 5], "component string, id string").join(df.where("content <> ''").select("id"), "id").select("component", "id")
+    vectors = S.Embedder(df).transform(df)
+    want = {(x["component"], x["a"], x["b"]): x["score"] for x in S.member_scores(vectors, members).collect()}
+    for options in ({}, {"part_rows": 3}, {"most_terms": 2}):
+        found = T.member_scores(df, members, **options).collect()
+        assert len(found) == len(want) and all(abs(want[x["component"], x["a"], x["b"]] - x["score"]) < 1e-9 for x in found)
+    assert "map_from_entries" not in T.member_scores(df, members)._jdf.queryExecution().optimizedPlan().toString()
