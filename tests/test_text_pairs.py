@@ -9,6 +9,7 @@ from samewise.operators import exact as E
 from samewise.operators import similarity as S
 from samewise.operators import text_pairs as T
 from samewise.operators.components import components
+from samewise.plans.files_plan import funnel, pair_verdicts, run_files
 from tests.conftest import rows
 from tests.test_operators import tfidf
 
@@ -123,3 +124,13 @@ def test_member_scores_from_packed_texts(spark):
         found = T.member_scores(df, members, **options).collect()
         assert len(found) == len(want) and all(abs(want[x["component"], x["a"], x["b"]] - x["score"]) < 1e-9 for x in found)
     assert "map_from_entries" not in T.member_scores(df, members)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_funnel_and_verdicts_read_no_text_again(spark):
+    """Both counted or joined texts anew, of unique records, survivors and contained pairs."""
+    data = [(f"r{k}", "\n".join(f"line {k % 4} {j}" for j in range(5 + k % 3))) for k in range(20)]
+    r = run_files(spark.createDataFrame(data, "id string, content string"), normalize=True)
+    for made in (funnel(r), pair_verdicts(r)):
+        assert "content" not in made._jdf.queryExecution().optimizedPlan().toString()
+    out = {x["stage"]: x["records_out"] for x in funnel(r).collect()}
+    assert (out["load"], out["exact_hash"], out["containment"]) == (20, r.unique.count(), r.survivors.count()) == (20, 12, 4)
